@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.vectors import append_constant, dot, to_ml_vector
@@ -18,10 +18,11 @@ class LinearModel:
     weights: list[float]
     intercept: float
 
-    def margin(self, spark: SparkSession, features: Column) -> Column:
-        """w.x + b, evaluated in the JVM. The weights enter the plan once, as a scalar subquery."""
-        table = spark.createDataFrame([(self.weights,)], "w array<double>")
-        return dot(features, one_value(table, F.col("w"))) + F.lit(self.intercept)
+    def with_margin(self, df: DataFrame, features: str = "features", out: str = "margin") -> DataFrame:
+        """Adds w.x + b, evaluated in the JVM. The weights enter the plan once, as a scalar subquery."""
+        table = df.sparkSession.createDataFrame([(self.weights,)], "w array<double>")
+        weighted = df.withColumn("_w", one_value(table, F.col("w")))
+        return weighted.withColumn(out, dot(F.col(features), F.col("_w")) + F.lit(self.intercept)).drop("_w")
 
 
 class Learner(Protocol):

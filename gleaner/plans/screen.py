@@ -183,16 +183,14 @@ class _Loop:
             return None
         model = self.learner.fit(sides.filter(F.col("side") == "proper"))
         held = sides.filter(F.col("side") == "calibration")
-        margin = model.margin(self.spark, F.col("features"))
-        table = held.withColumn("_m", margin)
-        calibration = self.ws.write(conformal.calibration_table(table, F.col("_m")), f"calibration/cycle={cycle}")
+        table = conformal.calibration_table(model.with_margin(held), F.col("margin"))
+        calibration = self.ws.write(table, f"calibration/cycle={cycle}")
         sizes = {int(r["label"]): r["count"] for r in counts if r["side"] == "calibration"}
         return model, calibration, sizes
 
     def _predict(self, model: LinearModel, calibration: DataFrame, cycle: int) -> DataFrame:
         """One pass over all candidates; only narrow columns are written, in the order of the stored table."""
-        margin = model.margin(self.spark, F.col("features"))
-        rows = self.pool.select("row_key", "mol_id", "u", "copies", margin.alias("margin"))
+        rows = model.with_margin(self.pool).select("row_key", "mol_id", "u", "copies", "margin")
         with_p = conformal.with_p_values(rows, calibration)
         predicted = conformal.with_predictions(with_p, self.params.significance).drop("margin")
         return self.ws.write(predicted.withColumn("cycle", F.lit(cycle)), f"predictions/cycle={cycle}")

@@ -7,22 +7,31 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-ATOM = T.StructType.fromDDL(
-    "idx int, x double, y double, z double, element string, charge int, parity int"
-)
-BOND = T.StructType.fromDDL("a int, b int, ord int, stereo int")
-FEATURES = T.StructType.fromDDL("size int, ids array<int>, vals array<double>")
+_INT, _TEXT, _NUMBER = T.IntegerType(), T.StringType(), T.DoubleType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+ATOM = _struct(idx=_INT, x=_NUMBER, y=_NUMBER, z=_NUMBER, element=_TEXT, charge=_INT, parity=_INT)
+BOND = _struct(a=_INT, b=_INT, ord=_INT, stereo=_INT)
+FEATURES = _struct(size=_INT, ids=T.ArrayType(_INT), vals=T.ArrayType(_NUMBER))
 
 STAGES = {
-    "smiles": T.StructType.fromDDL("smiles string, title string"),
-    "molecule": T.StructType.fromDDL("row_key string, mol_id string, raw string")
-    .add("atoms", T.ArrayType(ATOM))
-    .add("bonds", T.ArrayType(BOND))
-    .add("tags", T.MapType(T.StringType(), T.StringType())),
-    "pose": T.StructType.fromDDL("row_key string, mol_id string, score double"),
-    "candidate": T.StructType.fromDDL("row_key string, mol_id string").add("features", FEATURES),
-    "universe": T.StructType.fromDDL("signature string, sig_id int"),
-    "labelled": T.StructType.fromDDL("row_key string, label double").add("features", FEATURES),
+    "smiles": _struct(smiles=_TEXT, title=_TEXT),
+    "molecule": _struct(
+        row_key=_TEXT,
+        mol_id=_TEXT,
+        raw=_TEXT,
+        atoms=T.ArrayType(ATOM),
+        bonds=T.ArrayType(BOND),
+        tags=T.MapType(_TEXT, _TEXT),
+    ),
+    "pose": _struct(row_key=_TEXT, mol_id=_TEXT, score=_NUMBER),
+    "candidate": _struct(row_key=_TEXT, mol_id=_TEXT, features=FEATURES),
+    "universe": _struct(signature=_TEXT, sig_id=_INT),
+    "labelled": _struct(row_key=_TEXT, label=_NUMBER, features=FEATURES),
 }
 
 # The two output tables, column for column.

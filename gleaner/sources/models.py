@@ -6,16 +6,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gleaner.operators.conformal import with_p_values, with_predictions
 from gleaner.operators.learner import LinearModel
 
-MODEL = T.StructType.fromDDL(
+MODEL = (
     "target string, code string, version int, weights array<double>, intercept double, significance double, "
     "universe_size int"
 )
-CALIBRATION = T.StructType.fromDDL("target string, code string, version int, label int, alpha double")
+CALIBRATION = "target string, code string, version int, label int, alpha double"
 
 
 @dataclass(frozen=True)
@@ -87,6 +86,5 @@ def predict_with(
     stored: StoredModel, rows: DataFrame, key: str = "row_key", significance: float | None = None
 ) -> DataFrame:
     """Margin, p-values, prediction set and verdict of new rows (key, features)."""
-    margin = stored.model.margin(rows.sparkSession, F.col("features"))
     eps = stored.significance if significance is None else significance
-    return with_predictions(with_p_values(rows.withColumn("margin", margin), stored.calibration, key=key), eps)
+    return with_predictions(with_p_values(stored.model.with_margin(rows), stored.calibration, key=key), eps)
