@@ -20,7 +20,7 @@ def strip_first_break(raw: Column) -> Column:
 
 
 def is_blank(raw: Column) -> Column:
-    return F.trim(F.regexp_replace(raw, r"\s+", " ")) == ""
+    return ~raw.rlike(r"\S")
 
 
 def split_records(text: Column) -> Column:

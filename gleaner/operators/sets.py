@@ -16,6 +16,15 @@ def union_all(*dfs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, dfs)
 
 
+def fill_cores(df: DataFrame) -> DataFrame:
+    """For use before heavy work per row: spreads a table that has fewer partitions than there are cores.
+
+    A few small files are read by as few tasks. A large table has more partitions than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Even partitions, for use after a selective filter and before expensive work on the rows."""
     return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)

@@ -319,7 +319,7 @@ def signature_counts(spark, d):
 
 
 def _ngrams(spark: SparkSession, d: str) -> DataFrame:
-    docs = S.table(spark, d, "documents")
+    docs = sets.fill_cores(S.table(spark, d, "documents").select("doc_id", "lang", "text"))
     return with_ngrams(docs.select(F.col("doc_id").alias("row_key"), "lang", "text"), "text").drop("text")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.scores import FAILED_TEXT
+from gleaner.functions.staging import staged
+from gleaner.operators.sets import fill_cores
 
 # Element of each digit 0..9.
 DIGIT_ELEMENTS = ("C", "N", "O", "S", "Cl", "C", "P", "C", "F", "H")
@@ -21,16 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _digits() -> Column:
-    cents = F.round(F.col("o_totalprice") * 100).cast("bigint").cast("string")
-    text = F.concat(F.col("o_orderkey").cast("string"), cents, F.date_format("o_orderdate", "yyyyMMdd"))
-    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: text.substr(i, F.lit(1)).cast("int"))
-
-
 def order_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """o_orderkey and the array of its digits."""
-    orders = table(spark, sf_dir, "orders")
-    return orders.select("o_orderkey", "o_orderpriority", "o_totalprice", _digits().alias("digits"))
+    orders = fill_cores(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate"))
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint").cast("string")
+    text = F.concat(F.col("o_orderkey").cast("string"), cents, F.date_format("o_orderdate", "yyyyMMdd"))
+    digits = F.split(text, "").cast("array<int>")
+    return staged(orders, {"digits": digits}).drop("o_orderdate")
 
 
 def _pick(values: tuple, digit: Column) -> Column:
@@ -64,11 +63,13 @@ def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda i: bond(i, i + 1, (F.get(d, i - 1) + F.get(d, i)) % 3 + 1),
     )
     ring = F.when(F.element_at(d, -1) % 2 == 0, F.array(bond(F.lit(1), n, F.lit(1)))).otherwise(F.slice(chain, 1, 0))
-    return order_digits(spark, sf_dir).select(
-        F.col("o_orderkey").cast("string").alias("row_key"),
-        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("mol_id"),
-        atoms.alias("atoms"),
-        F.concat(chain, ring).alias("bonds"),
+    graph = staged(order_digits(spark, sf_dir), {"atoms": atoms, "bonds": F.concat(chain, ring)})
+    key = F.col("o_orderkey").cast("string")
+    return graph.select(
+        key.alias("row_key"),
+        F.concat(F.lit("order "), key).alias("mol_id"),
+        "atoms",
+        "bonds",
         "o_orderkey",
         "o_orderpriority",
         "o_totalprice",
@@ -78,15 +79,24 @@ def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _record(conformer: int) -> Column:
     """SDF text of one record of a molecule row, without delimiter; the second conformer is shifted along y."""
     code = lambda a: F.when(a["charge"] == 1, F.lit(3)).when(a["charge"] == -1, F.lit(5)).otherwise(F.lit(0))
+    number = lambda x: F.lpad(x.cast("decimal(9,4)").cast("string"), 10, " ")
+    whole = lambda n: F.lpad(n.cast("string"), 3, " ")
     atom_lines = F.transform(
         "atoms",
-        lambda a: F.format_string(
-            "%10.4f%10.4f%10.4f %-3s 0%3d%3d  0  0  0  0  0  0  0  0  0",
-            a["x"], a["y"] + 0.5 * (conformer - 1), a["z"], a["element"], code(a), a["parity"],
+        lambda a: F.concat(
+            number(a["x"]),
+            number(a["y"] + 0.5 * (conformer - 1)),
+            number(a["z"]),
+            F.lit(" "),
+            F.rpad(a["element"], 3, " "),
+            F.lit(" 0"),
+            whole(code(a)),
+            whole(a["parity"]),
+            F.lit("  0  0  0  0  0  0  0  0  0"),
         ),
     )
-    bond_lines = F.transform("bonds", lambda b: F.format_string("%3d%3d%3d  0  0  0  0", b["a"], b["b"], b["ord"]))
-    counts = F.format_string("%3d%3d  0     1  0  0  0  0  0999 V2000", F.size("atoms"), F.size("bonds"))
+    bond_lines = F.transform("bonds", lambda b: F.concat(whole(b["a"]), whole(b["b"]), whole(b["ord"]), F.lit("  0  0  0  0")))
+    counts = F.concat(whole(F.size("atoms")), whole(F.size("bonds")), F.lit("  0     1  0  0  0  0  0999 V2000"))
     score = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(FAILED_TEXT)).otherwise(
         F.when((F.col("o_orderpriority") == "5-LOW") & F.lit(conformer == 2), F.lit("")).otherwise(
             ((F.round(F.col("o_totalprice") * 100).cast("bigint") % 100000 - conformer).cast("string"))
