@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.descriptors import with_smiles_descriptors
+from gleaner.functions.descriptors import with_descriptors, with_smiles_descriptors  # noqa: F401
 from gleaner.functions.signatures import explode_signatures, with_atom_signatures
 from gleaner.operators.overlap import hit_overlap
 from gleaner.operators.rules import rule_filter
