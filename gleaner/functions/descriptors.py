@@ -84,14 +84,17 @@ def donors(atoms: Column, bonds: Column) -> Column:
 
 
 def rings(atoms: Column, bonds: Column) -> Column:
-    """Independent cycles: bonds - atoms + fragments. Each bond merges the fragment names of its two atoms."""
-
-    def merge(names: Column, bond: Column) -> Column:
-        keep, gone = F.get(names, bond["a"] - 1), F.get(names, bond["b"] - 1)
-        return F.transform(names, lambda x: F.when(x == gone, keep).otherwise(x))
-
-    names = F.aggregate(bonds, F.transform(atoms, lambda a: a["idx"]), merge)
-    return F.size(bonds) - F.size(atoms) + F.size(F.array_distinct(names))
+    """Independent cycles: bonds - atoms + fragments.
+
+    The fragment names of all atoms stand in one text, eight characters each, the first a blank. Each bond replaces the
+    name of one of its atoms by that of the other, wherever it occurs.
+    """
+    width = 8
+    name = lambda names, atom: F.substring(names, (atom - 1) * width + 1, width)
+    start = F.array_join(F.transform(atoms, lambda a: F.concat(F.lit(" "), F.lpad(a["idx"].cast("string"), width - 1, "0"))), "")
+    names = F.aggregate(bonds, start, lambda t, b: F.replace(t, name(t, b["b"]), name(t, b["a"])))
+    fragments = F.filter(F.array_distinct(F.split(names, " ")), lambda x: x != "")
+    return F.size(bonds) - F.size(atoms) + F.size(fragments)
 
 
 def elements(atoms: Column) -> Column:

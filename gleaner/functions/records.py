@@ -44,11 +44,11 @@ def _field(line: Column, start: int, width: int) -> Column:
 
 
 def _int(line: Column, start: int, width: int) -> Column:
-    return _field(line, start, width).try_cast("int")
+    return F.substring(line, start, width).try_cast("int")  # the cast drops blanks itself
 
 
 def _double(line: Column, start: int, width: int) -> Column:
-    return _field(line, start, width).try_cast("double")
+    return F.substring(line, start, width).try_cast("double")
 
 
 def atom_count(counts: Column) -> Column:

@@ -76,21 +76,26 @@ def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_MOST = 64  # more atoms than a key, a price and a date have digits
+
+
+def _integer_texts() -> Column:
+    return F.array(*[F.lit(f"{i:3d}") for i in range(_MOST)])
+
+
 def _record(conformer: int) -> Column:
     """SDF text of one record of a molecule row, without delimiter; the second conformer is shifted along y."""
-    code = lambda a: F.when(a["charge"] == 1, F.lit(3)).when(a["charge"] == -1, F.lit(5)).otherwise(F.lit(0))
-    number = lambda x: F.lpad(x.cast("decimal(9,4)").cast("string"), 10, " ")
-    whole = lambda n: F.lpad(n.cast("string"), 3, " ")
+    whole = lambda n: F.get(_integer_texts(), n)
+    shift = 0.5 * (conformer - 1)
+    x_texts = F.array(*[F.lit(f"{i * 1.5:10.4f}") for i in range(_MOST)])
+    by_digit = F.array(*[F.lit(f"{d + shift:10.4f}{0:10.4f} {e:<3} 0") for d, e in enumerate(DIGIT_ELEMENTS)])
+    charge_codes = F.array(F.lit("  5"), F.lit("  0"), F.lit("  3"))
     atom_lines = F.transform(
         "atoms",
         lambda a: F.concat(
-            number(a["x"]),
-            number(a["y"] + 0.5 * (conformer - 1)),
-            number(a["z"]),
-            F.lit(" "),
-            F.rpad(a["element"], 3, " "),
-            F.lit(" 0"),
-            whole(code(a)),
+            F.get(x_texts, a["idx"]),
+            F.get(by_digit, a["y"].cast("int")),
+            F.get(charge_codes, a["charge"] + 1),
             whole(a["parity"]),
             F.lit("  0  0  0  0  0  0  0  0  0"),
         ),
