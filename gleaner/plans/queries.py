@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleaner import schemas
 from gleaner.functions.descriptors import MOLECULE_DESCRIPTORS, with_descriptors, with_smiles_descriptors
 from gleaner.functions.names import file_stem
-from gleaner.functions.records import drop_tag, set_tag, to_sdf
+from gleaner.functions.records import drop_tag, first_line, lines, set_tag, to_sdf
 from gleaner.functions.scores import parse_score, score_or_sentinel
 from gleaner.functions.signatures import explode_signatures, with_atom_signatures, with_ngrams
 from gleaner.functions.staging import staged
@@ -203,8 +203,6 @@ def _molecules_from_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sdf_split(spark, d):
-    from gleaner.functions.records import first_line, lines
-
     raw = F.col("raw")
     return _records(spark, d).select(
         "o_orderkey", first_line(raw).alias("mol_id"), F.size(lines(raw)).cast("bigint").alias("n_lines")

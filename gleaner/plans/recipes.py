@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.descriptors import with_descriptors, with_smiles_descriptors  # noqa: F401
+from gleaner.functions.descriptors import with_smiles_descriptors
+from gleaner.functions.records import first_line
 from gleaner.functions.signatures import explode_signatures, with_atom_signatures
 from gleaner.operators.overlap import hit_overlap
 from gleaner.operators.rules import rule_filter
@@ -84,7 +85,7 @@ def top_of_file(spark: SparkSession, path: str, method: str, n: int) -> DataFram
 
 def compare_files(spark: SparkSession, first: str, second: str, n: int) -> DataFrame:
     """Overlap of the ids in two files."""
-    ids = [sdf.scan_records(spark, p).select(sdf.R.first_line(F.col("raw")).alias("mol_id")) for p in (first, second)]
+    ids = [sdf.scan_records(spark, p).select(first_line(F.col("raw")).alias("mol_id")) for p in (first, second)]
     return hit_overlap(ids[0], ids[1], n)
 
 

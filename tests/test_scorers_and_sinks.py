@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner import schemas
+from gleaner.functions.descriptors import with_descriptors
 from gleaner.functions.names import file_stem
 from gleaner.functions.vectors import from_dense
 from gleaner.operators import scorers
@@ -112,6 +113,6 @@ def test_recipes_on_files(spark, tmp_path):
     mols = sdf.read_molecules(spark, str(a))
     scores = mols.select("row_key", F.size("atoms").cast("double").alias("score"))
     top = recipes.filter_score_sort(
-        recipes.with_descriptors(mols), rules.parse_rules("MAX_SUM_FORMAL_CRG 0"), scorers.table_scorer(scores), 2, str(tmp_path / "kept")
+        with_descriptors(mols), rules.parse_rules("MAX_SUM_FORMAL_CRG 0"), scorers.table_scorer(scores), 2, str(tmp_path / "kept")
     )
     assert [r.score for r in top.collect()] == [3.0, 3.0]
