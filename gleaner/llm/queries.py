@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, decontaminate, exact_dedup, mixing, sharding, warc
+from gleaner.llm import chat, decontaminate, exact_dedup, mixing, quality, sharding, toxicity, warc
+from gleaner.session import Workspace
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,8 +34,6 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation formatted, written and read back."""
-    from gleaner.session import Workspace
-
     own = spark.range(2).select(
         F.lit(-1).cast("bigint").alias("conv_id"),
         F.col("id").alias("turn"),
@@ -57,6 +56,16 @@ def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality score."""
+    return quality.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's toxicity score."""
+    return toxicity.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many of every document's words the mix takes."""
     mix = mixing.mix(_table(spark, folder, "documents"))
@@ -73,6 +82,8 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op2_decontaminate,
     op3_sharding,
     op4_chat,
+    op6_quality,
+    op8_toxicity,
     op9_mixing,
     op10_exact_dedup,
 ]
