@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, decontaminate, exact_dedup, mixing, quality, sharding, toxicity, warc
+from gleaner.llm import chat, decontaminate, exact_dedup, html_wrapper, mixing, ngram_join, quality, sharding, toxicity, warc
 from gleaner.session import Workspace
 
 
@@ -56,11 +56,21 @@ def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's component of links by shingles."""
+    return ngram_join.shingle_components(_table(spark, folder, "documents"))
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's quality score."""
     return quality.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's main text."""
+    return html_wrapper.extract_main_text(_table(spark, folder, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's toxicity score."""
     return toxicity.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
@@ -82,7 +92,9 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op2_decontaminate,
     op3_sharding,
     op4_chat,
+    op5_ngram_join,
     op6_quality,
+    op7_html_extraction,
     op8_toxicity,
     op9_mixing,
     op10_exact_dedup,
@@ -128,6 +140,25 @@ ORACLES = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length('<|turn|>' || named || chr(10) || body || '<|end|>' || chr(10))) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op5_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, hash(unnest(CASE WHEN len(w) >= 5
+                THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS MATERIALIZED (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS MATERIALIZED (
+            SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE shared * 100 >= (x.n + y.n - shared) * 75),
+        r(doc_id, reached) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+        SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reached) AS component_id
+        FROM r JOIN documents d ON d.doc_id = r.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
     "op9_mixing": r"""
         WITH r AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
