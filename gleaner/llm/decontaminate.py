@@ -30,21 +30,28 @@ def tokens(text: Column) -> Column:
 
 
 def _windows(words: Column, n: int, joined, rest) -> Column:
-    """``joined(i)`` for each start of ``n`` words; a shorter text has ``rest`` as its only element, none if it is empty."""
-    count = F.size(words)
-    starts = F.sequence(F.lit(0), F.greatest(count - n, F.lit(0)))
-    return F.when(count >= n, F.transform(starts, joined)).when(count > 0, F.array(rest)).otherwise(F.slice(F.array(rest), 1, 0))
+    """``joined(words, i)`` for each start of ``n`` words; a shorter text has ``rest(words)`` as its only element, none if it is empty.
+
+    ``words`` becomes the variable of a function, so it is computed once and not again for each element.
+    """
+
+    def windows(w: Column) -> Column:
+        count = F.size(w)
+        starts = F.sequence(F.lit(0), F.greatest(count - n, F.lit(0)))
+        return F.when(count >= n, F.transform(starts, lambda i: joined(w, i))).otherwise(F.slice(F.array(rest(w)), F.lit(1), F.least(count, F.lit(1))))
+
+    return F.transform(F.array(words), windows)[0]
 
 
 def shingles(words: Column, n: int = WORDS) -> Column:
     """The runs of ``n`` words, joined by blanks, repeats included."""
-    return _windows(words, n, lambda i: F.array_join(F.slice(words, i + 1, n), " "), F.array_join(words, " "))
+    return _windows(words, n, lambda w, i: F.array_join(F.slice(w, i + 1, n), " "), lambda w: F.array_join(w, " "))
 
 
 def shingle_hashes(words: Column, n: int = WORDS) -> Column:
     """A 64-bit hash for each shingle: equal shingles have equal hashes."""
-    run = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)])
-    return _windows(words, n, run, F.xxhash64(*[F.get(words, F.lit(k)) for k in range(n)]))
+    run = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])
+    return _windows(words, n, run, lambda w: run(w, F.lit(0)))
 
 
 def item_sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -76,10 +83,10 @@ def contamination(documents: DataFrame, items: DataFrame, n: int = WORDS, percen
     index = work.write(item_sketches(known, percent), "sketches")
 
     texts = documents.select(F.col("doc_id").cast("bigint"), text_of().alias("text"))
-    words = texts.select("doc_id", tokens(F.col("text")).alias("words"))
     top = index.agg(F.max("hash")).scalar()
-    probes = words.select("doc_id", F.size("words").alias("n"), F.explode(shingle_hashes(F.col("words"), n)).alias("hash")).where(F.col("hash") <= top)
-    enough = F.greatest(F.col("n") - (n - 1), F.lit(1)) * 100 >= F.col("item_shingles") * percent
+    hashes = texts.select("doc_id", shingle_hashes(tokens(F.col("text")), n).alias("hashes"))
+    probes = hashes.select("doc_id", F.size("hashes").alias("n"), F.explode("hashes").alias("hash")).where(F.col("hash") <= top)
+    enough = F.col("n") * 100 >= F.col("item_shingles") * percent
     found = probes.join(maybe_broadcast(index), "hash").where(enough).select("doc_id", "item_id")
     pairs = work.write(found.distinct(), "pairs")
 
