@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import maybe_broadcast, text_of, unit_hash, word_count
+from gleaner.llm.common import maybe_broadcast, same, text_of, unit_hash, word_count
 from gleaner.session import Workspace
 
 RANGES = 1024
@@ -88,10 +88,10 @@ def mix(
 
     known = maybe_broadcast(sources.withColumnRenamed("source", "s"))
     ranked = rows.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    p = F.least(F.col("rest") * F.col("weight") / F.col("mass"), F.lit(1.0))
+    p = F.least(F.col("rest") * F.col("weight") / F.nullif("mass", F.lit(0)), F.lit(1.0))
     u = unit_hash(F.col("doc_id"), seed)
     ranked = ranked.withColumns({"p": F.coalesce(p, F.lit(0.0)), "u": u})
-    odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p"))
+    odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.nullif("p", F.lit(0.0)))
     ranked = ranked.withColumn("q", F.when(F.col("p") > 0, odds)).drop("u", "p")
     place = F.floor(F.col("q") / (1 + F.col("q")) * RANGES)
     ranked = ranked.withColumn("range", F.when(F.col("q").isNotNull(), F.least(place, F.lit(RANGES - 1))).cast("int"))
