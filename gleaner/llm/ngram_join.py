@@ -7,15 +7,18 @@ that is when they share T = ceil(3 (a + b) / 7) shingles. Documents that link, d
 2. A document with more than a quarter of its shingles to itself can't link. Shingles are dealt into parts, and a part counts
    which of its shingles only one document has. For documents above 96 shingles two fifths of all shingles are looked at, which
    gives a lower bound and so never drops a document that links. Most documents end here.
-3. Rounds of T-occurrence search within blocks of documents with equal least hash. A block has an inverted index. For
+3. The shingles of the others are counted exactly, and each document's are ordered by the length of their lists, rarest first.
+   Step 2's rule is applied once more.
+4. T-occurrence search within blocks of documents with equal least hash, for several hashes. A block has an inverted index. For
    each document the L longest of its lists are set aside (DivideSkip); the short ones are merged, and documents that occur
-   at least T - L times are probed for the rest by binary search. Only one document of each component found goes on to
-   the next round, which uses another hash. So large groups of near copies shrink to one document.
-4. The exact completion. Documents that link share one of the floor(n / 4) + 1 least hashes of each; those lists are the short
-   ones. Lists within one component are skipped. For the others, occurrences by pair are merged by the shuffle, bounded by
-   what the rest of either set can still add, and the remaining pairs are probed. No link between components is missed.
-
-Step 3 only saves work for step 4: links that it doesn't see are found there. Sets are compared by 64-bit hashes of
+   at least T - L times are probed for the rest by binary search. A pair within one component is not probed again, so a large
+   group of near copies costs little more than its tree.
+5. The exact completion. Documents that link share one of the floor(n / 4) + 1 rarest shingles of each; those lists are the
+   short ones. Lists within one component are skipped. For the others, occurrences by pair are merged by the shuffle,
+   bounded by what the rest of either set can still add, and the remaining pairs are probed. No link between components
+   is missed.
+
+Step 4 only saves work for step 5: links that it doesn't see are found there. Sets are compared by 64-bit hashes of
 shingles; a wrong count needs two shingles of one pair of documents with one hash.
 """
 
@@ -40,16 +43,16 @@ NEED, FULL = 3, 4
 #: Documents of up to COUNT_ALL shingles are judged by all of them in step 2, and up to SHIP_ALL shingles send all: a partner
 #: of the former is at most a third larger. The others are judged by, and send, the hashes below LOOKED_AT.
 COUNT_ALL, SHIP_ALL, LOOKED_AT = 96, 128, np.uint64(int(0.4 * 2**64))
-#: Shingles that a part of step 2 should hold.
+#: Shingles that a part of steps 2 and 3 should hold.
 PART = 4_000_000
-#: A chunk of a block in step 3 ends at so many shingles or documents; of each chunk so many components go on to the next.
+#: A chunk of a block in step 4 ends at so many shingles or documents; of each chunk so many components go on to the next.
 CHUNK_SHINGLES, CHUNK_DOCUMENTS, CARRIED = 1_000_000, 2048, 32
 #: Documents that a salted part of a hot block should hold.
-SALT_ROWS = 4096
+SALT_ROWS = 1024
 #: Weight of the logarithm in DivideSkip's number of long lists.
 MU = 0.0085
 _FACTORS = mix64(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
-_SEEDS = mix64(np.arange(11, 14, dtype=np.uint64))
+_SEEDS = mix64(np.arange(11, 15, dtype=np.uint64))
 
 
 def shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -96,45 +99,96 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2"])
 
 
-def _deal_task(parts: int):
+# A set is named by its id and the sum of its hashes, as an id may stand for several sets.
+
+
+def _dealt(hashes: np.ndarray, owner: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(part, text, hashes in bytes) of shingles that are ordered by text, one row for each part of a text."""
+    part = (hashes % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((part, owner))
+    hashes, owner, part = hashes[order], owner[order], part[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])
+    at = np.append(np.flatnonzero(new), len(hashes))
+    blobs = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int32).tobytes()), pa.py_buffer(hashes.tobytes())])
+    return part[at[:-1]], owner[at[:-1]], blobs
+
+
+def _deal_texts_task(parts: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in slices(batch.column("text")):
                 hashes, owner = shingle_sets(texts)
-                n = np.bincount(owner, minlength=len(texts))
+                at = _offsets(owner, len(texts))
+                n, name = np.diff(at), _sums(hashes, at).view(np.int64)
                 sent = (n[owner] <= SHIP_ALL) | (hashes < LOOKED_AT)
-                hashes, owner = hashes[sent], owner[sent]
-                part = (hashes % np.uint64(parts)).astype(np.int64)
-                order = np.lexsort((part, owner))
-                hashes, owner, part = hashes[order], owner[order], part[order]
-                new = np.ones(len(hashes), bool)
-                new[1:] = (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])
-                at = np.append(np.flatnonzero(new), len(hashes))
+                part, rows, blobs = _dealt(hashes[sent], owner[sent], parts)
                 ids = batch.column("doc_id").slice(texts.first, len(texts)).to_numpy(zero_copy_only=False)
-                blob = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int32).tobytes()), pa.py_buffer(hashes.tobytes())])
-                rows = owner[at[:-1]]
-                yield pa.RecordBatch.from_arrays([pa.array(part[at[:-1]]), pa.array(ids[rows]), pa.array(n[rows]), blob], ["part", "doc_id", "n", "hashes"])
+                columns = [pa.array(part), pa.array(ids[rows]), pa.array(name[rows]), pa.array(n[rows]), blobs]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "name", "n", "hashes"])
 
     return deal
 
 
-def _own_shingles(table: pa.Table) -> pa.Table:
-    """For each document of a part, how many of the shingles it is judged by no other document of the part has."""
-    table = table.combine_chunks()
-    blobs = table.column("hashes")
+def _deal_sets_task(parts: int):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, at = _lists(batch.column("shingles"))
+            part, rows, blobs = _dealt(values[at[0] : at[-1]], np.repeat(np.arange(len(at) - 1), np.diff(at)), parts)
+            ids, names = (batch.column(c).take(pa.array(rows)) for c in ("doc_id", "name"))
+            yield pa.RecordBatch.from_arrays([pa.array(part), ids, names, blobs], ["part", "doc_id", "name", "hashes"])
+
+    return deal
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, offsets) of a column of hashes."""
+    return column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+
+
+def _part(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, row, number of rows with the hash) of a part, as the rows list them."""
+    blobs = table.column("hashes").combine_chunks() if isinstance(table.column("hashes"), pa.ChunkedArray) else table.column("hashes")
     hashes = np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in blobs])
     owner = np.repeat(np.arange(len(blobs)), [len(b.as_buffer()) // 8 for b in blobs])
-    n = table.column("n").to_numpy()
     order = np.argsort(hashes, kind="stable")
-    same = hashes[order][1:] == hashes[order][:-1]
-    alone = np.ones(len(hashes), bool)
-    alone[1:] &= ~same
-    alone[:-1] &= ~same
-    judged = owner[order][alone]
-    judged = judged[(n[judged] <= COUNT_ALL) | (hashes[order][alone] < LOOKED_AT)]
-    own = np.bincount(judged, minlength=len(blobs))
-    some = own > 0
-    return pa.table({"doc_id": table.column("doc_id").to_numpy()[some], "own": own[some]})
+    new = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])))
+    length = np.diff(np.append(new, len(hashes)))
+    counts = np.empty(len(hashes), np.int32)
+    counts[order] = np.repeat(length, length)
+    return hashes, owner, counts
+
+
+def _own_shingles(table: pa.Table) -> pa.Table:
+    """For each document of a part, how many of the shingles it is judged by no other document of the part has."""
+    hashes, owner, counts = _part(table)
+    n = table.column("n").to_numpy()
+    judged = (counts == 1) & ((n[owner] <= COUNT_ALL) | (hashes < LOOKED_AT))
+    own = np.bincount(owner[judged], minlength=len(n))
+    some = pa.array(own > 0)
+    return pa.table({"doc_id": table.column("doc_id").filter(some), "name": table.column("name").filter(some), "own": own[own > 0]})
+
+
+def _list_lengths(table: pa.Table) -> pa.Table:
+    """The documents of a part with the lengths of their shingles' lists, in bytes as the hashes are."""
+    hashes, owner, counts = _part(table)
+    at = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=table.num_rows))))
+    lengths = [counts[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
+    return pa.table({"doc_id": table.column("doc_id"), "name": table.column("name"), "hashes": table.column("hashes"), "lengths": pa.array(lengths, pa.binary())})
+
+
+def _rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each document the size, the shingles of its own, and its floor(n / 4) + 1 rarest shingles that others have, with their places."""
+    for batch in batches:
+        out = []
+        for doc_id, pieces in zip(batch.column("doc_id").to_pylist(), batch.column("pieces").to_pylist()):
+            hashes = np.concatenate([np.frombuffer(p["hashes"], np.uint64) for p in pieces])
+            lengths = np.concatenate([np.frombuffer(p["lengths"], np.int32) for p in pieces])
+            order = np.lexsort((hashes, lengths))[: len(hashes) // FULL + 1]
+            shared = np.flatnonzero(lengths[order] > 1)
+            out.append((doc_id, len(hashes), int(np.count_nonzero(lengths == 1)), shared.tolist(), hashes[order][shared].view(np.int64).tolist()))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["doc_id", "n", "own", "at", "shingle"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,9 +201,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for seed in _SEEDS:
                 mixed = np.append(mix64(hashes ^ seed), np.uint64(0))
                 low = np.minimum.reduceat(mixed, np.minimum(at[:-1], len(mixed) - 1)) if len(at) > 1 else mixed[:0]
-                least.append(pa.array(low.view(np.int64)))
-            columns = [batch.column("doc_id").slice(texts.first, len(texts)), pa.array(np.diff(at)), lists, *least]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "shingles", "k0", "k1", "k2"])
+                least.append(low.view(np.int64))
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(_SEEDS)), pa.array(np.column_stack(least).ravel()))
+            name = pa.array(_sums(hashes, at).view(np.int64))
+            columns = [batch.column("doc_id").slice(texts.first, len(texts)), name, pa.array(np.diff(at)), lists, keys]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "name", "n", "shingles", "keys"])
 
 
 def required(a: int, b: int) -> int:
@@ -257,8 +313,7 @@ def _block_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["u", "v"])
 
     for batch in batches:
-        lists = batch.column("shingles")
-        values, at = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        values, at = _lists(batch.column("shingles"))
         rows = zip(batch.column("key").to_pylist(), batch.column("salt").to_pylist(), batch.column("doc_id").to_pylist())
         for i, (k, salt, doc_id) in enumerate(rows):
             if (k, salt) != key or held >= CHUNK_SHINGLES or len(ids) >= CHUNK_DOCUMENTS:
@@ -272,12 +327,8 @@ def _block_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _probe_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sides = []
-        for name in ("left", "right"):
-            lists = batch.column(name)
-            sides.append((lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()))
         keep = np.zeros(batch.num_rows, bool)
-        (a, a_at), (b, b_at) = sides
+        (a, a_at), (b, b_at) = _lists(batch.column("left")), _lists(batch.column("right"))
         for i in range(batch.num_rows):
             x, y = a[a_at[i] : a_at[i + 1]], b[b_at[i] : b_at[i + 1]]
             hits = np.searchsorted(y, x)
@@ -285,21 +336,22 @@ def _probe_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("u", "v")], ["u", "v"])
 
 
-def _block_links(rows: DataFrame, key: str, total: int) -> DataFrame:
-    """Links of children to smaller documents within blocks of equal ``key``; a hot block is salted."""
-    rows = rows.select("doc_id", "n", "shingles", F.col(key).alias("key"))
-    hot = rows.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > max(total * HOT_SHARE, SALT_ROWS))
-    hot = F.broadcast(hot.select("key", F.ceil(F.col("rows") / SALT_ROWS).alias("salts")))
-    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.lit(0))
-    rows = rows.join(hot, "key", "left").select("key", salt.alias("salt"), "n", "doc_id", "shingles")
+def _block_links(sets: DataFrame, total: int) -> DataFrame:
+    """Links that connect documents with an equal key in equal place; each set is sent once for each key. A hot block is salted."""
+    rows = sets.select("doc_id", "n", "shingles", F.posexplode("keys").alias("round", "key"))
+    hot = rows.groupBy("round", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > max(total * HOT_SHARE, SALT_ROWS))
+    hot = F.broadcast(hot.select("round", "key", F.ceil(F.col("rows") / SALT_ROWS).alias("salts")))
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "round"), F.col("salts")), F.lit(0))
+    rows = rows.join(hot, ["round", "key"], "left").select(F.xxhash64("round", "key").alias("key"), salt.alias("salt"), "n", "doc_id", "shingles")
     return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "doc_id").mapInArrow(_block_task, "u bigint, v bigint")
 
 
-def _cross_links(sets: DataFrame, member: DataFrame, work: Workspace) -> DataFrame:
+def _cross_links(sets: DataFrame, rarest: DataFrame, member: DataFrame, work: Workspace) -> DataFrame:
     """All links between documents of different components of ``member`` (node, component); others are their own."""
-    own = sets.join(member.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    own = own.select("doc_id", "n", F.coalesce("component", "doc_id").alias("c"), F.slice("shingles", F.lit(1), (F.floor(F.col("n") / FULL) + 1).cast("int")).alias("prefix"))
-    entries = work.write(own.select("doc_id", "n", "c", F.posexplode("prefix").alias("at", "shingle")), "entries")
+    own = rarest.join(member.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    each = F.explode(F.arrays_zip("at", "shingle")).alias("e")
+    own = own.select("doc_id", "n", F.coalesce("component", "doc_id").alias("c"), each)
+    entries = work.write(own.select("doc_id", "n", "c", "e.at", "e.shingle"), "entries")
     mixed = entries.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle")
     lists = work.write(entries.join(mixed, "shingle", "left_semi"), "lists")
     a = lists.toDF(*[f"a_{c}" if c != "shingle" else c for c in lists.columns])
@@ -341,24 +393,29 @@ def shingle_components(documents: DataFrame) -> DataFrame:
     totals = classes.agg(F.count("*").alias("n"), F.coalesce(F.sum("key.n"), F.lit(0)).alias("shingles")).first()
 
     reps = maybe_broadcast(work.write(classes.select(F.col("rep").alias("doc_id")).distinct(), "reps"))
-    dealt = rows.join(reps, "doc_id", "left_semi").mapInArrow(_deal_task(max(1, math.ceil(totals.shingles / PART))), "part bigint, doc_id bigint, n bigint, hashes binary")
-    own = dealt.groupBy("part").applyInArrow(_own_shingles, "doc_id bigint, own bigint").groupBy("doc_id").agg(F.sum("own").alias("own"))
-    own = work.write(own, "own")
-    judged = classes.select(F.col("rep").alias("doc_id"), F.col("key.n").alias("n")).join(own, "doc_id", "left")
+    dealt = rows.join(reps, "doc_id", "left_semi").mapInArrow(_deal_texts_task(max(1, math.ceil(totals.shingles / PART))), "part bigint, doc_id bigint, name bigint, n bigint, hashes binary")
+    own = dealt.groupBy("part").applyInArrow(_own_shingles, "doc_id bigint, name bigint, own bigint")
+    own = work.write(own.groupBy("doc_id", "name").agg(F.sum("own").alias("own")), "own")
+    judged = classes.select(F.col("rep").alias("doc_id"), F.col("key.s1").alias("name"), F.col("key.n").alias("n")).join(own, ["doc_id", "name"], "left")
     able = judged.where(F.coalesce("own", F.lit(0)) * FULL <= F.col("n") * (FULL - NEED)).select("doc_id").distinct()
     able = maybe_broadcast(work.write(able, "able"))
-    sets = rows.join(able, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, n bigint, shingles array<bigint>, k0 bigint, k1 bigint, k2 bigint")
+    sets = rows.join(able, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, name bigint, n bigint, shingles array<bigint>, keys array<bigint>")
     sets = work.write(sets.where("n > 0"), "sets")
 
-    forest, left = None, sets
-    for key in ("k0", "k1", "k2"):
-        found = work.write(_block_links(left, key, totals.n), f"links-{key}")
-        forest = found if forest is None else forest.unionByName(found)
-        left = left.join(found.select(F.col("u").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    parts = max(1, math.ceil((sets.agg(F.sum("n")).first()[0] or 0) / PART))
+    dealt = sets.select("doc_id", "name", "shingles").mapInArrow(_deal_sets_task(parts), "part bigint, doc_id bigint, name bigint, hashes binary")
+    dealt = dealt.groupBy("part").applyInArrow(_list_lengths, "doc_id bigint, name bigint, hashes binary, lengths binary")
+    pieces = dealt.groupBy("doc_id", "name").agg(F.collect_list(F.struct("hashes", "lengths")).alias("pieces"))  # of one document
+    rarest = pieces.mapInArrow(_rarest, "doc_id bigint, n bigint, own bigint, at array<int>, shingle array<bigint>")
+    rarest = work.write(rarest.where(F.col("own") * FULL <= F.col("n") * (FULL - NEED)), "rarest")
+    able = maybe_broadcast(work.write(rarest.select("doc_id").distinct(), "still-able"))
+    sets = work.write(sets.join(able, "doc_id", "left_semi"), "joined-sets")
+
     known = base.where("n > 0 and doc_id is not null").select("doc_id", "key", "n")
-    forest = work.write(forest.unionByName(_ids_of_two_sets(known, classes)), "forest")
+    forest = _block_links(sets, totals.n).unionByName(_ids_of_two_sets(known, classes))
+    forest = work.write(forest, "forest")
     member = components(forest, work, "blocks")
-    cross = work.write(_cross_links(sets, member, work), "cross")
+    cross = work.write(_cross_links(sets, rarest, member, work), "cross")
     if cross.take(1):
         member = components(member.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(forest).unionByName(cross), work, "all")
 

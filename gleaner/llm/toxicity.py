@@ -30,7 +30,9 @@ LEAST_POSITIVES, CANDIDATES = 4, 50_000
 INPUTS = 512
 #: Bounds of the fitting sample.
 POSITIVES, UNLABELLED = 20_000, 60_000
-CLASSIFIERS, EPOCHS, BATCH, RATE, DECAY = 3, 30, 512, 0.02, 1e-4
+CLASSIFIERS, BATCH, RATE, DECAY = 3, 512, 0.02, 1e-4
+#: Steps of a fit: a few unlabelled documents are gone through more often than many.
+STEPS = 3000
 
 
 def pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +115,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int)
     m, v, t = np.zeros_like(w), np.zeros_like(w), 0
     batches = max(1, -(-len(unlabelled) // BATCH))
     each = max(1, -(-len(positive) // batches))
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS // batches)):
         rows, p_rows = rng.permutation(len(unlabelled)), rng.permutation(np.resize(np.arange(len(positive)), batches * each))
         for b in range(batches):
             u, p = unlabelled[rows[b * BATCH : (b + 1) * BATCH]], positive[p_rows[b * each : (b + 1) * each]]

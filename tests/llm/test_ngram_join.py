@@ -75,7 +75,7 @@ def test_small_chunks_salts_and_parts_change_nothing(make, monkeypatch):
 
 def test_without_block_rounds_the_completion_finds_every_link(spark, make, monkeypatch):
     rows = corpus(4, 60)
-    monkeypatch.setattr(ngram_join, "_block_links", lambda rows, key, total: rows.sparkSession.createDataFrame([], "u bigint, v bigint"))
+    monkeypatch.setattr(ngram_join, "_block_links", lambda sets, total: sets.sparkSession.createDataFrame([], "u bigint, v bigint"))
     assert result(make(rows)) == brute(rows)
 
 
@@ -89,6 +89,9 @@ def test_edges(make):
 def test_rows_of_one_id_share_a_component(make):
     rows = [(1, "a b c"), (7, "a b c"), (7, "d e f"), (9, "d e f"), (9, "d e f")]
     assert {(r[0], r[2]) for r in result(make(rows))} == {(1, 1), (7, 1), (9, 1)}
+    texts = [" ".join(f"{k}{i}" for i in range(40)) for k in "abc"]
+    rows = [(3, t) for t in texts] + [(9, texts[1] + " more"), (12, texts[2] + " more")]
+    assert {(r[0], r[2]) for r in result(make(rows))} == {(3, 3), (9, 3), (12, 3)}
 
 
 def test_threshold_is_exact(make):
