@@ -14,7 +14,7 @@ that is when they share T = ceil(3 (a + b) / 7) shingles. Documents that link, d
    at least T - L times are probed for the rest by binary search. A pair within one component is not probed again, so a large
    group of near copies costs little more than its tree.
 5. The exact completion. Documents that link share one of the floor(n / 4) + 1 rarest shingles of each; those lists are the
-   short ones. Lists within one component are skipped. For the others, occurrences by pair are merged by the shuffle,
+   short ones, shorter still for a pair of like sizes. Lists within one component are skipped. For the others, occurrences by pair are merged by the shuffle,
    bounded by what the rest of either set can still add, and the remaining pairs are probed. No link between components
    is missed.
 
@@ -357,7 +357,9 @@ def _cross_links(sets: DataFrame, rarest: DataFrame, member: DataFrame, work: Wo
     a = lists.toDF(*[f"a_{c}" if c != "shingle" else c for c in lists.columns])
     b = lists.toDF(*[f"b_{c}" if c != "shingle" else c for c in lists.columns])
     smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_doc_id") < F.col("b_doc_id")))
-    met = a.join(b, "shingle").where((F.col("a_c") != F.col("b_c")) & smaller & (F.col("a_n") * FULL >= F.col("b_n") * NEED))
+    # A pair's first common shingle leaves enough shingles in either set: its own prefixes are shorter the closer the sizes are.
+    enough = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) * (NEED + FULL) >= (F.col("a_n") + F.col("b_n")) * NEED
+    met = a.join(b, "shingle").where((F.col("a_c") != F.col("b_c")) & smaller & (F.col("a_n") * FULL >= F.col("b_n") * NEED) & enough)
     pairs = met.groupBy("a_doc_id", "b_doc_id").agg(
         F.count("*").alias("times"), F.max("a_at").alias("a_at"), F.max("b_at").alias("b_at"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n")
     )
