@@ -1,6 +1,6 @@
 """Fixed values about chemical elements."""
 
-# Standard atomic weights, in order of atomic number.
+# Standard atomic weights, in order of atomic number; for elements without one, the mass number of their longest-lived isotope.
 ATOMIC_WEIGHTS = {
     "H": 1.008,
     "He": 4.0026,
@@ -56,6 +56,70 @@ ATOMIC_WEIGHTS = {
     "Te": 127.60,
     "I": 126.90,
     "Xe": 131.29,
+    "Cs": 132.91,
+    "Ba": 137.33,
+    "La": 138.91,
+    "Ce": 140.12,
+    "Pr": 140.91,
+    "Nd": 144.24,
+    "Pm": 145.0,
+    "Sm": 150.36,
+    "Eu": 151.96,
+    "Gd": 157.25,
+    "Tb": 158.93,
+    "Dy": 162.50,
+    "Ho": 164.93,
+    "Er": 167.26,
+    "Tm": 168.93,
+    "Yb": 173.05,
+    "Lu": 174.97,
+    "Hf": 178.49,
+    "Ta": 180.95,
+    "W": 183.84,
+    "Re": 186.21,
+    "Os": 190.23,
+    "Ir": 192.22,
+    "Pt": 195.08,
+    "Au": 196.97,
+    "Hg": 200.59,
+    "Tl": 204.38,
+    "Pb": 207.2,
+    "Bi": 208.98,
+    "Po": 209.0,
+    "At": 210.0,
+    "Rn": 222.0,
+    "Fr": 223.0,
+    "Ra": 226.0,
+    "Ac": 227.0,
+    "Th": 232.04,
+    "Pa": 231.04,
+    "U": 238.03,
+    "Np": 237.0,
+    "Pu": 244.0,
+    "Am": 243.0,
+    "Cm": 247.0,
+    "Bk": 247.0,
+    "Cf": 251.0,
+    "Es": 252.0,
+    "Fm": 257.0,
+    "Md": 258.0,
+    "No": 259.0,
+    "Lr": 262.0,
+    "Rf": 267.0,
+    "Db": 268.0,
+    "Sg": 269.0,
+    "Bh": 270.0,
+    "Hs": 269.0,
+    "Mt": 278.0,
+    "Ds": 281.0,
+    "Rg": 282.0,
+    "Cn": 285.0,
+    "Nh": 286.0,
+    "Fl": 289.0,
+    "Mc": 290.0,
+    "Lv": 293.0,
+    "Ts": 294.0,
+    "Og": 294.0,
 }
 
 # Symbols in order of atomic number, for patterns that name an element by its number.

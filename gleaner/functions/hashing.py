@@ -10,9 +10,9 @@ HASH_SPAN = 1 << HASH_BITS  # values of hash_rank lie in [0, HASH_SPAN)
 
 
 def hash_hex(key: Column | str, seed: int) -> Column:
-    """md5 of ``key:seed`` as 32 hex digits."""
+    """md5 of ``key:seed`` as 32 hex digits; a null key is hashed as one value of its own."""
     key = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("\0null")), F.lit(f":{seed}")))
 
 
 def hash_rank(key: Column | str, seed: int) -> Column:

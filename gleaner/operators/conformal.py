@@ -43,42 +43,47 @@ def _by_search(test: DataFrame, margin: str, alphas: dict[int, np.ndarray]) -> D
                 known = sorted_alphas[c]
                 alpha = -m.to_numpy() if c == 1 else m.to_numpy()
                 at_least = len(known) - np.searchsorted(known, alpha, side="left")
-                out[f"p{c}"] = (at_least + 1.0) / (len(known) + 1.0)
+                out[f"p{c}"] = np.where(np.isnan(alpha), np.nan, (at_least + 1.0) / (len(known) + 1.0))
             yield pd.DataFrame(out)
 
-    return test.withColumn("_p", p_values(F.col(margin))).withColumns({"p0": F.col("_p.p0"), "p1": F.col("_p.p1")}).drop("_p")
+    known = lambda c: F.when(~F.isnan(F.col(f"_p.{c}")), F.col(f"_p.{c}"))
+    return test.withColumn("_p", p_values(F.col(margin).cast("double"))).withColumns({c: known(c) for c in ("p0", "p1")}).drop("_p")
 
 
-def _by_sort(test: DataFrame, margin: str, calibration: DataFrame, sizes: dict[int, int], key: str) -> DataFrame:
-    """Both p-values by counting calibration rows in one global order per class; for any size of calibration."""
-    out = test
+def _by_sort(test: DataFrame, margin: str, calibration: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """Both p-values by counting calibration rows in one global order per class; for any size of calibration.
+
+    The test rows are carried through the sort, so keys play no part in it.
+    """
+    unknown = F.col(margin).isNull() | F.isnan(F.col(margin).cast("double"))
+    rows = test.filter(~unknown).select(F.struct(*test.columns).alias("_row"))
     for c in CLASSES:
-        alpha = -F.col(margin) if c == 1 else F.col(margin)
-        points = calibration.filter(F.col("label") == c).select(
-            F.col("alpha").alias("_a"), F.lit(True).alias("_cal"), F.lit(None).cast(test.schema[key].dataType).alias(key),
-            F.monotonically_increasing_id().alias("_tie"),
-        )
-        asked = test.select(alpha.alias("_a"), F.lit(False).alias("_cal"), key, F.lit(0).cast("long").alias("_tie"))
+        value = F.col(f"_row.{margin}").cast("double")
+        asked = rows.withColumns({"_a": -value if c == 1 else value, "_cal": F.lit(False)})
+        points = calibration.filter(F.col("label") == c).select(F.col("alpha").alias("_a"), F.lit(True).alias("_cal"))
         # Strangest first, and calibration rows before equally strange test rows, as "at least as strange" asks.
-        order = [F.desc("_a"), F.desc("_cal"), F.asc(key), F.asc("_tie")]
-        counted = count_before(points.unionByName(asked), order, F.col("_cal"), "_n")
+        order = [F.desc("_a"), F.desc("_cal"), F.xxhash64("_row")]
+        counted = count_before(asked.unionByName(points, allowMissingColumns=True), order, F.col("_cal"), "_n")
         p = (F.col("_n") + 1.0) / F.lit(sizes.get(c, 0) + 1.0)
-        out = out.join(counted.select(key, p.alias(f"p{c}")), key)
-    return out
+        rows = counted.select(*rows.columns, p.alias(f"p{c}"))
+    none = F.lit(None).cast("double")
+    return rows.select("_row.*", "p0", "p1").unionByName(test.filter(unknown).withColumns({"p0": none, "p1": none}))
 
 
 def with_p_values(
     test: DataFrame,
     calibration: DataFrame,
     margin: str = "margin",
-    key: str = "row_key",
     max_calibration_rows: int = MAX_CALIBRATION_ROWS,
 ) -> DataFrame:
-    """Adds p0 and p1 to rows with a margin. ``calibration`` is read once here; store it before if it is costly."""
+    """Adds p0 and p1 to rows with a margin; a null or NaN margin has none. Every row comes back once, whatever its key.
+
+    ``calibration`` is read once here; store it before if it is costly.
+    """
     alphas = calibration.select(F.col("label").cast("int").alias("label"), F.col("alpha").cast("double").alias("alpha"))
     sizes = {row["label"]: row["count"] for row in alphas.groupBy("label").count().collect()}
     if sum(sizes.values()) > max_calibration_rows:
-        return _by_sort(test, margin, alphas, sizes, key)
+        return _by_sort(test, margin, alphas, sizes)
     table = alphas.toPandas()
     arrays = {c: np.sort(table.loc[table["label"] == c, "alpha"].to_numpy(dtype=float)) for c in CLASSES}
     return _by_search(test, margin, arrays)

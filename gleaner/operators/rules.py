@@ -54,11 +54,12 @@ def _value(check: _Check, steps: Column) -> Column:
 
 
 def _violation(check: _Check, value: Column) -> Column:
-    """Struct that describes the violation, NULL where the rule holds or its value is unknown."""
+    """Struct that describes the violation, NULL where the rule holds. An unknown weight breaks every limit on it."""
     rule = check.rule
     low = F.lit(rule.min).cast("double")
     high = F.lit(0.0 if rule.kind in ("allowed", "denied") else rule.max).cast("double")
-    broken = F.coalesce(value < low, F.lit(False)) | F.coalesce(value > high, F.lit(False))
+    unknown = F.lit(rule.column == "mol_weight") & value.isNull()
+    broken = F.coalesce(value < low, F.lit(False)) | F.coalesce(value > high, F.lit(False)) | unknown
     body = F.struct(F.lit(rule.name).alias("rule"), value.alias("value"), low.alias("low"), high.alias("high"))
     return F.when(broken, body)
 

@@ -1,67 +1,59 @@
 """Samples and splits by a hash of the row key: exact, repeatable, and independent of the partitioning.
 
-The key must identify the row.
+Rows are ordered by the hash, the key, and a hash of the whole row, so copies of a key and null keys have their place too.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.hashing import HASH_BITS, hash_rank, hash_unit
+from gleaner.session import broadcast_within
 
-DIRECT_LIMIT = 50_000  # up to this many rows are ordered by one top-k
+BUCKET_ROWS = 50_000  # a range of hashes with more distinct hashes than this is narrowed further
 _FAN_OUT_BITS = 12
-MAX_CLASSES = 1000
+_MAX_BROADCAST_CLASSES = 100_000
 
 
-def last_of_first(ranks: DataFrame, n: int, direct_limit: int = DIRECT_LIMIT) -> tuple[int, object] | None:
-    """(_rank, _key) of the n-th row in order of _rank, _key; None when there are fewer rows.
+def cut_at(ranks: DataFrame, n: int, bucket_rows: int = BUCKET_ROWS) -> tuple[int, int] | None:
+    """(rank, m): the first ``n`` rows by ``_rank`` are those below ``rank`` and ``m`` of those at it. None when there are fewer rows.
 
-    The row is found by counting rows per rank range and narrowing the range in which it lies, so neither a sort nor a
-    task ever handles n rows; only the counts reach the driver.
+    Found by counting rows per range of ranks and narrowing the range in which the n-th lies, until that range, not n, is
+    small. Only counts reach the driver, so no task ever holds n rows.
     """
     low, bits, need = 0, HASH_BITS, n
-    while need > direct_limit and bits > 0:
+    while True:
         inside = ranks.filter((F.col("_rank") >= low) & (F.col("_rank") < low + (1 << bits)))
         bits = max(0, bits - _FAN_OUT_BITS)
         bucket = F.shiftright(F.col("_rank") - F.lit(low), bits)
         for row in inside.groupBy(bucket.alias("b")).count().orderBy("b").collect():
             if row["count"] >= need:
-                low += row["b"] << bits
+                low, size = low + (row["b"] << bits), row["count"]
                 break
             need -= row["count"]
         else:
             return None
-    inside = ranks.filter((F.col("_rank") >= low) & (F.col("_rank") < low + (1 << bits)))
-    head = inside.orderBy("_rank", "_key").limit(need)
-    found = head.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("_rank", "_key")).alias("last")).first()
-    return (found["last"]["_rank"], found["last"]["_key"]) if found["n"] == need else None
-
-
-def up_to(rank: Column, key: Column, last: tuple[int, object] | None) -> Column:
-    """Rows no later than ``last``; all rows when it is None."""
-    if last is None:
-        return F.lit(True)
-    return (rank < last[0]) | ((rank == last[0]) & (key <= F.lit(last[1])))
-
-
-def first_n_by_hash(df: DataFrame, key: str, n: int, seed: int, direct_limit: int = DIRECT_LIMIT) -> Column:
-    """Condition met by exactly the ``n`` rows of ``df`` that come first in hash order (all, when it has fewer)."""
+        if bits == 0:
+            return low, need
+        if size <= bucket_rows:
+            inside = ranks.filter((F.col("_rank") >= low) & (F.col("_rank") < low + (1 << bits)))
+            for row in inside.groupBy("_rank").count().orderBy("_rank").collect():
+                if row["count"] >= need:
+                    return row["_rank"], need
+                need -= row["count"]
+
+
+def exact_sample(df: DataFrame, key: str, n: int, seed: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``n`` rows without replacement; all rows when there are fewer. One way for every size."""
     if n <= 0:
-        return F.lit(False)
+        return df.limit(0)
     rank = hash_rank(key, seed)
-    ranks = df.select(rank.alias("_rank"), F.col(key).alias("_key"))
-    return up_to(rank, F.col(key), last_of_first(ranks, n, direct_limit))
-
-
-def exact_sample(df: DataFrame, key: str, n: int, seed: int, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
-    """``n`` rows without replacement; all rows when there are fewer."""
-    if n <= direct_limit:
-        return df.orderBy(hash_rank(key, seed), key).limit(n)
-    return df.filter(first_n_by_hash(df, key, n, seed, direct_limit))
+    cut = cut_at(df.select(rank.alias("_rank")), n, bucket_rows)
+    if cut is None:
+        return df
+    last = df.filter(rank == cut[0])  # rows of one key, but for colliding hashes
+    return df.filter(rank < cut[0]).unionAll(last.orderBy(key, F.xxhash64(*df.columns)).limit(cut[1]))
 
 
 def fraction_sample(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
@@ -80,17 +72,27 @@ def with_split(df: DataFrame, key: str, calibration: float, seed: int, out: str
     return df.withColumn(out, split_side(key, calibration, seed))
 
 
-def with_stratified_split(
-    df: DataFrame, key: str, label: str, calibration: float, seed: int, out: str = "side", direct_limit: int = DIRECT_LIMIT
-) -> DataFrame:
-    """As ``with_split``, but with ceil(calibration * size) calibration rows in every class, whatever its size."""
-    classes = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"'{label}' has more than {MAX_CLASSES} classes; it is not a class label")
-    chosen = F.lit(False)
-    for row in classes:
-        member = F.col(label).eqNullSafe(F.lit(row[label]))
-        wanted = math.ceil(round(calibration * row["count"], 9))
-        first = first_n_by_hash(df.filter(member), key, wanted, seed, direct_limit)
-        chosen = chosen | (member & first)
-    return df.withColumn(out, F.when(chosen, F.lit("calibration")).otherwise(F.lit("proper")))
+def with_stratified_split(df: DataFrame, key: str, label: str, calibration: float, seed: int, out: str = "side") -> DataFrame:
+    """As ``with_split``, but with ceil(calibration * size) calibration rows in every class, whatever its size.
+
+    All classes at once: rows are counted by class and 4096th of the hashes, and only the 4096th in which a class's last
+    calibration row lies is ordered. Null is a class like others.
+    """
+    place = f"_place_{out}"
+    rows = df.withColumn(place, F.shiftright(hash_rank(key, seed), HASH_BITS - _FAN_OUT_BITS))
+    counts = rows.groupBy(F.col(label).alias("_label"), F.col(place).alias("_at")).count()
+    whole, upto = Window.partitionBy("_label"), Window.partitionBy("_label").orderBy("_at")
+    counts = counts.withColumns(
+        {
+            "_wanted": F.ceil(F.round(F.lit(calibration) * F.sum("count").over(whole), 9)),
+            "_before": F.sum("count").over(upto) - F.col("count"),
+        }
+    )
+    cut = counts.filter((F.col("_before") < F.col("_wanted")) & (F.col("_before") + F.col("count") >= F.col("_wanted")))
+    cut = broadcast_within(cut.select("_label", "_at", "_wanted", "_before"), _MAX_BROADCAST_CLASSES)
+    marked = rows.join(cut, F.col(label).eqNullSafe(F.col("_label")), "left")
+    rank = F.row_number().over(Window.partitionBy(label, place).orderBy(hash_rank(key, seed), key, F.xxhash64(*df.columns)))
+    near = marked.filter(F.col(place) == F.col("_at")).withColumn("_in", F.col("_before") + rank <= F.col("_wanted"))
+    clear = marked.filter(F.coalesce(F.col(place) != F.col("_at"), F.lit(True))).withColumn("_in", F.coalesce(F.col(place) < F.col("_at"), F.lit(False)))
+    side = F.when(F.col("_in"), F.lit("calibration")).otherwise(F.lit("proper"))
+    return clear.unionByName(near).select(*df.columns, side.alias(out))

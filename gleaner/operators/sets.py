@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
+FEW = 32
+
 
 def minus(pool: DataFrame, gone: DataFrame, key: str = "row_key") -> DataFrame:
     """Rows of ``pool`` whose key is not in ``gone``. Keys are made distinct first, so a frequent key costs one row."""
@@ -17,12 +19,13 @@ def union_all(*dfs: DataFrame) -> DataFrame:
 
 
 def fill_cores(df: DataFrame) -> DataFrame:
-    """For use before heavy work per row: spreads a table that has fewer partitions than there are cores.
+    """For use before heavy work per row: spreads a table of a few partitions over the cores.
 
-    A few small files are read by as few tasks. A large table has more partitions than cores and is left as it is.
+    A few small files are read by as few tasks. With more than ``FEW`` partitions, gigabytes, a shuffle costs more than idle
+    cores, and the table is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW) else df
 
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.session import Workspace, broadcast_if_light
+
 # Spark drops rows beyond the rank limit before the shuffle only up to this limit.
 GROUP_LIMIT = 1000
 _SALTS = 64
@@ -51,21 +53,33 @@ def top_n(
     return best.orderBy(*rank_order(score, tie, ascending)).limit(n)
 
 
-def attach_payload(hits: DataFrame, table: DataFrame, key: str = "row_key", max_hits: int = MAX_BROADCAST_HITS) -> DataFrame:
-    """Further columns of ``table`` for the hits. Hits up to ``max_hits`` are broadcast, more are shuffled."""
-    small = hits.limit(max_hits + 1).count() <= max_hits
-    right = F.broadcast(hits) if small else hits
+def attach_payload(
+    hits: DataFrame,
+    table: DataFrame,
+    key: str = "row_key",
+    score: str = "score",
+    ascending: bool = False,
+    max_hits: int = MAX_BROADCAST_HITS,
+) -> DataFrame:
+    """Further columns of ``table`` for the hits, one row per hit, best first.
+
+    Copies of a record share its key; one of them is taken. Hits are stored once; up to ``max_hits`` of them are broadcast,
+    more are shuffled.
+    """
+    hits = Workspace(hits.sparkSession, "hits").write(hits, "hits")
+    right, _ = broadcast_if_light(hits, max_hits, 1 << 28, F.lit(64))
     extra = [c for c in table.columns if c not in hits.columns]
-    return table.select(key, *extra).join(right, key)
+    found = table.select(key, *extra).join(right, key).dropDuplicates(hits.columns)
+    return found.orderBy(*rank_order(score, key, ascending))
 
 
-def semi_join_top(poses: DataFrame, top: DataFrame, n: int, id: str = "mol_id", score: str = "score") -> DataFrame:
+def semi_join_top(poses: DataFrame, top: DataFrame, id: str = "mol_id", score: str = "score", max_hits: int = MAX_BROADCAST_HITS) -> DataFrame:
     """All poses that equal one of the top (id, score) pairs; failed scores equal each other.
 
-    ``n`` is the size the top list was made with, hence the bound on what is broadcast.
+    The list is stored and measured: up to ``max_hits`` pairs are broadcast, more are shuffled.
     """
     pairs = top.select(F.col(id).alias("_id"), F.col(score).alias("_score"))
-    right = F.broadcast(pairs) if n <= MAX_BROADCAST_HITS else pairs
+    right, _ = broadcast_if_light(Workspace(top.sparkSession, "top").write(pairs, "pairs"), max_hits, 1 << 28, F.lit(64))
     same = F.col(id).eqNullSafe(F.col("_id")) & F.col(score).eqNullSafe(F.col("_score"))
     return poses.join(right, same, "left_semi")
 

@@ -219,6 +219,9 @@ def _sets(significance: float) -> str:
 
 _P_VALUES = f"WITH {_CONFORMAL} SELECT row_key, round(margin, 6) AS margin, round(p0, 6) AS p0, round(p1, 6) AS p1 FROM test"
 
+_P_VALUES_NULLS = f"""WITH {_CONFORMAL} SELECT row_key, CASE WHEN CAST(row_key AS BIGINT) % 7 <> 0 THEN round(p0, 6) END AS p0,
+  CASE WHEN CAST(row_key AS BIGINT) % 7 <> 0 THEN round(p1, 6) END AS p1 FROM test, (VALUES (1), (2)) twice(i)"""
+
 _SPAN = "span AS (SELECT min(score) AS lo, max(score) AS hi FROM poses)"
 
 _TOP_PARTS = """sums AS (SELECT l_partkey, sum(l_quantity) AS q, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS r FROM lineitem GROUP BY 1),
@@ -243,8 +246,8 @@ ORACLES: dict[str, str] = {
     "top_semi_join": _with(_POSES, _BEST, _TOP)
     + """SELECT row_key, mol_id, score FROM poses p WHERE EXISTS (SELECT 1 FROM top t
   WHERE t.mol_id = p.mol_id AND t.score IS NOT DISTINCT FROM p.score)""",
-    "pool_minus_scored": """SELECT c_custkey AS row_key, c_name, c_acctbal FROM customer
-  WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""",
+    "pool_minus_scored": """SELECT user_id AS row_key, event_id, event_type, value FROM events e
+  WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error')""",
     "union_sources": """SELECT l_orderkey AS row_key, l_partkey AS mol_id, l_extendedprice AS score, l_returnflag FROM lineitem WHERE l_returnflag = 'A'
   UNION ALL SELECT l_orderkey, l_partkey, l_extendedprice, l_returnflag FROM lineitem WHERE l_returnflag = 'N'
   UNION ALL SELECT l_orderkey, l_partkey, l_extendedprice, l_returnflag FROM lineitem WHERE l_returnflag = 'R'""",
@@ -254,6 +257,8 @@ ORACLES: dict[str, str] = {
     "exact_sample": f"SELECT doc_id, lang, n_chars FROM documents ORDER BY {_hex('doc_id', 11)}, doc_id LIMIT 100",
     "exact_sample_large": f"""SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY {_hex('o_orderkey', 1234)}, o_orderkey) AS rn,
   count(*) OVER () AS n FROM orders) WHERE rn <= n // 3""",
+    "exact_sample_copies": f"""SELECT l_orderkey, count(*) AS n FROM (SELECT *, row_number() OVER (ORDER BY {_hex('l_orderkey', 1234)}, l_orderkey) AS rn,
+  count(*) OVER () AS n FROM lineitem) WHERE rn <= n // 3 GROUP BY 1""",
     "fraction_sample": f"SELECT doc_id, source FROM documents WHERE substr({_hex('doc_id', 11)}, 1, 8) {_BELOW_25}",
     "split_proper_calibration": f"""SELECT *, CASE WHEN substr({_hex('doc_id', 11)}, 1, 8) {_BELOW_30} THEN 'calibration' ELSE 'proper' END AS side
   FROM labels""",
@@ -303,7 +308,7 @@ ORACLES: dict[str, str] = {
   count(*) FILTER (height = 3) AS n_h3,
   md5(string_agg(CAST(height AS VARCHAR) || ':' || s, ';' ORDER BY CAST(height AS VARCHAR) || ':' || s)) AS all_signatures FROM sigs GROUP BY k""",
     "signature_counts": _with(*_SIGNATURES)
-    + "SELECT s AS signature, count(*) AS occurrences, count(DISTINCT k) AS molecules FROM sigs WHERE height = 1 GROUP BY s",
+    + "SELECT height, s AS signature, count(*) AS occurrences, count(DISTINCT k) AS molecules FROM sigs GROUP BY height, s",
     "signature_universe": _with(_GRAMS, "u AS (SELECT DISTINCT s FROM grams)")
     + "SELECT s AS signature, row_number() OVER (ORDER BY s) - 1 AS sig_id FROM u",
     "graph_universe": _with(*_SIGNATURES) + "SELECT count(DISTINCT s) AS size FROM sigs",
@@ -344,6 +349,8 @@ SELECT vec_id, '(' || CAST(size AS VARCHAR) || ',[' || array_to_string(ids, ',')
     "target_name": r"SELECT page_id, regexp_extract(url, '([^/]+?)(\.[^./]*)?$', 1) AS name FROM pages",
     "conformal_p_values": _P_VALUES,
     "conformal_p_values_sorted": _P_VALUES,
+    "conformal_p_values_nulls": _P_VALUES_NULLS,
+    "conformal_p_values_nulls_sorted": _P_VALUES_NULLS,
     "nonconformity": f"""WITH {_MARGINS} SELECT CAST(label AS BIGINT) AS label, round(CASE WHEN label = 1 THEN -margin ELSE margin END, 6) AS alpha
   FROM margins""",
     "prediction_sets": f"""WITH {_CONFORMAL}, {_sets(0.2)} SELECT row_key,

@@ -125,13 +125,14 @@ def score_parse(spark, d):
 
 def top_semi_join(spark, d):
     poses = _poses(spark, d)
-    return topn.semi_join_top(poses, topn.top_n(poses, 30), 30)
+    return topn.semi_join_top(poses, topn.top_n(poses, 30))
 
 
 def pool_minus_scored(spark, d):
-    pool = S.table(spark, d, "customer").withColumnRenamed("c_custkey", "row_key")
-    scored = S.table(spark, d, "orders").select(F.col("o_custkey").alias("row_key"))
-    return sets.minus(pool, scored).select("row_key", "c_name", "c_acctbal")
+    """Events of users without an error event; a user's events all stay."""
+    pool = S.table(spark, d, "events").withColumnRenamed("user_id", "row_key")
+    scored = pool.filter(F.col("event_type") == "error").select("row_key")
+    return sets.minus(pool, scored).select("row_key", "event_id", "event_type", "value")
 
 
 def union_sources(spark, d):
@@ -161,10 +162,16 @@ def exact_sample(spark, d):
 
 
 def exact_sample_large(spark, d):
-    """A third of all orders, through the path for samples too large for one top-k."""
+    """A third of all orders, with the ranges of hashes narrowed further than their size asks for."""
     orders = S.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     n = orders.count() // 3
-    return sampling.exact_sample(orders, "o_orderkey", n, 1234, direct_limit=50)
+    return sampling.exact_sample(orders, "o_orderkey", n, 1234, bucket_rows=50)
+
+
+def exact_sample_copies(spark, d):
+    """A third of the line items by their order, a key that repeats; how many rows of each order."""
+    lines = S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return sampling.exact_sample(lines, "l_orderkey", lines.count() // 3, 1234).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fraction_sample(spark, d):
@@ -311,9 +318,9 @@ def graph_signatures(spark, d):
 
 
 def signature_counts(spark, d):
-    """Occurrences of each height-1 signature and the molecules that have it."""
-    per_row = explode_signatures(_signed(spark, d)).filter(F.col("height") == 1).groupBy("row_key", "signature").agg(F.count(F.lit(1)).alias("n"))
-    return per_row.groupBy("signature").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("molecules"))
+    """Occurrences of each signature of every height and the molecules that have it."""
+    per_row = explode_signatures(_signed(spark, d)).groupBy("row_key", "height", "signature").agg(F.count(F.lit(1)).alias("n"))
+    return per_row.groupBy("height", "signature").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("molecules"))
 
 
 def _ngrams(spark: SparkSession, d: str) -> DataFrame:
@@ -452,6 +459,23 @@ def conformal_p_values_sorted(spark, d):
     return out.select("row_key", F.round("margin", 6).alias("margin"), F.round("p0", 6).alias("p0"), F.round("p1", 6).alias("p1"))
 
 
+def _p_values_nulls(spark: SparkSession, d: str, **options) -> DataFrame:
+    """Every test row twice, and no margin for a seventh of the keys."""
+    rows = _with_margin(spark, d)
+    calibration = conformal.calibration_table(rows.filter(F.col("side") == "calibration"), F.col("margin"))
+    test = rows.filter(F.col("side") == "proper").withColumn("margin", F.when(F.col("row_key") % 7 != 0, F.col("margin")))
+    out = conformal.with_p_values(test.unionAll(test), calibration, **options)
+    return out.select("row_key", F.round("p0", 6).alias("p0"), F.round("p1", 6).alias("p1"))
+
+
+def conformal_p_values_nulls(spark, d):
+    return _p_values_nulls(spark, d)
+
+
+def conformal_p_values_nulls_sorted(spark, d):
+    return _p_values_nulls(spark, d, max_calibration_rows=0)
+
+
 def nonconformity(spark, d):
     rows = _with_margin(spark, d)
     return conformal.calibration_table(rows, F.col("margin")).select(F.col("label").cast("bigint").alias("label"), F.round("alpha", 6).alias("alpha"))
@@ -554,7 +578,7 @@ def screen_molecules(spark, d):
     carbons = F.size(F.filter("atoms", lambda a: a["element"] == "C"))
     hetero = F.size(F.filter("atoms", lambda a: a["element"].isin("N", "O", "S")))
     scores = mols.select("row_key", (carbons * 2.0 - hetero * 1.5).alias("score"))
-    params = ScreenParams(initial_size=200, increment_size=100, bad_bin=4, good_bin=6, unique_keys=True, max_cycles=4)
+    params = ScreenParams(initial_size=200, increment_size=100, bad_bin=4, good_bin=6, unique_keys=True)
     hits, _ = recipes.learned_screening(mols, scorers.table_scorer(scores), 30, params)
     return hits
 
@@ -568,12 +592,12 @@ def plain_screening(spark, d):
 
 QUERIES = [
     top_n_poses, top_n_lowest, top_n_payload, best_pose_per_id, collapse_best_2, sorted_first_100, sort_by_score,
-    score_parse, top_semi_join, pool_minus_scored, union_sources, hit_overlap, exact_sample, exact_sample_large,
+    score_parse, top_semi_join, pool_minus_scored, union_sources, hit_overlap, exact_sample, exact_sample_large, exact_sample_copies,
     fraction_sample, split_proper_calibration, split_stratified, score_histogram, label_extremes, sdf_split, sdf_tags,
     sdf_atoms, sdf_bonds, sdf_write_tag, sdf_file_poses, record_count, smiles_split, smiles_descriptors, standardise,
     graph_signatures, signature_counts, signature_universe, graph_universe, frozen_vectors, graph_vectors,
     vector_text_roundtrip, descriptors, rule_filter, rule_violations, preset_filter, element_lists, path_motifs,
-    target_name, conformal_p_values, conformal_p_values_sorted, nonconformity, prediction_sets, verdicts, efficiency,
+    target_name, conformal_p_values, conformal_p_values_sorted, conformal_p_values_nulls, conformal_p_values_nulls_sorted, nonconformity, prediction_sets, verdicts, efficiency,
     score_with_stored_model, prediction_rows, score_rows, external_scorer, svm_margins, screen_top_n, screen_cycles,
     screen_molecules, plain_screening,
 ]

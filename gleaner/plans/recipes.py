@@ -12,7 +12,7 @@ from gleaner.operators.overlap import hit_overlap
 from gleaner.operators.rules import rule_filter
 from gleaner.operators.sampling import exact_sample, fraction_sample
 from gleaner.operators.scorers import Scorer, score_rows_with
-from gleaner.operators.sets import minus, spread
+from gleaner.operators.sets import spread
 from gleaner.operators.topn import attach_payload, sort_by_score, top_n
 from gleaner.operators.universe import build_universe, count_vectors
 from gleaner.plans.screen import ScreenParams, ScreenResult, screen
@@ -78,7 +78,7 @@ def standardise(smiles: DataFrame, custom: list[Rule], preset: list[Rule], parti
 
 
 def top_of_file(spark: SparkSession, path: str, method: str, n: int) -> DataFrame:
-    """Best ``n`` ids of a scored file, with their record text."""
+    """Best ``n`` ids of a scored file with their record text, one row per id, best first."""
     poses = sdf.read_poses(spark, path, method)
     return attach_payload(top_n(poses.select("row_key", "mol_id", "score"), n), poses.select("row_key", "raw"))
 
@@ -99,7 +99,3 @@ def predict_new(molecules: DataFrame, universe: DataFrame, model: StoredModel, s
     """Features over the stored dictionary and the predictions of a stored model."""
     signed = with_atom_signatures(distinct_records(molecules).select("row_key", "atoms", "bonds"))
     return predict_with(model, count_vectors(signed, universe), significance=significance)
-
-
-def unscored(pool: DataFrame, scored: DataFrame) -> DataFrame:
-    return minus(pool, scored)

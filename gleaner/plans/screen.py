@@ -15,6 +15,7 @@ How it stays cheap on a very large table:
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from gleaner.functions.hashing import HASH_SPAN, hash_rank
 from gleaner.operators import conformal
 from gleaner.operators.labels import check_bins, label_extremes
 from gleaner.operators.learner import LinearModel, LinearSVM, Learner
-from gleaner.operators.sampling import last_of_first, up_to, with_split, with_stratified_split
+from gleaner.operators.sampling import cut_at, with_split, with_stratified_split
 from gleaner.operators.scorers import Scorer, score_rows_with
 from gleaner.session import Workspace
 
@@ -45,7 +46,7 @@ class ScreenParams:
     edges: str = "batch"  # or "cumulative"
     efficiency_target: float = 0.8
     decisive_cycles: int = 2
-    max_cycles: int = 50
+    max_cycles: int | None = None  # None: until the predictions are decisive or the pool is empty
     seed: int = 11
     unique_keys: bool = False  # True: row_key is known to be unique, so the grouping of copies is left out
 
@@ -53,7 +54,7 @@ class ScreenParams:
         check_bins(self.bad_bin, self.good_bin)
         if self.edges not in ("batch", "cumulative"):
             raise ValueError("edges is 'batch' or 'cumulative'")
-        if min(self.initial_size, self.increment_size, self.max_cycles, self.decisive_cycles) < 1:
+        if min(self.initial_size, self.increment_size, self.max_cycles or 1, self.decisive_cycles) < 1:
             raise ValueError("sizes and cycle counts must be positive")
 
 
@@ -138,9 +139,9 @@ class _Loop:
             if high >= HASH_SPAN or keys.count() >= size:
                 break
             reach *= 4
-        last = last_of_first(keys.select(F.col("u").alias("_rank"), F.col("row_key").alias("_key")), size)
-        chosen = keys.filter(up_to(F.col("u"), F.col("row_key"), last))
-        self.frontier = HASH_SPAN if last is None else last[0]
+        last = cut_at(keys.select(F.col("u").alias("_rank")), size)
+        self.frontier = HASH_SPAN if last is None else last[0]  # keys are unique: all rows up to it are taken
+        chosen = keys.filter(F.col("u") <= self.frontier)
         rows = window.filter(F.col("u") <= self.frontier).join(chosen.select("row_key"), "row_key")
         return self.ws.write(rows, f"sample/cycle={cycle}")
 
@@ -171,7 +172,7 @@ class _Loop:
         for cycle in range(2, upto + 1):
             rows = rows.unionByName(self.ws.read(f"labelled/cycle={cycle}"))
         if p.stratified:
-            return with_stratified_split(rows, "row_key", "label", p.calibration, p.seed)
+            return with_stratified_split(rows, "row_key", "label", p.calibration, p.seed + 1)
         return with_split(rows, "row_key", p.calibration, p.seed + 1)
 
     def _train(self, cycle: int) -> tuple[LinearModel, DataFrame, dict[int, int]] | None:
@@ -200,7 +201,7 @@ class _Loop:
         self.cycles: list[Cycle] = []
         predictions = calibration = model = None
         decisive, reason = 0, "max_cycles"
-        for cycle in range(1, p.max_cycles + 1):
+        for cycle in itertools.count(1) if p.max_cycles is None else range(1, p.max_cycles + 1):
             sample = self._sample(cycle, p.initial_size if cycle == 1 else p.increment_size)
             sampled = sample.count()
             if sampled == 0:

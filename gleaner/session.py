@@ -12,7 +12,9 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """Whether everything runs in one process; ``local-cluster`` has several."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
 def shared_dir(spark: SparkSession) -> str:

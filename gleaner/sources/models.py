@@ -83,8 +83,8 @@ def load_model(spark: SparkSession, path: str, target: str, code: str, version:
 
 
 def predict_with(
-    stored: StoredModel, rows: DataFrame, key: str = "row_key", significance: float | None = None
+    stored: StoredModel, rows: DataFrame, significance: float | None = None
 ) -> DataFrame:
     """Margin, p-values, prediction set and verdict of new rows (key, features)."""
     eps = stored.significance if significance is None else significance
-    return with_predictions(with_p_values(stored.model.with_margin(rows), stored.calibration, key=key), eps)
+    return with_predictions(with_p_values(stored.model.with_margin(rows), stored.calibration), eps)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Limit keywords (after MIN_ / MAX_) and the descriptor column each one limits.
 LIMIT_COLUMNS = {
@@ -95,9 +96,12 @@ def parse_rules(text: str) -> list[Rule]:
 
 
 def read_rules(spark: SparkSession, path: str) -> list[Rule]:
-    """Rules of a file on any file system Spark can read. A rule file has a few hundred lines at most."""
-    rows = spark.read.text(path, wholetext=True).limit(1).collect()
-    return parse_rules(rows[0]["value"]) if rows else []
+    """Rules of a file, or of the files of a folder in order of their names, on any file system Spark can read.
+
+    A rule file has a few hundred lines at most.
+    """
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    return [rule for row in files.orderBy("file").collect() for rule in parse_rules(row["value"])]
 
 
 def preset_rules(name: str) -> list[Rule]:

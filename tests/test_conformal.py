@@ -33,6 +33,16 @@ def test_p_values(tables, bound):
     assert {r.row_key: (r.p0, r.p1) for r in got.collect()} == brute(test, cal)
 
 
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_copies_null_keys_and_unknown_margins(spark, tables, bound):
+    rows = [(1, 0.5), (1, 0.5), (1, -0.5), (None, 0.1), (2, None), (3, float("nan"))]
+    test = spark.createDataFrame(rows, "row_key long, margin double")
+    got = conformal.with_p_values(test, tables[1], max_calibration_rows=bound).collect()
+    known = brute(spark.createDataFrame([(i, m) for i, m in enumerate((0.5, 0.5, -0.5, 0.1))], "row_key long, margin double"), tables[1])
+    want = [(k, *known[i]) for i, (k, _) in enumerate(rows[:4])] + [(2, None, None), (3, None, None)]
+    assert sorted(((r.row_key, r.p0, r.p1) for r in got), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("bound", [1_000_000, 0])
 def test_class_without_calibration_is_never_rejected(tables, bound):
     test, cal = tables

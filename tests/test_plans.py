@@ -50,7 +50,7 @@ def test_filters_reach_the_scan(spark):
 
 def test_samples_are_filters(spark):
     df = S.table(spark, SF, "orders").select("o_orderkey")
-    assert "Exchange" not in plan(sampling.exact_sample(df, "o_orderkey", 500, 1, direct_limit=20))
+    assert "Exchange" not in plan(sampling.exact_sample(df, "o_orderkey", 500, 1, bucket_rows=20))
 
 
 def test_edges_and_weights_are_subqueries(spark):

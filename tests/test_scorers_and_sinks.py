@@ -73,7 +73,7 @@ def test_output_tables(spark, tmp_path):
 
 
 def test_single_part_report(spark, tmp_path):
-    sinks.write_single(spark.range(100).orderBy(F.desc("id")), 3, str(tmp_path / "top"), F.col("id").cast("string"))
+    sinks.write_single(spark.range(100).orderBy(F.desc("id")).limit(3), str(tmp_path / "top"), F.col("id").cast("string"))
     parts = list((tmp_path / "top").glob("part-*"))
     assert len(parts) == 1 and parts[0].read_text() == "99\n98\n97\n"
 

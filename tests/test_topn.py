@@ -66,7 +66,8 @@ def test_attach_payload(spark, poses):
     table = poses.selectExpr("row_key", "concat('text ', row_key) AS raw")
     for bound in (10, 1):
         out = topn.attach_payload(hits, table, max_hits=bound)
-        assert sorted((r.row_key, r.raw) for r in out.collect()) == [(2, "text 2"), (8, "text 8")]
+        assert [(r.row_key, r.raw) for r in out.collect()] == [(2, "text 2"), (8, "text 8")]
+        assert out.count() == topn.attach_payload(hits, table.union(table), max_hits=bound).count()
 
 
 def test_minus_keeps_duplicates(spark):
