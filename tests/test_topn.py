@@ -36,7 +36,7 @@ def test_result_does_not_depend_on_partitioning(spark, poses):
 
 def test_semi_join_keeps_ties_and_failed(poses):
     top = topn.top_n(poses, 4)
-    assert sorted(rows(topn.semi_join_top(poses, top, 4)), key=lambda r: r[0]) == [
+    assert sorted(rows(topn.semi_join_top(poses, top)), key=lambda r: r[0]) == [
         (2, "a", -3.0), (3, "a", -3.0), (4, "b", -4.0), (6, "c", None), (7, "c", None), (8, "d", -3.5)
     ]
 
