@@ -295,6 +295,12 @@ ORACLES: dict[str, str] = {
     + """SELECT mol_id, true AS parse_ok, CAST(len(d) AS BIGINT) AS n_atoms, CASE WHEN score > 50000 THEN '1.0' ELSE '0.0' END AS label_text,
   score_text, NULL::VARCHAR AS priority FROM scored""",
     "sdf_file_poses": _with(_DIGITS, _CONFORMERS, _SCORED_CONF) + "SELECT mol_id, max(score) AS score FROM scored GROUP BY mol_id",
+    "top_of_file": _with(_DIGITS, _CONFORMERS, _SCORED_CONF)
+    + """SELECT score, count(*) AS hits, count(*) AS ids, count(*) AS texts FROM (
+  SELECT max(score) AS score FROM scored GROUP BY mol_id ORDER BY score DESC NULLS LAST LIMIT 100) GROUP BY score""",
+    "compare_files": "SELECT 4 * count(*) AS pair_matches, count(*) AS distinct_matches, round(4 * count(*) / 1000.0 * 100.0, 6) AS percent FROM orders",
+    "saved_records": _with(_DIGITS, _CONFORMERS, _SCORED_CONF)
+    + "SELECT mol_id, max(score) AS score, CAST(count(*) AS DOUBLE) AS labels FROM scored GROUP BY mol_id",
     "record_count": "SELECT 2 * count(*) AS n_records FROM orders",
     "smiles_split": _with(_DIGITS, _SMILES) + "SELECT smiles, title FROM smi",
     "smiles_descriptors": _with(_DIGITS, _SMILES, _SMILES_DESC)
@@ -311,6 +317,8 @@ ORACLES: dict[str, str] = {
     + "SELECT height, s AS signature, count(*) AS occurrences, count(DISTINCT k) AS molecules FROM sigs GROUP BY height, s",
     "signature_universe": _with(_GRAMS, "u AS (SELECT DISTINCT s FROM grams)")
     + "SELECT s AS signature, row_number() OVER (ORDER BY s) - 1 AS sig_id FROM u",
+    "universe_roundtrip": _with(_GRAMS, "u AS (SELECT DISTINCT s FROM grams)")
+    + "SELECT s AS signature, row_number() OVER (ORDER BY s) - 1 AS sig_id FROM u",
     "graph_universe": _with(*_SIGNATURES) + "SELECT count(DISTINCT s) AS size FROM sigs",
     "frozen_vectors": _with(
         _GRAMS,
@@ -341,6 +349,16 @@ SELECT vec_id, '(' || CAST(size AS VARCHAR) || ',[' || array_to_string(ids, ',')
     + """SELECT CAST(k AS VARCHAR) AS row_key, 'order ' || CAST(k AS VARCHAR) AS mol_id FROM desc_ratio
   WHERE mol_weight BETWEEN 150 AND 350 AND heavy_atoms BETWEEN 5 AND 26 AND carbons >= 3 AND rings <= 4 AND donors <= 4
   AND acceptors <= 8 AND charge_sum BETWEEN -2 AND 2""",
+    "preset_drug": _with(*_DESC)
+    + """SELECT CAST(k AS VARCHAR) AS row_key, 'order ' || CAST(k AS VARCHAR) AS mol_id FROM desc_ratio
+  WHERE mol_weight BETWEEN 200 AND 500 AND carbons >= 5 AND rings <= 7 AND donors <= 5 AND acceptors <= 10 AND charge_sum BETWEEN -2 AND 2
+  AND len(list_filter(els, lambda e: e NOT IN ('H', 'B', 'C', 'N', 'O', 'F', 'P', 'S', 'Cl', 'Br', 'I'))) = 0""",
+    "rules_from_files": _with(*_RULED)
+    + """SELECT CAST(k AS VARCHAR) AS row_key, 'order ' || CAST(k AS VARCHAR) AS mol_id FROM checked c
+  WHERE NOT EXISTS (SELECT 1 FROM violated v WHERE v.k = c.k)""",
+    "filter_score_sort": _with(*_RULED)
+    + """SELECT CAST(k AS VARCHAR) AS row_key, 'order ' || CAST(k AS VARCHAR) AS mol_id, CAST(k % 97 AS DOUBLE) AS score FROM checked c
+  WHERE NOT EXISTS (SELECT 1 FROM violated v WHERE v.k = c.k) ORDER BY k % 97 DESC, CAST(k AS VARCHAR) LIMIT 50""",
     "element_lists": _with(*_DESC)
     + """SELECT CAST(k AS VARCHAR) AS row_key, array_to_string(els, ',') AS elements FROM desc_ratio
   WHERE NOT list_has_any(els, ['Cl', 'F', 'P'])""",

@@ -282,6 +282,31 @@ def sdf_file_poses(spark, d):
     return best.select("mol_id", "score")
 
 
+def top_of_file(spark, d):
+    """The scores of the best 100 molecules of a file that holds every record twice, with their record text."""
+    path = Workspace(spark, "sdf").table_path("twice")
+    chunks = S.sdf_chunks(spark, d).select("chunk")
+    chunks.unionAll(chunks).write.text(path)
+    hits = recipes.top_of_file(spark, path, "Chemgauss4", 100)
+    whole = F.md5("raw") == F.col("row_key")
+    return hits.groupBy("score").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("mol_id").alias("ids"), F.count_if(whole).alias("texts"))
+
+
+def compare_files(spark, d):
+    """A scored file against itself; every molecule has two records in it."""
+    path = _sdf_file(spark, d)
+    return recipes.compare_files(spark, path, path, 1000).withColumn("percent", F.round("percent", 6))
+
+
+def saved_records(spark, d):
+    """Records written with a new data item and read from the files again."""
+    path = Workspace(spark, "saved").table_path("sdf")
+    poses = _molecules_from_text(spark, d)
+    sinks.write_sdf(poses.withColumn("tags", set_tag(F.col("tags"), "Label", F.lit("1.0"))), path)
+    again = sdf.with_features(sdf.read_poses(spark, path, "Chemgauss4"))
+    return again.groupBy("mol_id").agg(F.max("score").alias("score"), F.sum("label").alias("labels"))
+
+
 def record_count(spark, d):
     return sdf.count_records(spark, _sdf_file(spark, d))
 
@@ -338,6 +363,13 @@ def graph_universe(spark, d):
     return universe.universe_size(found).select(F.col("size").cast("bigint").alias("size"))
 
 
+def universe_roundtrip(spark, d):
+    """The n-gram dictionary written as text and read again."""
+    path = Workspace(spark, "universe").table_path("text")
+    universe.write_universe(signature_universe(spark, d), path)
+    return universe.read_universe(spark, path).withColumn("sig_id", F.col("sig_id").cast("bigint"))
+
+
 def _vector_summary(vectors: DataFrame) -> DataFrame:
     f = F.col("features")
     return vectors.select(
@@ -412,6 +444,29 @@ def preset_filter(spark, d):
     return rule_ops.rule_filter(_described(spark, d), rule_files.preset_rules("lead")).select("row_key", "mol_id")
 
 
+def preset_drug(spark, d):
+    return rule_ops.rule_filter(_described(spark, d), rule_files.preset_rules("drug")).select("row_key", "mol_id")
+
+
+def rules_from_files(spark, d):
+    """The custom filter with its rules read from two files of a folder."""
+    path = Workspace(spark, "rules").table_path("text")
+    rule_lines = [line for line in RULE_TEXT.splitlines() if line.strip()]
+    for i, part in enumerate((rule_lines[::2], rule_lines[1::2])):
+        spark.createDataFrame([("\n".join(part),)], "value string").coalesce(1).write.text(f"{path}/{i}")
+    rules = rule_files.read_rules(spark, f"{path}/*")
+    return rule_ops.rule_filter(_described(spark, d), rules).select("row_key", "mol_id")
+
+
+def filter_score_sort(spark, d):
+    """The 50 best molecules that pass the custom filter, by a score known from a table."""
+    described = _described(spark, d)
+    scores = described.select("row_key", (F.col("row_key").cast("bigint") % 97).cast("double").alias("score"))
+    path = Workspace(spark, "kept").table_path("kept")
+    out = recipes.filter_score_sort(described, rule_files.parse_rules(RULE_TEXT), scorers.table_scorer(scores), 50, path)
+    return out.select("row_key", "mol_id", "score")
+
+
 def element_lists(spark, d):
     """Molecules by element lists alone: nothing but the allowed elements, none of the denied ones."""
     rules = rule_files.parse_rules("ALLOWED_ELEMENTS C,N,O,S,P,F,H\nELIMINATE_METALS F,P")
@@ -594,9 +649,9 @@ QUERIES = [
     top_n_poses, top_n_lowest, top_n_payload, best_pose_per_id, collapse_best_2, sorted_first_100, sort_by_score,
     score_parse, top_semi_join, pool_minus_scored, union_sources, hit_overlap, exact_sample, exact_sample_large, exact_sample_copies,
     fraction_sample, split_proper_calibration, split_stratified, score_histogram, label_extremes, sdf_split, sdf_tags,
-    sdf_atoms, sdf_bonds, sdf_write_tag, sdf_file_poses, record_count, smiles_split, smiles_descriptors, standardise,
-    graph_signatures, signature_counts, signature_universe, graph_universe, frozen_vectors, graph_vectors,
-    vector_text_roundtrip, descriptors, rule_filter, rule_violations, preset_filter, element_lists, path_motifs,
+    sdf_atoms, sdf_bonds, sdf_write_tag, sdf_file_poses, top_of_file, compare_files, saved_records, record_count, smiles_split, smiles_descriptors, standardise,
+    graph_signatures, signature_counts, signature_universe, universe_roundtrip, graph_universe, frozen_vectors, graph_vectors,
+    vector_text_roundtrip, descriptors, rule_filter, rule_violations, preset_filter, preset_drug, rules_from_files, filter_score_sort, element_lists, path_motifs,
     target_name, conformal_p_values, conformal_p_values_sorted, conformal_p_values_nulls, conformal_p_values_nulls_sorted, nonconformity, prediction_sets, verdicts, efficiency,
     score_with_stored_model, prediction_rows, score_rows, external_scorer, svm_margins, screen_top_n, screen_cycles,
     screen_molecules, plain_screening,

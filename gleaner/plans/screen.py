@@ -54,7 +54,7 @@ class ScreenParams:
         check_bins(self.bad_bin, self.good_bin)
         if self.edges not in ("batch", "cumulative"):
             raise ValueError("edges is 'batch' or 'cumulative'")
-        if min(self.initial_size, self.increment_size, self.max_cycles or 1, self.decisive_cycles) < 1:
+        if min(self.initial_size, self.increment_size, 1 if self.max_cycles is None else self.max_cycles, self.decisive_cycles) < 1:
             raise ValueError("sizes and cycle counts must be positive")
 
 
