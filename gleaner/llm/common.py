@@ -30,13 +30,12 @@ def unit_hash(key: Column, seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("bigint").cast("double") + 0.5) / float(2**48)
 
 
-def is_light(stored: DataFrame, rows: int = LIGHT_ROWS) -> bool:
-    return len(stored.limit(rows + 1).select(F.lit(1)).groupBy().count().where(F.col("count") <= rows).take(1)) == 1
-
-
 def maybe_broadcast(stored: DataFrame, rows: int = LIGHT_ROWS) -> DataFrame:
-    """``stored`` with a broadcast hint if it is measured to have at most ``rows`` rows; else it is left to the planner."""
-    return F.broadcast(stored) if is_light(stored, rows) else stored
+    """``stored`` with a broadcast hint if it is counted to have at most ``rows`` rows; else it is left to the planner.
+
+    The planner then shuffles, so both ways give the same rows.
+    """
+    return F.broadcast(stored) if stored.count() <= rows else stored
 
 
 def same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
