@@ -10,8 +10,8 @@ DELIMITER = "$$$$"
 END_OF_MOLECULE = "M  END"
 CHARGE_CODES = {1: 3, 2: 2, 3: 1, 5: -1, 6: -2, 7: -3}
 
-# A data item: its header line, then the lines up to the next blank one.
-_ITEM = r"(?m)^>[^<\r\n]*<([^>\r\n]+)>[^\r\n]*(?:\r?\n|\z)((?:[^\r\n>][^\r\n]*(?:\r?\n|\z))*)"
+# A data item: its header line, then the lines up to the next blank one or header.
+_ITEM = r"(?m)^>[^<\r\n]*<([^>\r\n]+)>[^\r\n]*(?:\r?\n|\z)((?:(?!>[^<\r\n]*<[^>\r\n]+>)[^\r\n]+(?:\r?\n|\z))*)"
 
 
 def strip_first_break(raw: Column) -> Column:

@@ -9,9 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.records import set_tag, to_sdf
 from gleaner.functions.scores import clean_score
+from gleaner.sources import sdf
 
 Scorer = Callable[[DataFrame], DataFrame]
+KEY_ITEM = "gleaner.row_key"  # data item that carries a record's key through a program
 
 
 def table_scorer(scores: DataFrame, key: str = "row_key", score: str = "score") -> Scorer:
@@ -64,6 +67,28 @@ def external_scorer(
     return run
 
 
+def external_records(
+    molecules: DataFrame, command: Sequence[str], method: str, key: str = "row_key", timeout: float = 3600.0
+) -> DataFrame:
+    """Poses from a program that reads records and writes records: the records it returns, parsed, with ``score``.
+
+    ``molecules`` needs ``raw`` and ``tags``. The program runs once per Arrow batch; it gets whole records, each ended by the delimiter
+    line and with the key in a data item, and prints records the same way, with a score item named ``method``. It may leave
+    records out or return several for one. The record text that it returned is kept as ``raw``.
+    """
+
+    def pipe(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            if not pdf.empty:
+                yield pd.DataFrame({"text": [pipe_text("\n".join(pdf["record"]) + "\n", command, timeout)]}, dtype=object)
+
+    tagged = set_tag(F.col("tags"), KEY_ITEM, F.col(key).cast("string"))
+    asked = molecules.select(to_sdf(F.col("raw"), tagged).alias("record"))
+    answers = sdf.explode_records(asked.mapInPandas(pipe, "text string"), "text")
+    poses = sdf.with_score(sdf.parse_molecules(answers), method)
+    return poses.withColumn(key, F.try_element_at("tags", F.lit(KEY_ITEM)).cast(molecules.schema[key].dataType))
+
+
 def score_rows_with(scorer: Scorer, batch: DataFrame, key: str = "row_key") -> DataFrame:
     """key, score for every row of ``batch``: the best score returned for it, NULL when none was."""
     answers = scorer(batch).groupBy(key).agg(F.max(clean_score(F.col("score"))).alias("score"))

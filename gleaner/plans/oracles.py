@@ -299,6 +299,9 @@ ORACLES: dict[str, str] = {
     + """SELECT score, count(*) AS hits, count(*) AS ids, count(*) AS texts FROM (
   SELECT max(score) AS score FROM scored GROUP BY mol_id ORDER BY score DESC NULLS LAST LIMIT 100) GROUP BY score""",
     "compare_files": "SELECT 4 * count(*) AS pair_matches, count(*) AS distinct_matches, round(4 * count(*) / 1000.0 * 100.0, 6) AS percent FROM orders",
+    "external_records": _with(_DIGITS, _CONFORMERS, _SCORED_CONF)
+    + """SELECT mol_id, 2.0::DOUBLE * any_value(len(d)) AS score, count(*) AS records, CAST(any_value(len(d)) AS BIGINT) AS n
+  FROM scored WHERE len(d) % 3 <> 0 GROUP BY mol_id""",
     "saved_records": _with(_DIGITS, _CONFORMERS, _SCORED_CONF)
     + "SELECT mol_id, max(score) AS score, CAST(count(*) AS DOUBLE) AS labels FROM scored GROUP BY mol_id",
     "record_count": "SELECT 2 * count(*) AS n_records FROM orders",

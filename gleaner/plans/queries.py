@@ -590,6 +590,21 @@ def external_scorer(spark, d):
     return scorers.score_rows_with(run, events).withColumn("score", F.round("score", 6))
 
 
+def external_records(spark, d):
+    """Records through a program that adds twice the number of atoms as a score and leaves out every third size."""
+    code = (
+        "import sys\n"
+        "for record in sys.stdin.read().split('$$$$\\n'):\n"
+        "    if record.strip():\n"
+        "        atoms = int(record.split('\\n')[3][:3])\n"
+        "        if atoms % 3:\n"
+        "            print(record + f'> <Hybrid2>\\n{2.0 * atoms}\\n\\n$$$$')\n"
+    )
+    poses = scorers.external_records(_molecules_from_text(spark, d), [sys.executable, "-c", code], "Hybrid2", timeout=600.0)
+    found = poses.groupBy("mol_id").agg(F.max("score").alias("score"), F.countDistinct("row_key").alias("records"), F.max(F.size("atoms")).alias("n"))
+    return found.withColumn("n", F.col("n").cast("bigint"))
+
+
 # --- learning and the loop ----------------------------------------------------------------------------------------
 
 
@@ -653,6 +668,6 @@ QUERIES = [
     graph_signatures, signature_counts, signature_universe, universe_roundtrip, graph_universe, frozen_vectors, graph_vectors,
     vector_text_roundtrip, descriptors, rule_filter, rule_violations, preset_filter, preset_drug, rules_from_files, filter_score_sort, element_lists, path_motifs,
     target_name, conformal_p_values, conformal_p_values_sorted, conformal_p_values_nulls, conformal_p_values_nulls_sorted, nonconformity, prediction_sets, verdicts, efficiency,
-    score_with_stored_model, prediction_rows, score_rows, external_scorer, svm_margins, screen_top_n, screen_cycles,
+    score_with_stored_model, prediction_rows, score_rows, external_scorer, external_records, svm_margins, screen_top_n, screen_cycles,
     screen_molecules, plain_screening,
 ]

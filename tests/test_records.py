@@ -104,3 +104,8 @@ def test_write_and_read_again(spark, tmp_path):
     assert [r.mol_id for r in back] == ["ions", "water 1"]
     assert all(r.label == 1.0 and r.features.ids == [1, 4] and r.features.vals == [2.0, 1.0] for r in back)
     assert back[1].tags["Chemgauss4"] == "-6.5"
+
+
+def test_a_value_line_may_begin_with_the_header_sign(spark):
+    (row,) = parsed(spark, record("t", [atom(0, "C")], [], [("A", "first\n> quoted\nlast"), ("B", "x")]))
+    assert row.tags == {"A": "first\n> quoted\nlast", "B": "x"}
