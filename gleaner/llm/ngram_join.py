@@ -45,6 +45,8 @@ NEED, FULL = 3, 4
 COUNT_ALL, SHIP_ALL, LOOKED_AT = 96, 128, np.uint64(int(0.4 * 2**64))
 #: Shingles that a part of steps 2 and 3 should hold.
 PART = 4_000_000
+#: Counts, one for each set of a part at most, that are added up in one place.
+BUCKET = 1_000_000
 #: A chunk of a block in step 4 ends at so many shingles or documents; of each chunk so many components go on to the next.
 CHUNK_SHINGLES, CHUNK_DOCUMENTS, CARRIED = 1_000_000, 2048, 32
 #: Documents that a salted part of a hot block should hold.
@@ -159,14 +161,28 @@ def _part(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, owner, counts
 
 
-def _own_shingles(table: pa.Table) -> pa.Table:
-    """For each document of a part, how many of the shingles it is judged by no other document of the part has."""
-    hashes, owner, counts = _part(table)
-    n = table.column("n").to_numpy()
-    judged = (counts == 1) & ((n[owner] <= COUNT_ALL) | (hashes < LOOKED_AT))
-    own = np.bincount(owner[judged], minlength=len(n))
-    some = pa.array(own > 0)
-    return pa.table({"doc_id": table.column("doc_id").filter(some), "name": table.column("name").filter(some), "own": own[own > 0]})
+def _own_task(buckets: int):
+    def own_shingles(table: pa.Table) -> pa.Table:
+        """How many of the shingles that a set is judged by no other set of the part has, as bytes of (id, name, n, own) by bucket of sets."""
+        hashes, owner, counts = _part(table)
+        ids, names, n = (table.column(c).to_numpy() for c in ("doc_id", "name", "n"))
+        judged = (counts == 1) & ((n[owner] <= COUNT_ALL) | (hashes < LOOKED_AT))
+        rows = np.column_stack((ids, names, n, np.bincount(owner[judged], minlength=len(n))))
+        bucket = names.view(np.uint64) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        at, first = np.unique(bucket[order], return_index=True)
+        blobs = [r.tobytes() for r in np.split(rows[order], first[1:])]
+        return pa.table({"bucket": at.astype(np.int64), "rows": pa.array(blobs, pa.binary())})
+
+    return own_shingles
+
+
+def _able(table: pa.Table) -> pa.Table:
+    """The ids of a bucket's sets that have at most a quarter of their shingles to themselves, as far as looked at."""
+    rows = np.concatenate([np.frombuffer(b.as_buffer(), np.int64).reshape(-1, 4) for b in table.column("rows")])
+    sets, place = np.unique(rows[:, :3], axis=0, return_inverse=True)
+    own = np.bincount(place.ravel(), rows[:, 3], len(sets))
+    return pa.table({"doc_id": np.unique(sets[own * FULL <= sets[:, 2] * (FULL - NEED), 0])})
 
 
 def _list_lengths(table: pa.Table) -> pa.Table:
@@ -395,11 +411,11 @@ def shingle_components(documents: DataFrame) -> DataFrame:
     totals = classes.agg(F.count("*").alias("n"), F.coalesce(F.sum("key.n"), F.lit(0)).alias("shingles")).first()
 
     reps = maybe_broadcast(work.write(classes.select(F.col("rep").alias("doc_id")).distinct(), "reps"))
-    dealt = rows.join(reps, "doc_id", "left_semi").mapInArrow(_deal_texts_task(max(1, math.ceil(totals.shingles / PART))), "part bigint, doc_id bigint, name bigint, n bigint, hashes binary")
-    own = dealt.groupBy("part").applyInArrow(_own_shingles, "doc_id bigint, name bigint, own bigint")
-    own = work.write(own.groupBy("doc_id", "name").agg(F.sum("own").alias("own")), "own")
-    judged = classes.select(F.col("rep").alias("doc_id"), F.col("key.s1").alias("name"), F.col("key.n").alias("n")).join(own, ["doc_id", "name"], "left")
-    able = judged.where(F.coalesce("own", F.lit(0)) * FULL <= F.col("n") * (FULL - NEED)).select("doc_id").distinct()
+    parts = max(1, math.ceil(totals.shingles / PART))
+    dealt = rows.join(reps, "doc_id", "left_semi").mapInArrow(_deal_texts_task(parts), "part bigint, doc_id bigint, name bigint, n bigint, hashes binary")
+    buckets = max(1, math.ceil(min(totals.n * parts, totals.shingles) / BUCKET))
+    own = dealt.groupBy("part").applyInArrow(_own_task(buckets), "bucket bigint, rows binary")
+    able = own.groupBy("bucket").applyInArrow(_able, "doc_id bigint").distinct()
     able = maybe_broadcast(work.write(able, "able"))
     sets = rows.join(able, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, name bigint, n bigint, shingles array<bigint>, keys array<bigint>")
     sets = work.write(sets.where("n > 0"), "sets")

@@ -68,7 +68,7 @@ def test_against_brute_force(make, seed):
 
 def test_small_chunks_salts_and_parts_change_nothing(make, monkeypatch):
     rows = corpus(3, 60)
-    for name, value in (("CHUNK_DOCUMENTS", 16), ("CARRIED", 2), ("SALT_ROWS", 8), ("PART", 5000), ("HOT_SHARE", 0.01)):
+    for name, value in (("CHUNK_DOCUMENTS", 16), ("CARRIED", 2), ("SALT_ROWS", 8), ("PART", 5000), ("BUCKET", 300), ("HOT_SHARE", 0.01)):
         monkeypatch.setattr(ngram_join, name, value)
     assert result(make(rows)) == brute(rows)
 
