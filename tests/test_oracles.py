@@ -1,5 +1,7 @@
 """Every query that has a SQL form gives the rows that DuckDB gives."""
 
+import re
+
 import __spark_entry__ as entry
 import pytest
 
@@ -21,7 +23,10 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+OWN = sorted(name for name in entry.oracle_sql() if not re.match(r"op\d+_|pipeline", name))  # the others have tests of their own
+
+
+@pytest.mark.parametrize("name", OWN)
 def test_query(spark, con, name):
     assert differences(entry.queries()[name](spark, SF), entry.oracle_sql()[name], con) is None
 
