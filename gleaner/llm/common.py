@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII blanks.
@@ -43,6 +45,18 @@ def same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Col
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the jobs that are started within; long texts then need less memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def spread_lookup(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Inner join of stored ``rows`` with one row per ``key`` of stored ``groups``.
 

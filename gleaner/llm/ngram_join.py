@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import HOT_SHARE, maybe_broadcast, spread_lookup
+from gleaner.llm.common import HOT_SHARE, arrow_batches, maybe_broadcast, spread_lookup
 from gleaner.llm.components import components
 from gleaner.llm.textbytes import Texts, mix64, slices, words
 from gleaner.session import Workspace
@@ -47,6 +47,8 @@ COUNT_ALL, SHIP_ALL, LOOKED_AT = 96, 128, np.uint64(int(0.4 * 2**64))
 PART = 4_000_000
 #: Counts, one for each set of a part at most, that are added up in one place.
 BUCKET = 1_000_000
+#: Rows that go to Python at once; whole texts and sets are long.
+BATCH_ROWS = 1000
 #: A chunk of a block in step 4 ends at so many shingles or documents; of each chunk so many components go on to the next.
 CHUNK_SHINGLES, CHUNK_DOCUMENTS, CARRIED = 1_000_000, 2048, 32
 #: Documents that a salted part of a hot block should hold.
@@ -104,16 +106,18 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # A set is named by its id and the sum of its hashes, as an id may stand for several sets.
 
 
-def _dealt(hashes: np.ndarray, owner: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(part, text, hashes in bytes) of shingles that are ordered by text, one row for each part of a text."""
+def _dealt(hashes: np.ndarray, owner: np.ndarray, about: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Shingles of some sets by part, a row for each part: the sets (id, name, n, number of shingles here) and the hashes, in bytes."""
     part = (hashes % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((part, owner))
+    order = np.lexsort((owner, part))
     hashes, owner, part = hashes[order], owner[order], part[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])
-    at = np.append(np.flatnonzero(new), len(hashes))
-    blobs = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int32).tobytes()), pa.py_buffer(hashes.tobytes())])
-    return part[at[:-1]], owner[at[:-1]], blobs
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+    sets, shingles = [], []
+    for i, j in zip(first, np.append(first[1:], len(part))):
+        here, count = np.unique(owner[i:j], return_counts=True)
+        sets.append(np.column_stack((about[here], count)).astype(np.int64).tobytes())
+        shingles.append(hashes[i:j].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(sets, pa.binary()), pa.array(shingles, pa.binary())], ["part", "sets", "hashes"])
 
 
 def _deal_texts_task(parts: int):
@@ -124,10 +128,8 @@ def _deal_texts_task(parts: int):
                 at = _offsets(owner, len(texts))
                 n, name = np.diff(at), _sums(hashes, at).view(np.int64)
                 sent = (n[owner] <= SHIP_ALL) | (hashes < LOOKED_AT)
-                part, rows, blobs = _dealt(hashes[sent], owner[sent], parts)
                 ids = batch.column("doc_id").slice(texts.first, len(texts)).to_numpy(zero_copy_only=False)
-                columns = [pa.array(part), pa.array(ids[rows]), pa.array(name[rows]), pa.array(n[rows]), blobs]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "name", "n", "hashes"])
+                yield _dealt(hashes[sent], owner[sent], np.column_stack((ids, name, n)), parts)
 
     return deal
 
@@ -136,9 +138,9 @@ def _deal_sets_task(parts: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, at = _lists(batch.column("shingles"))
-            part, rows, blobs = _dealt(values[at[0] : at[-1]], np.repeat(np.arange(len(at) - 1), np.diff(at)), parts)
-            ids, names = (batch.column(c).take(pa.array(rows)) for c in ("doc_id", "name"))
-            yield pa.RecordBatch.from_arrays([pa.array(part), ids, names, blobs], ["part", "doc_id", "name", "hashes"])
+            ids, names = (batch.column(c).to_numpy() for c in ("doc_id", "name"))
+            about = np.column_stack((ids, names, np.diff(at)))
+            yield _dealt(values[at[0] : at[-1]], np.repeat(np.arange(len(at) - 1), np.diff(at)), about, parts)
 
     return deal
 
@@ -148,27 +150,27 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
 
 
-def _part(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, row, number of rows with the hash) of a part, as the rows list them."""
-    blobs = table.column("hashes").combine_chunks() if isinstance(table.column("hashes"), pa.ChunkedArray) else table.column("hashes")
-    hashes = np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in blobs])
-    owner = np.repeat(np.arange(len(blobs)), [len(b.as_buffer()) // 8 for b in blobs])
+def _part(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sets, hashes, set of each hash, number of sets with the hash) of a part."""
+    sets = np.concatenate([np.frombuffer(b.as_buffer(), np.int64).reshape(-1, 4) for b in table.column("sets")])
+    hashes = np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("hashes")])
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sets[:, 3])
     order = np.argsort(hashes, kind="stable")
-    new = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])))
-    length = np.diff(np.append(new, len(hashes)))
+    ordered = hashes[order]
+    new = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    length = np.diff(np.append(new, len(hashes))).astype(np.int32)
     counts = np.empty(len(hashes), np.int32)
     counts[order] = np.repeat(length, length)
-    return hashes, owner, counts
+    return sets, hashes, owner, counts
 
 
 def _own_task(buckets: int):
     def own_shingles(table: pa.Table) -> pa.Table:
         """How many of the shingles that a set is judged by no other set of the part has, as bytes of (id, name, n, own) by bucket of sets."""
-        hashes, owner, counts = _part(table)
-        ids, names, n = (table.column(c).to_numpy() for c in ("doc_id", "name", "n"))
-        judged = (counts == 1) & ((n[owner] <= COUNT_ALL) | (hashes < LOOKED_AT))
-        rows = np.column_stack((ids, names, n, np.bincount(owner[judged], minlength=len(n))))
-        bucket = names.view(np.uint64) % np.uint64(buckets)
+        sets, hashes, owner, counts = _part(table)
+        judged = (counts == 1) & ((sets[owner, 2] <= COUNT_ALL) | (hashes < LOOKED_AT))
+        rows = np.column_stack((sets[:, :3], np.bincount(owner[judged], minlength=len(sets))))
+        bucket = np.ascontiguousarray(sets[:, 1]).view(np.uint64) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         at, first = np.unique(bucket[order], return_index=True)
         blobs = [r.tobytes() for r in np.split(rows[order], first[1:])]
@@ -177,6 +179,14 @@ def _own_task(buckets: int):
     return own_shingles
 
 
+def _list_lengths(table: pa.Table) -> pa.Table:
+    """The sets of a part with the lengths of their shingles' lists, in bytes as the hashes are."""
+    sets, hashes, _, counts = _part(table)
+    at = np.concatenate(([0], np.cumsum(sets[:, 3])))
+    blobs = [[x[i:j].tobytes() for i, j in zip(at[:-1], at[1:])] for x in (hashes, counts)]
+    return pa.table({"doc_id": sets[:, 0].copy(), "name": sets[:, 1].copy(), "hashes": pa.array(blobs[0], pa.binary()), "lengths": pa.array(blobs[1], pa.binary())})
+
+
 def _able(table: pa.Table) -> pa.Table:
     """The ids of a bucket's sets that have at most a quarter of their shingles to themselves, as far as looked at."""
     rows = np.concatenate([np.frombuffer(b.as_buffer(), np.int64).reshape(-1, 4) for b in table.column("rows")])
@@ -185,14 +195,6 @@ def _able(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": np.unique(sets[own * FULL <= sets[:, 2] * (FULL - NEED), 0])})
 
 
-def _list_lengths(table: pa.Table) -> pa.Table:
-    """The documents of a part with the lengths of their shingles' lists, in bytes as the hashes are."""
-    hashes, owner, counts = _part(table)
-    at = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=table.num_rows))))
-    lengths = [counts[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
-    return pa.table({"doc_id": table.column("doc_id"), "name": table.column("name"), "hashes": table.column("hashes"), "lengths": pa.array(lengths, pa.binary())})
-
-
 def _rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each document the size, the shingles of its own, and its floor(n / 4) + 1 rarest shingles that others have, with their places."""
     for batch in batches:
@@ -401,8 +403,12 @@ def shingle_components(documents: DataFrame) -> DataFrame:
     one of blanks, has no shingles and links with nothing. Rows with one doc_id are one document: they share a component. A null
     id takes no part, and its component is null. An empty table gives an empty result; other columns are not read.
     """
-    spark = documents.sparkSession
-    work = Workspace(spark, "ngram-join")
+    with arrow_batches(documents.sparkSession, BATCH_ROWS):
+        return _shingle_components(documents)
+
+
+def _shingle_components(documents: DataFrame) -> DataFrame:
+    work = Workspace(documents.sparkSession, "ngram-join")
     rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text"))
     base = work.write(rows.mapInArrow(_digests, "doc_id bigint, n bigint, s1 bigint, s2 bigint"), "digests")
     base = base.withColumn("key", F.struct("n", "s1", "s2"))
@@ -412,7 +418,7 @@ def shingle_components(documents: DataFrame) -> DataFrame:
 
     reps = maybe_broadcast(work.write(classes.select(F.col("rep").alias("doc_id")).distinct(), "reps"))
     parts = max(1, math.ceil(totals.shingles / PART))
-    dealt = rows.join(reps, "doc_id", "left_semi").mapInArrow(_deal_texts_task(parts), "part bigint, doc_id bigint, name bigint, n bigint, hashes binary")
+    dealt = rows.join(reps, "doc_id", "left_semi").mapInArrow(_deal_texts_task(parts), "part bigint, sets binary, hashes binary")
     buckets = max(1, math.ceil(min(totals.n * parts, totals.shingles) / BUCKET))
     own = dealt.groupBy("part").applyInArrow(_own_task(buckets), "bucket bigint, rows binary")
     able = own.groupBy("bucket").applyInArrow(_able, "doc_id bigint").distinct()
@@ -421,7 +427,7 @@ def shingle_components(documents: DataFrame) -> DataFrame:
     sets = work.write(sets.where("n > 0"), "sets")
 
     parts = max(1, math.ceil((sets.agg(F.sum("n")).first()[0] or 0) / PART))
-    dealt = sets.select("doc_id", "name", "shingles").mapInArrow(_deal_sets_task(parts), "part bigint, doc_id bigint, name bigint, hashes binary")
+    dealt = sets.select("doc_id", "name", "shingles").mapInArrow(_deal_sets_task(parts), "part bigint, sets binary, hashes binary")
     dealt = dealt.groupBy("part").applyInArrow(_list_lengths, "doc_id bigint, name bigint, hashes binary, lengths binary")
     pieces = dealt.groupBy("doc_id", "name").agg(F.collect_list(F.struct("hashes", "lengths")).alias("pieces"))  # of one document
     rarest = pieces.mapInArrow(_rarest, "doc_id bigint, n bigint, own bigint, at array<int>, shingle array<bigint>")
