@@ -3,7 +3,7 @@
 A document is the set of its distinct shingles of five words. Two documents of sizes a and b link at a similarity of 0.75,
 that is when they share T = ceil(3 (a + b) / 7) shingles. Documents that link, directly or over others, form a component.
 
-1. Documents with equal sets are one from here on, the one with the smallest id.
+1. Documents with equal sets are one from here on, the one with the smallest id. Of an id's rows with equal sets one goes on.
 2. A document with more than a quarter of its shingles to itself can't link. Shingles are dealt into parts, and a part counts
    which of its shingles only one document has. For documents above 96 shingles two fifths of all shingles are looked at, which
    gives a lower bound and so never drops a document that links. Most documents end here.
@@ -93,6 +93,12 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def _with_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for texts, digests in zip(slices(batch.column("text")), _digests([batch])):
+            yield digests.append_column("text", batch.column("text").slice(texts.first, len(texts)))
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for texts in slices(batch.column("text")):
@@ -396,6 +402,18 @@ def _ids_of_two_sets(known: DataFrame, classes: DataFrame) -> DataFrame:
     return found.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
 
 
+def _one_row_of_each_set(rows: DataFrame, known: DataFrame, work: Workspace) -> DataFrame:
+    """``rows`` (doc_id, text) with one row for each id and set. Only rows of ids that ``known`` (doc_id, key) has more than once are compared."""
+    repeated = known.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    repeated = maybe_broadcast(work.write(repeated, "repeated"))
+    if not repeated.take(1):
+        return rows
+    several = rows.join(repeated, "doc_id", "left_semi").mapInArrow(_with_digests, "doc_id bigint, n bigint, s1 bigint, s2 bigint, text string")
+    several = several.where("n > 0").groupBy("doc_id", "n", "s1", "s2").agg(F.first("text").alias("text"))
+    several = work.write(several.select("doc_id", "text"), "several")
+    return rows.join(repeated, "doc_id", "left_anti").unionByName(several)
+
+
 def shingle_components(documents: DataFrame) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -417,13 +435,15 @@ def _shingle_components(documents: DataFrame) -> DataFrame:
     totals = classes.agg(F.count("*").alias("n"), F.coalesce(F.sum("key.n"), F.lit(0)).alias("shingles")).first()
 
     reps = maybe_broadcast(work.write(classes.select(F.col("rep").alias("doc_id")).distinct(), "reps"))
+    known = base.where("n > 0 and doc_id is not null").select("doc_id", "key", "n")
+    joined = _one_row_of_each_set(rows.join(reps, "doc_id", "left_semi"), known.join(reps, "doc_id", "left_semi"), work)
     parts = max(1, math.ceil(totals.shingles / PART))
-    dealt = rows.join(reps, "doc_id", "left_semi").mapInArrow(_deal_texts_task(parts), "part bigint, sets binary, hashes binary")
+    dealt = joined.mapInArrow(_deal_texts_task(parts), "part bigint, sets binary, hashes binary")
     buckets = max(1, math.ceil(min(totals.n * parts, totals.shingles) / BUCKET))
     own = dealt.groupBy("part").applyInArrow(_own_task(buckets), "bucket bigint, rows binary")
     able = own.groupBy("bucket").applyInArrow(_able, "doc_id bigint").distinct()
     able = maybe_broadcast(work.write(able, "able"))
-    sets = rows.join(able, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, name bigint, n bigint, shingles array<bigint>, keys array<bigint>")
+    sets = joined.join(able, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, name bigint, n bigint, shingles array<bigint>, keys array<bigint>")
     sets = work.write(sets.where("n > 0"), "sets")
 
     parts = max(1, math.ceil((sets.agg(F.sum("n")).first()[0] or 0) / PART))
@@ -435,7 +455,6 @@ def _shingle_components(documents: DataFrame) -> DataFrame:
     able = maybe_broadcast(work.write(rarest.select("doc_id").distinct(), "still-able"))
     sets = work.write(sets.join(able, "doc_id", "left_semi"), "joined-sets")
 
-    known = base.where("n > 0 and doc_id is not null").select("doc_id", "key", "n")
     forest = _block_links(sets, totals.n).unionByName(_ids_of_two_sets(known, classes))
     forest = work.write(forest, "forest")
     member = components(forest, work, "blocks")

@@ -78,6 +78,21 @@ def test_without_block_rounds_the_completion_finds_every_link(spark, make, monke
     assert result(make(rows)) == brute(rows)
 
 
+def test_repeated_rows_are_one_set(spark, make, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for i in range(0, 60, 3):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(rng.choice([30, 60, 150]))]
+        near = " ".join(words[:-2] + ["other", f"end{i}"])
+        rows += [(i, " ".join(words))] * rng.choice([2, 3, 9]) + [(i, " ".join(words).upper()), (i + 1, near), (i + 2, " ".join(words[:20]))]
+    rng.shuffle(rows)
+    want = brute(rows)
+    assert sum(c != d for d, _, c in want) >= 20
+    assert result(make(rows)) == want
+    monkeypatch.setattr(ngram_join, "_block_links", lambda sets, total: sets.sparkSession.createDataFrame([], "u bigint, v bigint"))
+    assert result(make(rows)) == want
+
+
 def test_edges(make):
     rows = [(5, None), (6, ""), (7, " \t"), (8, "One two"), (9, "one TWO"), (10, "É one"), (11, "é one"), (None, "one two"), (None, None)]
     rows += [(20, LONG), (21, LONG + " more"), (4, LONG + " other")]
