@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, decontaminate, exact_dedup, html_wrapper, mixing, ngram_join, quality, sharding, toxicity, warc
+from gleaner.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    html_wrapper,
+    line_dedup,
+    mixing,
+    ngram_join,
+    periodic_runs,
+    quality,
+    sharding,
+    toxicity,
+    warc,
+    whitening,
+)
+from gleaner.llm.common import WORD, text_of
 from gleaner.session import Workspace
 
 
@@ -87,6 +102,52 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, folder, "documents"))
 
 
+def _with_planted_runs(documents: DataFrame) -> DataFrame:
+    """(doc_id, text); a document whose id's checksum is divisible by 10 repeats a stretch of its words up to its end."""
+    checksum = F.crc32(F.col("doc_id").cast("string"))
+    g, words = F.floor(checksum / 10), F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0))
+
+    def planted(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        times = F.ceil((n - a) / p).cast("int")
+        tail = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), times)), F.lit(1), n - a)
+        return F.when(n > 0, F.concat_ws(" ", F.concat(F.slice(w, F.lit(1), a), tail))).otherwise("")
+
+    text = F.when(checksum % 10 == 0, F.transform(F.array(words), planted)[0]).otherwise(text_of())
+    return documents.select("doc_id", text.alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's runs of repeating words."""
+    found = periodic_runs.periodic_runs(_with_planted_runs(_table(spark, folder, "documents")))
+    top = periodic_runs.longest()
+    said = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    ended = F.transform(said, lambda line: F.concat(line, F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        top["start"].alias("start"),
+        top["length"].alias("length"),
+        top["period"].alias("period"),
+        F.floor(top["length"] * 1000 / top["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(ended, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's lines without those that earlier documents hold."""
+    kept = line_dedup.dedup_lines(_table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's whitened components; entries are whole numbers of 64ths, offset by a million."""
+    return whitening.whitened_rows(_table(spark, folder, "embeddings"), "vec_id", "embedding", scale=64, offset=1_000_000)
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_warc,
     op2_decontaminate,
@@ -98,6 +159,9 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op8_toxicity,
     op9_mixing,
     op10_exact_dedup,
+    op11_periodic_runs,
+    op12_line_dedup,
+    op13_whitening,
 ]
 
 ORACLES = {
@@ -195,4 +259,43 @@ ORACLES = {
         WITH t AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
         g AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM g""",
+    "op11_periodic_runs": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+                       lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, y: xor(a // 2, 3988292384 * (a % 2)))), 4294967295) AS h
+            FROM documents),
+        a AS (SELECT doc_id, w, len(w) AS n, h % 10 AS planted, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+        b AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+        t AS MATERIALIZED (
+            SELECT doc_id, n, CASE WHEN planted = 0 AND n > 0
+                THEN list_transform(range(n), lambda i: CASE WHEN i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END) ELSE w END AS w FROM b),
+        lags AS (SELECT doc_id, n, w, unnest(range(1, n // 4 + 1)) AS q FROM t),
+        cand AS MATERIALIZED (
+            SELECT doc_id, n, w, q FROM lags
+            WHERE len(list_filter(range(0, n - 3 * q, q), lambda k: w[k + 1] = w[k + q + 1] AND w[k + q + 1] = w[k + 2 * q + 1] AND w[k + 2 * q + 1] = w[k + 3 * q + 1])) > 0),
+        miss AS (  -- the places that differ from the one q later, with the ends of the text
+            SELECT doc_id, q, n, unnest(list_concat([-1], list_filter(range(n - q), lambda i: w[i + 1] <> w[i + q + 1]), [n - q])) AS i FROM cand),
+        gap AS (SELECT doc_id, q, lag(i) OVER (PARTITION BY doc_id, q ORDER BY i) + 1 AS s, i + q AS e FROM miss),
+        long AS (SELECT doc_id, s, e - s AS len, q FROM gap WHERE s IS NOT NULL AND e - s >= greatest(6, 4 * q)),
+        runs AS MATERIALIZED (SELECT doc_id, s, len, min(q) AS q FROM long GROUP BY doc_id, s, len),
+        per AS (
+            SELECT doc_id, count(*) AS n_runs, first(struct_pack(s := s, l := len, q := q) ORDER BY len DESC, s, q) AS top,
+                   string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS said FROM runs GROUP BY doc_id),
+        cut AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs),
+        kept AS (
+            SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS said FROM (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM t) x
+            ANTI JOIN cut c ON c.doc_id = x.doc_id AND c.i = x.i GROUP BY x.doc_id)
+        SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS "start", top.l AS length, top.q AS period, 1000 * top.l // top.q AS exponent_milli,
+               sha256(coalesce(per.said, '')) AS runs_sha256, sha256(coalesce(kept.said, '')) AS collapsed_sha256
+        FROM t LEFT JOIN per ON per.doc_id = t.doc_id LEFT JOIN kept ON kept.doc_id = t.doc_id""",
+    "op12_line_dedup": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        l AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d),
+        k AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        o AS (SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS gone FROM k)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM o GROUP BY doc_id""",
 }
