@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
-#: A narrow table of at most this many rows (some tens of bytes each) may be sent to every executor.
-LIGHT_ROWS = 1_000_000
+#: A table of at most this many rows, and of so many bytes in its texts and lists, may be sent to every executor.
+LIGHT_ROWS, LIGHT_BYTES = 1_000_000, 64 << 20
 #: A key is hot when it holds more than this share of all rows, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 1000
 
@@ -32,12 +32,18 @@ def unit_hash(key: Column, seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("bigint").cast("double") + 0.5) / float(2**48)
 
 
-def maybe_broadcast(stored: DataFrame, rows: int = LIGHT_ROWS) -> DataFrame:
-    """``stored`` with a broadcast hint if it is counted to have at most ``rows`` rows; else it is left to the planner.
+def maybe_broadcast(stored: DataFrame) -> DataFrame:
+    """``stored`` with a broadcast hint if it is measured to be within ``LIGHT_ROWS`` and ``LIGHT_BYTES``; else it is left to the planner.
 
     The planner then shuffles, so both ways give the same rows.
     """
-    return F.broadcast(stored) if stored.count() <= rows else stored
+    if stored.count() > LIGHT_ROWS:
+        return stored
+    if wide := [c for c, kind in stored.dtypes if kind in ("string", "binary") or "<" in kind]:
+        size = stored.agg(F.sum(F.octet_length(F.to_json(F.struct(*wide))))).first()[0] or 0
+        if size > LIGHT_BYTES:
+            return stored
+    return F.broadcast(stored)
 
 
 def same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:

@@ -8,6 +8,9 @@ a quarter of the largest size in its partition. A document that misses a quarter
 at least, so the search loses nothing, whatever the document's length. On the document's side only hashes up to the
 largest value of any sketch are looked up.
 
+An item of fewer than five words is a single run of its own length, and is looked for among the documents' runs of that length;
+only the lengths that items really have are cut.
+
 Each pair found is verified with the shingles themselves.
 """
 
@@ -44,14 +47,31 @@ def _windows(words: Column, n: int, joined, rest) -> Column:
 
 
 def shingles(words: Column, n: int = WORDS) -> Column:
-    """The runs of ``n`` words, joined by blanks, repeats included."""
+    """The runs of ``n`` words, joined by blanks, repeats included; of a shorter text, the whole."""
     return _windows(words, n, lambda w, i: F.array_join(F.slice(w, i + 1, n), " "), lambda w: F.array_join(w, " "))
 
 
-def shingle_hashes(words: Column, n: int = WORDS) -> Column:
-    """A 64-bit hash for each shingle: equal shingles have equal hashes."""
-    run = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])
-    return _windows(words, n, run, lambda w: run(w, F.lit(0)))
+def _runs(words: Column, lengths: list[int], joined) -> Column:
+    """``joined(words, i, n)`` for every start i of n words, for each n of ``lengths``; none where a text is shorter."""
+
+    def windows(w: Column) -> Column:
+        def of(n: int) -> Column:
+            starts = F.slice(F.sequence(F.lit(0), F.greatest(F.size(w), F.lit(1)) - 1), F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(0)))
+            return F.transform(starts, lambda i: joined(w, i, n))
+
+        return F.concat(*[of(n) for n in lengths])
+
+    return F.transform(F.array(words), windows)[0]
+
+
+def run_hashes(words: Column, lengths: list[int]) -> Column:
+    """A 64-bit hash for each run of as many words: equal runs have equal hashes."""
+    return _runs(words, lengths, lambda w, i, n: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+
+
+def runs(words: Column, lengths: list[int]) -> Column:
+    """The runs of as many words, joined by blanks, repeats included."""
+    return _runs(words, lengths, lambda w, i, n: F.array_join(F.slice(w, i + 1, n), " "))
 
 
 def item_sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -71,20 +91,23 @@ def contamination(documents: DataFrame, items: DataFrame, n: int = WORDS, percen
 
     ``documents`` has doc_id and text, ``items`` item_id and text; no other column is read. A null or empty text, or one
     without letters and digits, contains nothing and is contained in nothing. An item of fewer than ``n`` words is one shingle,
-    and so is a document; they match as wholes. Rows with one doc_id (null is an id too) are taken together, with the
+    and every document that holds these words in a row, anywhere, contains it. Rows with one doc_id (null is an id too) are taken together, with the
     largest number of shared shingles; so are rows with one item_id, with the union of their shingles. Documents without a
     contained item don't appear.
     """
     work = Workspace(documents.sparkSession, "decontaminate")
     each = items.select(F.col("item_id").cast("bigint"), F.explode(shingles(tokens(text_of()), n)).alias("s"))
     gathered = each.groupBy("item_id").agg(F.collect_set("s").alias("shingles"))
+    # Beyond the last word, get() is null and adds nothing to the hash, so a short item's is that of a run of its length.
     hashed = F.transform("shingles", lambda s: F.xxhash64(*[F.get(F.split(s, " "), F.lit(k)) for k in range(n)]))
     known = work.write(gathered.withColumn("hashes", F.array_distinct(hashed)), "items")
     index = work.write(item_sketches(known, percent), "sketches")
+    size = F.size(F.split("s", " "))
+    lengths = [n, *sorted(r[0] for r in known.select(F.explode("shingles").alias("s")).where(size < n).select(size).distinct().collect())]
 
     texts = documents.select(F.col("doc_id").cast("bigint"), text_of().alias("text"))
     top = index.agg(F.max("hash")).scalar()
-    hashes = texts.select("doc_id", shingle_hashes(tokens(F.col("text")), n).alias("hashes"))
+    hashes = texts.select("doc_id", run_hashes(tokens(F.col("text")), lengths).alias("hashes"))
     probes = hashes.select("doc_id", F.size("hashes").alias("n"), F.explode("hashes").alias("hash")).where(F.col("hash") <= top)
     enough = F.col("n") * 100 >= F.col("item_shingles") * percent
     found = probes.join(maybe_broadcast(index), "hash").where(enough).select("doc_id", "item_id")
@@ -92,7 +115,7 @@ def contamination(documents: DataFrame, items: DataFrame, n: int = WORDS, percen
 
     ids = maybe_broadcast(work.write(pairs.select("doc_id").distinct(), "ids"))
     near = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    near = near.select("doc_id", F.array_distinct(shingles(tokens(F.col("text")), n)).alias("own"))
+    near = near.select("doc_id", F.array_distinct(runs(tokens(F.col("text")), lengths)).alias("own"))
     light = maybe_broadcast(pairs.withColumnRenamed("doc_id", "id"))
     both = near.join(light, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
     light = maybe_broadcast(known.select(F.col("item_id").alias("id"), "shingles"))

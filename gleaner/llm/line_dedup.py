@@ -47,45 +47,51 @@ class LineRuns:
         self.levels: list[list[str]] = [[]]
         self.made: list[str] = []
 
-    def tables(self) -> list[str]:
-        """The live runs, largest first."""
-        return [name for level in reversed(self.levels) for name in level]
+    def runs(self) -> list[DataFrame]:
+        """The live runs (hash, first), largest first."""
+        return [self._run(name) for level in reversed(self.levels) for name in level]
 
-    def store(self, hashes: DataFrame) -> str:
-        """A new run of ``hashes`` (hash, first): one file for each bucket, sorted."""
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.table(name).where(~F.col("earlier")).select("hash", "first")
+
+    def _store(self, hashes: DataFrame) -> str:
+        """``hashes`` as a table: one file for each bucket, sorted."""
         name = f"line_run_{uuid.uuid4().hex}"
-        rows = hashes.repartition(self.buckets, "hash").write.format("parquet").bucketBy(self.buckets, "hash").sortBy("hash")
-        rows.option("path", self.work.table_path(name)).saveAsTable(name)
+        writer = hashes.write.format("parquet").bucketBy(self.buckets, "hash").sortBy("hash")
+        writer.option("path", self.work.table_path(name)).saveAsTable(name)
         self.made.append(name)
         return name
 
-    def split(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(those of ``batch`` (hash, ...) that stand in a run, those that stand in none); ``batch`` should be a bucketed table."""
-        new = batch
-        for name in self.tables():
-            new = new.join(self.spark.table(name).select("hash").hint("merge"), "hash", "left_anti")
-        seen = [batch.join(self.spark.table(name).select("hash").hint("merge"), "hash", "left_semi") for name in self.tables()]
-        found = batch.limit(0) if not seen else seen[0]
-        for more in seen[1:]:
-            found = found.unionByName(more)
-        return found, new
-
-    def add(self, new: DataFrame) -> None:
-        """``new`` (hash, first) as a run of level 0; full levels are compacted."""
-        self.levels[0].append(self.store(new))
+    def split(self, batch: DataFrame) -> DataFrame:
+        """``batch`` (hash, ...) with ``earlier``: whether a run has the hash. Dealt into buckets once, then merged with each run."""
+        found, earlier = batch.repartition(self.buckets, "hash"), F.lit(False)
+        for i, run in enumerate(self.runs()):
+            found = found.join(run.select("hash", F.lit(True).alias(f"_{i}")).hint("merge"), "hash", "left")
+            earlier = earlier | F.col(f"_{i}").isNotNull()
+        return found.select(*batch.columns, earlier.alias("earlier"))
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Stores ``batch`` (hash, first, ...; a row for each hash) and returns it with ``earlier``.
+
+        Its hashes that no run has are a new run of level 0, the same table without the others. Full levels are compacted.
+        """
+        name = self._store(self.split(batch))
+        self.levels[0].append(name)
         level = 0
         while len(self.levels[level]) >= self.fan:
-            union = self.spark.table(self.levels[level][0])
-            for name in self.levels[level][1:]:
-                union = union.unionByName(self.spark.table(name))
+            union = self._run(self.levels[level][0])
+            for other in self.levels[level][1:]:
+                union = union.unionByName(self._run(other))
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self.store(union))
+            compacted = union.withColumn("earlier", F.lit(False)).repartition(self.buckets, "hash")
+            self.levels[level + 1].append(self._store(compacted))
             self.levels[level] = []
             level += 1
+        return self.spark.table(name)
 
     def close(self) -> None:
-        """Takes the runs' names out of the catalogue; their files stay with the workspace."""
+        """Takes the tables' names out of the catalogue; their files stay with the workspace."""
         for name in self.made:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
@@ -93,17 +99,10 @@ class LineRuns:
 def _bounds(rows: DataFrame, batches: int) -> list[int]:
     """Ids that cut ``rows`` into about equal batches; which ones doesn't change the result."""
     at = F.array(*[F.lit(i / batches) for i in range(1, batches)])
-    found = rows.select(F.percentile_approx("doc_id", at, F.lit(1000)).alias("at")).first()["at"]
+    found = rows.select(F.percentile_approx("doc_id", at, F.lit(1000)).alias("at")).first()["at"] if batches > 1 else None
     return sorted(set(found or ()))
 
 
-def _repeated(found: DataFrame, new: DataFrame) -> DataFrame:
-    """(hash, first, lines) of a batch's hashes that some document must lose; ``first`` is null where an earlier batch has the hash."""
-    earlier = found.select("hash", F.lit(None).cast("bigint").alias("first"), F.lit(True).alias("earlier"), "lines")
-    within = new.where("several").select("hash", "first", F.lit(False).alias("earlier"), "lines")
-    return earlier.unionByName(within)
-
-
 def dropped_places(documents: DataFrame, work: Workspace, batches: int = BATCHES, least: int = LEAST_CHARS, fan: int = FAN) -> DataFrame:
     """(doc_id, row, places): the numbers, from 0, of the lines that each text loses. ``row`` is a hash of the text."""
     spark = documents.sparkSession
@@ -120,25 +119,21 @@ def dropped_places(documents: DataFrame, work: Workspace, batches: int = BATCHES
     lines.write.partitionBy("batch").parquet(path)
     stored = spark.read.schema(lines.schema).parquet(path)
 
-    runs, lost = LineRuns(spark, work, buckets, fan), []
+    runs, known = LineRuns(spark, work, buckets, fan), None
     # Null is an id of its own, behind all others.
     several = ~F.min("doc_id").eqNullSafe(F.max("doc_id")) | ((F.count("doc_id") > 0) & (F.count("doc_id") < F.count(F.lit(1))))
     for i in range(len(bounds) + 1):
-        own = stored.where(F.col("batch") == i)
-        hashes = own.groupBy("hash").agg(F.min("doc_id").alias("first"), several.alias("several"), F.count(F.lit(1)).alias("lines"))
-        hashes = spark.table(runs.store(hashes))
-        found, new = runs.split(hashes)
-        repeated = work.write(_repeated(found, new), f"repeated-{i}")
-        total = own.count()
-        rows = spread_lookup(own.select("doc_id", "row", "place", "hash"), repeated, "hash", "lines", total)
-        loses = F.col("earlier") | (F.col("doc_id").isNull() & F.col("first").isNotNull()) | (F.col("doc_id") > F.col("first"))
-        lost.append(work.write(rows.where(loses).select("doc_id", "row", "place"), f"lost-{i}"))
-        if i < len(bounds):
-            runs.add(new.select("hash", "first"))
-    every = lost[0]
-    for more in lost[1:]:
-        every = every.unionByName(more)
-    places = work.write(every.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("place")).alias("places")), "places")
+        own = stored.where(F.col("batch") == i).groupBy("hash")
+        judged = runs.add(own.agg(F.min("doc_id").alias("first"), several.alias("several"), F.count(F.lit(1)).alias("lines")))
+        # What some document of the batch loses: lines of earlier batches, and those that several of its own documents hold.
+        lost = judged.where("earlier or several").select(F.lit(i).alias("batch"), "hash", "first", "earlier", "lines")
+        known = lost if known is None else known.unionByName(lost)
+    groups = work.write(known.select(F.struct("batch", "hash").alias("key"), "first", "earlier", "lines"), "groups")
+    rows = stored.select("doc_id", "row", "place", F.struct("batch", "hash").alias("key"))
+    found = spread_lookup(rows, groups, "key", "lines", stored.count())
+    loses = F.col("earlier") | (F.col("doc_id").isNull() & F.col("first").isNotNull()) | (F.col("doc_id") > F.col("first"))
+    places = found.where(loses).groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    places = work.write(places, "places")
     runs.close()
     return places
 

@@ -19,7 +19,12 @@ that is when they share T = ceil(3 (a + b) / 7) shingles. Documents that link, d
    is missed.
 
 Step 4 only saves work for step 5: links that it doesn't see are found there. Sets are compared by 64-bit hashes of
-shingles; a wrong count needs two shingles of one pair of documents with one hash.
+shingles; a wrong count needs two shingles of one pair of documents with one hash. Sets are equal when they agree in size and in
+two sums, over hashes that are built from two independent hashes of the words: 128 bits.
+
+A shingle that very many documents share is never dealt to one task by all of them: step 2 sends two of its documents for
+each slice of texts, which is enough to tell that nobody has it alone, and in step 3 the most frequent shingles stand last in
+everybody's order without being counted.
 """
 
 from __future__ import annotations
@@ -47,6 +52,8 @@ COUNT_ALL, SHIP_ALL, LOOKED_AT = 96, 128, np.uint64(int(0.4 * 2**64))
 PART = 4_000_000
 #: Counts, one for each set of a part at most, that are added up in one place.
 BUCKET = 1_000_000
+#: A shingle is hot when more than this share of the sets in step 3 hold it, and more than so many.
+HOT_LIST, HOT_LEAST = 0.02, 1000
 #: Rows that go to Python at once; whole texts and sets are long.
 BATCH_ROWS = 1000
 #: A chunk of a block in step 4 ends at so many shingles or documents; of each chunk so many components go on to the next.
@@ -61,8 +68,24 @@ _SEEDS = mix64(np.arange(11, 15, dtype=np.uint64))
 
 def shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of the distinct shingles of each text, ordered by text and hash; a text of fewer words is one shingle."""
-    word, owner = words(texts)
-    count = np.bincount(owner, minlength=len(texts))
+    return _shingle_sets(texts)[:2]
+
+
+def _shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``shingle_sets``, with another hash of each shingle that is built from other hashes of the words."""
+    first_hash, second_hash, owner = words(texts)
+    hashes, at = _combined(first_hash, owner, len(texts))
+    second, _ = _combined(second_hash, owner, len(texts))
+    order = np.lexsort((hashes, at))
+    hashes, second, at = hashes[order], second[order], at[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (at[1:] != at[:-1])
+    return hashes[new], at[new], second[new]
+
+
+def _combined(word: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of every shingle of ``n`` texts, repeats included."""
+    count = np.bincount(owner, minlength=n)
     first = np.concatenate(([0], np.cumsum(count)))
     full = np.zeros(0, np.int64)
     if len(word) >= WORDS:
@@ -75,13 +98,7 @@ def shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     for k in range(WORDS - 1):
         has = count[short] > k
         whole[has] += word[first[short[has]] + k] * _FACTORS[k]
-    hashes = mix64(np.concatenate((runs, whole + count[short].astype(np.uint64))))
-    owner = np.concatenate((owner[full], short))
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    return hashes[new], owner[new]
+    return mix64(np.concatenate((runs, whole + count[short].astype(np.uint64)))), np.concatenate((owner[full], short))
 
 
 def _offsets(owner: np.ndarray, n: int) -> np.ndarray:
@@ -102,9 +119,9 @@ def _with_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for texts in slices(batch.column("text")):
-            hashes, owner = shingle_sets(texts)
+            hashes, owner, second = _shingle_sets(texts)
             at = _offsets(owner, len(texts))
-            sums = [_sums(hashes, at), _sums(mix64(hashes ^ _SEEDS[0]), at)]
+            sums = [_sums(hashes, at), _sums(mix64(second ^ _SEEDS[0]), at)]
             columns = [batch.column("doc_id").slice(texts.first, len(texts)), pa.array(np.diff(at)), *(pa.array(s.view(np.int64)) for s in sums)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2"])
 
@@ -126,6 +143,15 @@ def _dealt(hashes: np.ndarray, owner: np.ndarray, about: np.ndarray, parts: int)
     return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(sets, pa.binary()), pa.array(shingles, pa.binary())], ["part", "sets", "hashes"])
 
 
+def _places(hashes: np.ndarray) -> np.ndarray:
+    """Of each element, how many equal ones stand before it."""
+    order = np.argsort(hashes, kind="stable")
+    new = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])) if len(hashes) else np.zeros(0, bool)
+    out = np.empty(len(hashes), np.int64)
+    out[order] = np.arange(len(hashes)) - np.maximum.accumulate(np.where(new, np.arange(len(hashes)), 0)) if len(hashes) else 0
+    return out
+
+
 def _deal_texts_task(parts: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,24 +159,70 @@ def _deal_texts_task(parts: int):
                 hashes, owner = shingle_sets(texts)
                 at = _offsets(owner, len(texts))
                 n, name = np.diff(at), _sums(hashes, at).view(np.int64)
-                sent = (n[owner] <= SHIP_ALL) | (hashes < LOOKED_AT)
+                sent = np.flatnonzero((n[owner] <= SHIP_ALL) | (hashes < LOOKED_AT))
+                # Two documents of this slice show that a shingle is nobody's own. Each document sends one at least, to be heard of.
+                first = np.concatenate(([True], owner[sent][1:] != owner[sent][:-1])) if len(sent) else np.zeros(0, bool)
+                sent = sent[first | (_places(hashes[sent]) < 2)]
                 ids = batch.column("doc_id").slice(texts.first, len(texts)).to_numpy(zero_copy_only=False)
                 yield _dealt(hashes[sent], owner[sent], np.column_stack((ids, name, n)), parts)
 
     return deal
 
 
-def _deal_sets_task(parts: int):
+def _frequent_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles that a noticeable share of a batch's sets hold, with how many."""
+    for batch in batches:
+        values, at = _lists(batch.column("shingles"))
+        shingle, times = np.unique(values[at[0] : at[-1]], return_counts=True)
+        often = times >= max(2, batch.num_rows * HOT_LIST / 2)
+        yield pa.RecordBatch.from_arrays([pa.array(shingle[often].view(np.int64)), pa.array(times[often].astype(np.int64))], ["shingle", "n"])
+
+
+def _hot_shingles(sets: DataFrame, total: int) -> np.ndarray:
+    """Shingles that about a share HOT_LIST of all sets hold, or more: at most a set's mean size over that share. In order.
+
+    They only stand last in the order of shingles, so that none that is missed or too many changes a result.
+    """
+    found = sets.select("shingles").mapInArrow(_frequent_task, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    table = found.where(F.col("n") > max(HOT_LEAST, total * HOT_LIST)).select("shingle").toArrow()
+    return np.sort(np.array(table.column("shingle").to_pylist(), np.int64).view(np.uint64))
+
+
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which ``values`` stand in ``ordered``."""
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values if len(ordered) else np.zeros(len(values), bool)
+
+
+def _deal_sets_task(parts: int, hot: np.ndarray):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, at = _lists(batch.column("shingles"))
             ids, names = (batch.column(c).to_numpy() for c in ("doc_id", "name"))
             about = np.column_stack((ids, names, np.diff(at)))
-            yield _dealt(values[at[0] : at[-1]], np.repeat(np.arange(len(at) - 1), np.diff(at)), about, parts)
+            values, owner = values[at[0] : at[-1]], np.repeat(np.arange(len(at) - 1), np.diff(at))
+            cold = ~_among(values, hot)
+            yield _dealt(values[cold], owner[cold], about, parts)
 
     return deal
 
 
+def _hot_pieces_task(hot: np.ndarray):
+    """The hot shingles of each set, as a piece like those of the parts, behind all shingles that are counted."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, at = _lists(batch.column("shingles"))
+            rows = []
+            for i, (doc_id, name) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("name").to_pylist())):
+                own = values[at[i] : at[i + 1]]
+                if len(own := own[_among(own, hot)]):
+                    rows.append((doc_id, name, own.tobytes(), np.full(len(own), np.iinfo(np.int32).max, np.int32).tobytes()))
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "name", "hashes", "lengths"])
+
+    return pieces
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all values, offsets) of a column of hashes."""
     return column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
@@ -378,7 +450,9 @@ def _cross_links(sets: DataFrame, rarest: DataFrame, member: DataFrame, work: Wo
     entries = work.write(own.select("doc_id", "n", "c", "e.at", "e.shingle"), "entries")
     mixed = entries.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle")
     lists = work.write(entries.join(mixed, "shingle", "left_semi"), "lists")
-    a = lists.toDF(*[f"a_{c}" if c != "shingle" else c for c in lists.columns])
+    # The smaller set of a pair has its first common shingle within its first seventh, or it can't have enough of them: most of
+    # what a frequent passage would bring together never meets.
+    a = lists.where(F.col("at") * (NEED + FULL) <= F.col("n") * (FULL - NEED)).toDF(*[f"a_{c}" if c != "shingle" else c for c in lists.columns])
     b = lists.toDF(*[f"b_{c}" if c != "shingle" else c for c in lists.columns])
     smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_doc_id") < F.col("b_doc_id")))
     # A pair's first common shingle leaves enough shingles in either set: its own prefixes are shorter the closer the sizes are.
@@ -447,8 +521,11 @@ def _shingle_components(documents: DataFrame) -> DataFrame:
     sets = work.write(sets.where("n > 0"), "sets")
 
     parts = max(1, math.ceil((sets.agg(F.sum("n")).first()[0] or 0) / PART))
-    dealt = sets.select("doc_id", "name", "shingles").mapInArrow(_deal_sets_task(parts), "part bigint, sets binary, hashes binary")
-    dealt = dealt.groupBy("part").applyInArrow(_list_lengths, "doc_id bigint, name bigint, hashes binary, lengths binary")
+    hot, schema = _hot_shingles(sets, totals.n), "doc_id bigint, name bigint, hashes binary, lengths binary"
+    dealt = sets.select("doc_id", "name", "shingles").mapInArrow(_deal_sets_task(parts, hot), "part bigint, sets binary, hashes binary")
+    dealt = dealt.groupBy("part").applyInArrow(_list_lengths, schema)
+    if len(hot):
+        dealt = dealt.unionByName(sets.select("doc_id", "name", "shingles").mapInArrow(_hot_pieces_task(hot), schema))
     pieces = dealt.groupBy("doc_id", "name").agg(F.collect_list(F.struct("hashes", "lengths")).alias("pieces"))  # of one document
     rarest = pieces.mapInArrow(_rarest, "doc_id bigint, n bigint, own bigint, at array<int>, shingle array<bigint>")
     rarest = work.write(rarest.where(F.col("own") * FULL <= F.col("n") * (FULL - NEED)), "rarest")

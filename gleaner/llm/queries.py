@@ -178,10 +178,15 @@ ORACLES = {
             SELECT 0 AS side, item_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark
             UNION ALL
             SELECT 1, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') FROM documents),
-        s AS (
-            SELECT DISTINCT side, id, unnest(CASE WHEN len(w) >= 5
+        i AS (
+            SELECT DISTINCT 0 AS side, id, unnest(CASE WHEN len(w) >= 5
                 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w WHERE side = 0),
+        r AS (SELECT DISTINCT len(w) AS r FROM w WHERE side = 0 AND len(w) BETWEEN 1 AND 4 UNION SELECT 5),
+        s AS (
+            SELECT * FROM i
+            UNION ALL
+            SELECT DISTINCT 1, id, unnest(list_transform(range(1, len(w) - r + 2), lambda i: array_to_string(w[i:i + r - 1], ' '))) FROM w, r WHERE side = 1),
         q AS (SELECT id, count(*) AS n FROM s WHERE side = 0 GROUP BY id)
         SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared, any_value(q.n) AS item_shingles,
                count(*) / any_value(q.n) AS containment
@@ -227,8 +232,7 @@ ORACLES = {
         WITH r AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
         s AS (
-            SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
-                   CAST(sum(CASE WHEN size > 0 THEN size * greatest(CAST(floor(10000 / sqrt(CAST(size AS DOUBLE))) AS BIGINT), 1) ELSE 0 END) AS BIGINT) AS mass
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size
             FROM r GROUP BY source),
         n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS no, source_size * 2.0::DOUBLE AS ceiling FROM s),
         w AS (SELECT *, CASE (no - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM n),
@@ -242,11 +246,21 @@ ORACLES = {
         t AS (SELECT *, least(ceiling, coalesce(shared * w, ceiling)) AS target FROM f),
         o AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS whole FROM t),
         k AS (SELECT *, target - whole * source_size AS rest FROM o),
+        rw AS (SELECT *, CASE WHEN size > 0 THEN greatest(CAST(floor(10000 / sqrt(CAST(size AS DOUBLE))) AS BIGINT), 1) ELSE 0 END AS weight FROM r),
+        bw AS (
+            SELECT k.no, k.rest, weight, CAST(sum(size) AS BIGINT) AS words
+            FROM rw JOIN k ON rw.source IS NOT DISTINCT FROM k.source WHERE weight > 0 GROUP BY ALL),
+        zw AS (
+            SELECT no, weight,
+                   (rest - coalesce(CAST(sum(words) OVER (PARTITION BY no ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0))
+                   / CAST(sum(weight * words) OVER (PARTITION BY no ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS z
+            FROM bw),
+        z AS (SELECT no, max(weight) AS certain, max_by(z, weight) AS z FROM zw WHERE z * weight <= 1 GROUP BY no),
         d AS (
             SELECT r.doc_id, r.size, k.*,
-                   CASE WHEN r.size > 0 THEN least(k.rest * greatest(CAST(floor(10000 / sqrt(CAST(r.size AS DOUBLE))) AS BIGINT), 1) / mass, 1.0) ELSE 0 END AS p,
+                   CASE WHEN r.size > 0 THEN CASE WHEN r.weight > z.certain THEN 1.0::DOUBLE ELSE z.z * r.weight END ELSE 0 END AS p,
                    (('0x' || substr(md5(coalesce(CAST(r.doc_id AS VARCHAR), '') || ':17'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
-            FROM r JOIN k ON r.source IS NOT DISTINCT FROM k.source),
+            FROM rw r JOIN k ON r.source IS NOT DISTINCT FROM k.source LEFT JOIN z ON z.no = k.no),
         q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) * ((1 - p) / p) END AS q FROM d),
         c AS (
             SELECT *, CASE WHEN q IS NOT NULL AND size / 2.0::DOUBLE

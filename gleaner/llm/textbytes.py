@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +91,39 @@ def slices(column: pa.Array) -> Iterator[Texts]:
         first = last
 
 
-def words(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of every word, in order: A-Z lower-cased, runs of other than the six ASCII blanks."""
+#: What the chains of the two hashes of a word start from and are multiplied by between eight bytes and the next.
+_STARTS = mix64(np.array([0x51ED270B, 0x2545F491], dtype=np.uint64) * _BASE)
+_STEPS = mix64(np.array([0x9FB21C65, 0xC2B2AE3D], dtype=np.uint64) * _BASE) | np.uint64(1)
+_TAILS = np.array([0] + [(1 << 8 * k) - 1 for k in range(1, 9)], np.uint64)
+#: Longer spans are hashed one by one.
+_LONG = 256
+
+
+def keyed_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    """64-bit hashes of spans of ``data``: a chain that mixes eight bytes after the other into the length. ``which``: 0 or 1.
+
+    Unlike a polynomial modulo 2 ** 64 it has no algebra that patterned bytes could meet. A long span has its part of a
+    128-bit BLAKE2b instead.
+    """
+    length = ends - starts
+    out = mix64(length.astype(np.uint64) ^ _STARTS[which])
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from every place on
+    active = np.flatnonzero(length <= _LONG)
+    for at in range(0, _LONG, 8):
+        active = active[length[active] > at]
+        if not len(active):
+            break
+        piece = eight[starts[active] + at] & _TAILS[np.minimum(length[active] - at, 8)]
+        out[active] = mix64((out[active] ^ piece) * _STEPS[which])
+    for i in np.flatnonzero(length > _LONG):
+        digest = blake2b(data[starts[i] : ends[i]], digest_size=16).digest()
+        out[i] = int.from_bytes(digest[8 * which : 8 * which + 8], "little")
+    return out
+
+
+def words(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, another hash, text) of every word, in order: A-Z lower-cased, runs of other than the six ASCII blanks."""
     data = LOWER[texts.data]
     starts, ends, text = texts.spans(~BLANK[data])
-    return span_hashes(texts.prefix_sums(data), starts, ends), text
+    return keyed_hashes(data, starts, ends, 0), keyed_hashes(data, starts, ends, 1), text

@@ -4,13 +4,16 @@ Confirmed toxic documents are the positives; all other text is unlabelled, never
 minimise the positive-unlabelled risk, in which the class prior turns the unlabelled loss into that of the negatives. Where
 that estimate falls below zero, which no true risk can, a step is taken against it instead of along it.
 
-The inputs are the words and the beginnings of words that positives hold more often than all text does. They are chosen from
-counts over every document. Only the fit sees a sample, whose bounds are parameters.
+The inputs are hashed words and beginnings of words. For each of 2 ** 20 hash values the documents and the positives that have it
+are counted, over all text; those that positives have significantly more often become inputs, however many they are. The risk's
+gradient is summed over every document outside the held-out fold, in the tasks that hold them: a step is one pass over short
+lists of inputs, and only its sums reach the driver. There is no sample.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,24 +22,29 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import maybe_broadcast
 from gleaner.llm.quality import fold
+from gleaner.llm.sums import few_tasks, summed
 from gleaner.llm.textbytes import Texts, slices, span_hashes
 from gleaner.session import Workspace
 
 #: Beginnings of words, in bytes, that count besides whole words.
 BEGINNINGS = (4, 5, 6)
-#: Pieces that fewer positives hold are not considered; of the others, the commonest among positives.
-LEAST_POSITIVES, CANDIDATES = 4, 50_000
-#: Inputs of the classifier.
-INPUTS = 512
-#: Bounds of the fitting sample.
-POSITIVES, UNLABELLED = 20_000, 60_000
-CLASSIFIERS, BATCH, RATE, DECAY = 3, 512, 0.02, 1e-4
-#: Steps of a fit: a few unlabelled documents are gone through more often than many.
-STEPS = 3000
-
-
-def pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of the distinct words and beginnings of words of each text; runs of letters, lower-cased as far as Latin-1."""
+#: Hash values of pieces, and how many of them are added up in one place.
+BUCKETS, RANGE = 1 << 20, 1 << 14
+#: Twice the log-likelihood ratio from which on positives have a piece significantly more often than all text.
+SIGNIFICANT = 15.0
+#: Classifiers, each of which leaves another share of the documents out, and the steps of their fit.
+CLASSIFIERS, STEPS, RATE, DECAY = 3, 50, 0.3, 1e-4
+#: The class prior where labels don't tell it, as no label says that a document isn't toxic.
+PRIOR = 0.1
+#: Rows of inputs that go to Python at once.
+BATCH_ROWS = 20_000
+
+
+def pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, text, times) of the words and beginnings of words of each text, and each text's number of words.
+
+    Words are runs of letters, lower-cased as far as Latin-1.
+    """
     data = texts.data.copy()
     data[(data >= 65) & (data <= 90)] += 32
     after = np.concatenate(([False], data[:-1] == 0xC3))
@@ -48,113 +56,184 @@ def pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         long = ends - starts > n
         hashes.append(span_hashes(sums, starts[long], starts[long] + n) + np.uint64(n))  # a beginning isn't the word
         owners.append(text[long])
-    hashes, owners = np.concatenate(hashes), np.concatenate(owners)
-    order = np.lexsort((hashes, owners))
-    hashes, owners = hashes[order], owners[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])
-    return hashes[new], owners[new]
-
-
-def _known(texts: Texts, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in sorted ``known``, text) of the pieces that are known."""
-    hashes, owners = pieces(texts)
-    at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-    hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-    return at[hit], owners[hit]
+    key = np.concatenate(owners).astype(np.int64) * BUCKETS + (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int64)
+    key, times = np.unique(key, return_counts=True)
+    return key % BUCKETS, key // BUCKETS, times, np.bincount(text, minlength=len(texts))
 
 
-def _list_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents and positives by bucket, a row of counts for each range of buckets."""
+    counts = np.zeros((2, BUCKETS), np.int64)
     for batch in batches:
+        positive = batch.column("positive").to_numpy(zero_copy_only=False).astype(bool)
         for texts in slices(batch.column("text")):
-            yield pa.RecordBatch.from_arrays([pa.array(pieces(texts)[0].view(np.int64))], ["piece"])
+            bucket, owner, _, _ = pieces(texts)
+            counts[0] += np.bincount(bucket, minlength=BUCKETS)
+            counts[1] += np.bincount(bucket[positive[texts.first + owner]], minlength=BUCKETS)
+    ranges = [(i, counts[:, i * RANGE : (i + 1) * RANGE]) for i in range(BUCKETS // RANGE)]
+    ranges = [(i, c) for i, c in ranges if c.any()]
+    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in ranges], pa.int32()), pa.array([c.tobytes() for _, c in ranges], pa.binary())], ["part", "counts"])
 
 
-def _count_task(known: np.ndarray):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, counts = 0, np.zeros(len(known) + 1, np.int64)
-        for batch in batches:
-            for texts in slices(batch.column("text")):
-                counts += np.bincount(_known(texts, known)[0], minlength=len(counts))
-                n += len(texts)
-        counts[-1] = n
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["at", "n"])
+def _add_counts(table: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(b.as_buffer(), np.int64) for b in table.column("counts")], axis=0)
+    return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
 
-    return count
+def bucket_counts(rows: DataFrame) -> np.ndarray:
+    """(documents, positives) that have each bucket, over all of ``rows`` (text, positive)."""
+    schema = "part int, counts binary"
+    counts = np.zeros((2, BUCKETS), np.int64)
+    for r in rows.select("text", "positive").mapInArrow(_count_task, schema).groupBy("part").applyInArrow(_add_counts, schema).collect():
+        counts[:, r["part"] * RANGE : (r["part"] + 1) * RANGE] = np.frombuffer(r["counts"], np.int64).reshape(2, RANGE)
+    return counts
 
 
-def _input_task(known: np.ndarray):
+def chosen_inputs(counts: np.ndarray, documents: int, positives: int) -> np.ndarray:
+    """The buckets that positives have significantly more often than all documents, in order."""
+    expected = (counts[0] + 1) / (documents + 1) * positives
+    seen = counts[1]
+    ratio = 2 * (seen * np.log(np.maximum(seen, 1) / expected) - (seen - expected))
+    return np.flatnonzero((seen > expected) & (ratio >= SIGNIFICANT))
+
+
+def _input_task(chosen: np.ndarray):
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in slices(batch.column("text")):
-                at, owner = _known(texts, known)
-                offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts))))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(at.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(texts.first, len(texts)), lists], ["doc_id", "x"])
+                bucket, owner, times, words = pieces(texts)
+                at = np.minimum(np.searchsorted(chosen, bucket), max(len(chosen) - 1, 0))
+                hit = chosen[at] == bucket if len(chosen) else np.zeros(len(bucket), bool)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner[hit], minlength=len(texts))))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v[hit].astype(np.int32))) for v in (at, times)]
+                kept = [batch.column(c).slice(texts.first, len(texts)) for c in ("doc_id", "positive")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(words, pa.int64()), *lists], ["doc_id", "positive", "words", "x", "times"])
 
     return inputs
 
 
-def _dense(lists: pa.Array, width: int) -> np.ndarray:
-    out = np.zeros((len(lists), width + 1), np.float32)
-    out[:, -1] = 1
+class Inputs(NamedTuple):
+    """Rows of a sparse matrix: ``at`` and ``value`` of the entries of each row, from ``first[i]`` to ``first[i + 1]``.
+
+    An entry grows with how often a text has the piece, and falls with its length: what is common in long texts by chance tells less. The last two columns are the logarithm of the number of words, and one; every row has them.
+    """
+
+    first: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """The product with ``w``, a column for each classifier."""
+        return np.add.reduceat(self.value[:, None] * w[self.at], self.first[:-1], axis=0) if len(self) else np.zeros((0, w.shape[1]))
+
+    def transposed_times(self, c: np.ndarray, width: int) -> np.ndarray:
+        """The product of the transposed matrix with the column ``c``."""
+        return np.bincount(self.at, self.value * np.repeat(c, np.diff(self.first)), width)
+
+
+def read_inputs(batch: pa.RecordBatch, inputs: int) -> Inputs:
+    lists, times = batch.column("x"), batch.column("times")
     lengths = np.diff(lists.offsets.to_numpy())
-    out[np.repeat(np.arange(len(lists)), lengths), lists.flatten().to_numpy(zero_copy_only=False)] = 1
-    return out
+    first = np.concatenate(([0], np.cumsum(lengths + 2)))
+    at, value = np.empty(first[-1], np.int64), np.empty(first[-1])
+    own = np.ones(first[-1], bool)
+    own[first[1:] - 1] = own[first[1:] - 2] = False
+    words = batch.column("words").to_numpy()
+    at[own] = lists.flatten().to_numpy(zero_copy_only=False)
+    value[own] = np.log1p(10 * times.flatten().to_numpy(zero_copy_only=False) / np.sqrt(np.repeat(np.maximum(words, 1), lengths)))
+    at[first[1:] - 2], value[first[1:] - 2] = inputs, np.log1p(words) / 10
+    at[first[1:] - 1], value[first[1:] - 1] = inputs + 1, 1.0
+    return Inputs(first, at, value)
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int) -> np.ndarray:
-    """Weights of a linear classifier that minimise the non-negative positive-unlabelled risk under the sigmoid loss.
+def risk_sums(x: Inputs, w: np.ndarray, unlabelled: np.ndarray, positive: np.ndarray) -> np.ndarray:
+    """For each classifier (a column of ``w`` and of the 0/1 weights of rows): the sums that ``risk_gradient`` needs, as one array.
 
-    Both arrays hold a row per document with a last column of ones. Adam over mini-batches that hold both kinds in proportion.
+    Under the sigmoid loss a positive costs 1 - s and a negative s; both have the slope s (1 - s).
     """
-    rng = np.random.default_rng(seed)
-    w = np.zeros(positive.shape[1])
-    w[-1] = -0.1
-    m, v, t = np.zeros_like(w), np.zeros_like(w), 0
-    batches = max(1, -(-len(unlabelled) // BATCH))
-    each = max(1, -(-len(positive) // batches))
-    for _ in range(-(-STEPS // batches)):
-        rows, p_rows = rng.permutation(len(unlabelled)), rng.permutation(np.resize(np.arange(len(positive)), batches * each))
-        for b in range(batches):
-            u, p = unlabelled[rows[b * BATCH : (b + 1) * BATCH]], positive[p_rows[b * each : (b + 1) * each]]
-            s_u, s_p = 1 / (1 + np.exp(-(u @ w))), 1 / (1 + np.exp(-(p @ w)))
-            # Loss of a positive: 1 - s; of a negative: s. Both have the slope s (1 - s).
-            d_u, d_p = (s_u * (1 - s_u)) @ u / len(u), (s_p * (1 - s_p)) @ p / len(p)
-            negative = s_u.mean() - prior * s_p.mean()
-            step = -prior * d_p + (d_u - prior * d_p) if negative >= 0 else -(d_u - prior * d_p)
-            step[:-1] += DECAY * w[:-1]
-            t += 1
-            m, v = 0.9 * m + 0.1 * step, 0.999 * v + 0.001 * step**2
-            w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
+    s = sigmoid(x.times(w))
+    slope = s * (1 - s)
+    out = []
+    for k in range(w.shape[1]):
+        for rows in (unlabelled[:, k], positive[:, k]):
+            out += [[rows.sum(), (rows * s[:, k]).sum()], x.transposed_times(rows * slope[:, k], len(w))]
+    return np.concatenate(out)
+
+
+def risk_gradient(sums: np.ndarray, prior: float) -> np.ndarray:
+    """The direction of a step: of the positive-unlabelled risk where its negative part is positive, else against that part."""
+    (n_u, s_u, *d_u), (n_p, s_p, *d_p) = sums.reshape(2, -1)
+    d_u, d_p = np.array(d_u) / max(n_u, 1), np.array(d_p) / max(n_p, 1)
+    negative = s_u / max(n_u, 1) - prior * s_p / max(n_p, 1)
+    return d_u - 2 * prior * d_p if negative >= 0 else prior * d_p - d_u
+
+
+def train(total, start: np.ndarray, prior: float, steps: int = STEPS) -> np.ndarray:
+    """Weights, a column for each classifier. ``total(w)`` is the sum of ``risk_sums`` over all rows; Adam over whole passes."""
+    w = start.copy()
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    best, least = w.copy(), np.full(w.shape[1], np.inf)
+    for t in range(1, steps + 1):
+        sums = total(w).reshape(w.shape[1], -1)
+        for k, s in enumerate(sums):
+            (n_u, s_u), (n_p, s_p) = s.reshape(2, -1)[:, :2]
+            risk = prior * (1 - s_p / max(n_p, 1)) + max(0.0, s_u / max(n_u, 1) - prior * s_p / max(n_p, 1))
+            if risk < least[k]:
+                best[:, k], least[k] = w[:, k], risk
+        step = np.column_stack([risk_gradient(s, prior) for s in sums])
+        step[:-1] += DECAY * w[:-1]
+        m, v = 0.9 * m + 0.1 * step, 0.999 * v + 0.001 * step**2
+        w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return best
+
+
+def start_weights(counts: np.ndarray, chosen: np.ndarray, documents: int, positives: int) -> np.ndarray:
+    """Where the fit begins: a little of the log ratio of how often positives and all documents have each input."""
+    ratio = np.log((counts[1][chosen] + 0.5) / (positives + 1)) - np.log((counts[0][chosen] + 0.5) / (documents + 1))
+    return np.concatenate((ratio / 2, [0.0, -1.0]))
+
+
+def _total(inputs: DataFrame, width: int, held: int, folds: int):
+    """The sum of ``risk_sums`` over all stored rows outside the fold ``held``, as a function of the weights."""
+    learn = inputs.withColumn("bag", F.pmod(F.xxhash64("doc_id"), F.lit(CLASSIFIERS))).where(fold(F.col("doc_id"), folds) != held)
+    direct = few_tasks(inputs)
+
+    def total(w: np.ndarray) -> np.ndarray:
+        def add(batch: pa.RecordBatch) -> np.ndarray:
+            if not batch.num_rows:
+                return np.zeros(2 * (len(w) + 2) * CLASSIFIERS)
+            bags = batch.column("bag").to_numpy()[:, None] != np.arange(CLASSIFIERS)
+            positive = bags & batch.column("positive").to_numpy(zero_copy_only=False)[:, None]
+            return risk_sums(read_inputs(batch, width), w, bags.astype(float), positive.astype(float))
+
+        return summed(learn, 2 * (len(w) + 2) * CLASSIFIERS, add, BATCH_ROWS, direct)
+
+    return total
 
 
 def _score_task(weights: np.ndarray | None, width: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("x")
-            s = np.zeros(len(lists)) if weights is None else (1 / (1 + np.exp(-np.clip(_dense(lists, width) @ weights.T, -500, 500)))).mean(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s.astype(float))], ["doc_id", "score"])
+            s = np.zeros(batch.num_rows) if weights is None else sigmoid(read_inputs(batch, width).times(weights)).mean(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
     return score
 
 
-def _sample(rows: DataFrame, total: int, bound: int, seed: int) -> pa.Array:
-    """The inputs of about ``bound`` rows, in the order of a hash of their ids."""
-    key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30))
-    chosen = rows.where(key < int((1 << 30) * min(1.0, bound / max(total, 1))) + 1)
-    table = chosen.select(key.alias("key"), "doc_id", "x").toArrow().sort_by([("key", "ascending"), ("doc_id", "ascending")])
-    return table.column("x").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
-
-
-def toxicity_scores(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
+def toxicity_scores(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, prior: float | None = None) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): doc_id, held_out, score, predicted.
 
-    ``labels`` has doc_id and toxic; only rows outside the fold ``held`` are used: those of 1 as positives, and the share of 1
-    as class prior. A null or empty text has no words and gets the score of the constant alone. Equal texts get equal
-    scores. Without a confirmed toxic document every score is 0. A null id is not held out and never learnt from. An empty table
+    ``labels`` has doc_id and toxic; only rows outside the fold ``held`` are used, those of 1 as positives. ``prior`` is the class prior,
+    between 0 and 1; by default the share of 1 among those labels, ``PRIOR`` if none of them is 0. A null or empty text
+    has no words and gets the score of the constant alone. Equal texts get equal scores. Without a confirmed toxic document
+    every score is 0; a single one is enough to learn from. A null id is not held out and never learnt from. An empty table
     gives an empty result; other columns are not read.
     """
     work = Workspace(documents.sparkSession, "toxicity")
@@ -162,31 +241,22 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, folds: int = 5, hel
     usable = labels.where(fold(F.col("doc_id"), folds) != held).select(F.col("doc_id").cast("bigint"), F.col("toxic").alias("label"))
     usable = work.write(usable.where("label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label")), "labels")
     shares = usable.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
-    prior = min(max(shares.p / max(shares.n, 1), 1e-4), 0.5)
-    confirmed = maybe_broadcast(work.write(usable.where("label = 1").select("doc_id"), "confirmed"))
-
-    common = rows.join(confirmed, "doc_id", "left_semi").select("text").mapInArrow(_list_pieces, "piece bigint")
-    common = common.groupBy("piece").count().where(F.col("count") >= LEAST_POSITIVES)
-    common = common.orderBy(F.col("count").desc(), "piece").limit(CANDIDATES).collect()
-    known = np.array([r.piece for r in common], np.int64).view(np.uint64)
-    held_by = np.array([r["count"] for r in common], float)[np.argsort(known)]
-    known = np.sort(known)
-    counts = np.zeros(len(known) + 1)
-    for r in rows.select("text").mapInArrow(_count_task(known), "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        counts[r["at"]] = r["n"]
-    expected = (counts[:-1] + 1) / (counts[-1] + 1) * shares.p
-    surplus = (held_by - expected) / np.sqrt(expected)
-    chosen = np.sort(known[np.argsort(-surplus, kind="stable")[:INPUTS]])
-
-    inputs = work.write(rows.mapInArrow(_input_task(chosen), "doc_id bigint, x array<int>"), "inputs")
-    weights = None
+    if prior is None:
+        prior = shares.p / shares.n if shares.p < shares.n else PRIOR
+    confirmed = maybe_broadcast(work.write(usable.where("label = 1").select(F.col("doc_id").alias("confirmed")), "confirmed"))
+    rows = rows.join(confirmed, F.col("doc_id") == F.col("confirmed"), "left").select("doc_id", "text", F.col("confirmed").isNotNull().alias("positive"))
+
+    chosen, counts, n = np.zeros(0, np.int64), np.zeros((2, BUCKETS), np.int64), None
     if shares.p:
-        positive = _sample(inputs.join(confirmed, "doc_id", "left_semi"), int(shares.p), POSITIVES, 1)
-        learn = inputs.where(fold(F.col("doc_id"), folds) != held)
-        unlabelled = _sample(learn, int(counts[-1]), UNLABELLED, 2)
-        if len(positive) and len(unlabelled):
-            p, u = _dense(positive, len(chosen)), _dense(unlabelled, len(chosen))
-            weights = np.array([train(p, u, prior, seed) for seed in range(CLASSIFIERS)], np.float32)
+        counts = bucket_counts(rows)
+        n = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("positive").cast("int")), F.lit(0)).alias("p")).first()
+        chosen = chosen_inputs(counts, n.n, n.p)
+    inputs = rows.mapInArrow(_input_task(chosen), "doc_id bigint, positive boolean, words bigint, x array<int>, times array<int>")
+    inputs = work.write(inputs, "inputs")
+    weights = None
+    if n is not None and n.p:
+        start = np.column_stack([start_weights(counts, chosen, n.n, n.p)] * CLASSIFIERS)
+        weights = train(_total(inputs, len(chosen), held, folds), start, prior)
     scored = inputs.mapInArrow(_score_task(weights, len(chosen)), "doc_id bigint, score double")
     out = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False))
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -21,19 +21,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import arrow_batches
+from gleaner.llm.sums import few_tasks, summed
 from gleaner.session import Workspace
 
 #: Entries that a block holds, about.
 BLOCK = 1 << 16
 #: Blocks that go to Python at once.
 BATCH_BLOCKS = 16
-#: Tasks that add up the sums of all others, so that the driver gets this many vectors whatever the number of tasks.
-LANES = 8
 #: A deviation above this is not a long; the result is null.
 LARGEST = (1 << 63) - 1
 
@@ -79,42 +77,39 @@ def _pack_task(d: int):
     return pack
 
 
-def pack(vectors: DataFrame, work: Workspace) -> tuple[DataFrame, int]:
-    """Blocks of the rows of ``vectors`` (id, x), as a stored table, and the dimension: the greatest length; shorter rows end in zeros."""
+class Blocks(NamedTuple):
+    """A stored table of blocks, the dimension of their rows, and whether a pass over it has few tasks."""
+
+    table: DataFrame
+    d: int
+    direct: bool
+
+
+def pack(vectors: DataFrame, work: Workspace) -> Blocks:
+    """Blocks of the rows of ``vectors`` (id, x). The dimension is the greatest length; shorter rows end in zeros."""
     d = int(vectors.agg(F.max(F.size("x"))).first()[0] or 0)
     with arrow_batches(vectors.sparkSession, max(1, 16 * BLOCK // max(d, 1))):
         blocks = vectors.mapInArrow(_pack_task(d), "ids array<bigint>, n bigint, block binary, sums array<string>")
-        return work.write(blocks, "blocks"), d
+        table = work.write(blocks, "blocks")
+    return Blocks(table, d, few_tasks(table))
 
 
 def _rows(block: memoryview, n: int, d: int) -> np.ndarray:
-    size = len(block) // (n * d)
+    size = len(block) // max(n * d, 1)
     return np.frombuffer(block, np.int32 if size == 4 else np.int64).reshape(n, d)
 
 
-def _sum_pass(blocks: DataFrame, d: int, width: int, add) -> np.ndarray:
-    """The sum over all blocks of ``add(rows)``, an array of ``width`` numbers. Sums are added in a fixed order."""
+def _sum_pass(blocks: Blocks, width: int, add) -> np.ndarray:
+    """The sum over all blocks of ``add(rows)``, an array of ``width`` numbers."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add_batch(batch: pa.RecordBatch) -> np.ndarray:
         total = np.zeros(width)
-        for batch in batches:
-            for n, block in zip(batch.column("n").to_pylist(), batch.column("block")):
-                total += add(_rows(block.as_buffer(), n, d))
-        yield _sums_row(TaskContext.get().partitionId(), total)
-
-    def lane(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((at, v) for b in batches for at, v in zip(b.column("at").to_pylist(), b.column("v").to_pylist()))
-        if rows:
-            yield _sums_row(rows[0][0], np.sum([v for _, v in rows], axis=0))
-
-    with arrow_batches(blocks.sparkSession, BATCH_BLOCKS):
-        schema = "at bigint, v array<double>"
-        sums = blocks.select("n", "block").mapInArrow(partial, schema).repartition(LANES).mapInArrow(lane, schema).collect()
-    return np.sum([r["v"] for r in sorted(sums, key=lambda r: r["at"])], axis=0) if sums else np.zeros(width)
-
+        for n, block in zip(batch.column("n").to_pylist(), batch.column("block")):
+            total += add(_rows(block.as_buffer(), n, d))
+        return total
 
-def _sums_row(at: int, total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], ["at", "v"])
+    d = blocks.d
+    return summed(blocks.table.select("n", "block"), width, add_batch, BATCH_BLOCKS, blocks.direct)
 
 
 def _products(mean: np.ndarray, z: np.ndarray):
@@ -169,18 +164,19 @@ def bidiagonalise(product, d: int, scale: float, seed: int = 5) -> tuple[np.ndar
     return np.array(right).T, b
 
 
-def fit(blocks: DataFrame, d: int, components: int = 32) -> Whitening:
+def fit(blocks: Blocks, components: int = 32) -> Whitening:
     """The whitening of the rows in ``blocks``. Components whose variance is below the rounding of the largest are left out."""
-    each = blocks.select(F.posexplode("sums").alias("at", "s")).groupBy("at").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s")).collect()
-    n = int(blocks.agg(F.sum("n")).first()[0] or 0)
+    d = blocks.d
+    each = blocks.table.select(F.posexplode("sums").alias("at", "s")).groupBy("at").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s")).collect()
+    n = int(blocks.table.agg(F.sum("n")).first()[0] or 0)
     sums = [int(r["s"]) for r in sorted(each, key=lambda r: r["at"])]
     if not n or not d:
         return Whitening(n, sums, np.zeros((d, 0)), np.zeros(0), 0.0)
     mean = np.array([s / n for s in sums])
-    squares = float(_sum_pass(blocks, d, 1, lambda rows: np.array([np.square(rows - mean).sum()]))[0])
+    squares = float(_sum_pass(blocks, 1, lambda rows: np.array([np.square(rows - mean).sum()]))[0])
     if squares == 0:
         return Whitening(n, sums, np.zeros((d, 0)), np.zeros(0), 0.0)
-    v, b = bidiagonalise(lambda z: _sum_pass(blocks, d, d, _products(mean, z)), d, np.sqrt(squares))
+    v, b = bidiagonalise(lambda z: _sum_pass(blocks, d, _products(mean, z)), d, np.sqrt(squares))
     _, values, q = np.linalg.svd(b)
     variances = values**2 / n
     kept = min(components, int(np.count_nonzero(variances > variances[0] * np.finfo(float).eps * 4 * d)))
@@ -191,7 +187,7 @@ def _white(model: Whitening, rows: np.ndarray) -> np.ndarray:
     return (rows - model.mean()) @ model.components / np.sqrt(model.variances)
 
 
-def identity_error(blocks: DataFrame, d: int, model: Whitening) -> float:
+def identity_error(blocks: Blocks, model: Whitening) -> float:
     """The largest absolute entry of the whitened rows' covariance minus the identity."""
     k = len(model.variances)
     if not k:
@@ -201,7 +197,7 @@ def identity_error(blocks: DataFrame, d: int, model: Whitening) -> float:
         y = _white(model, rows)
         return np.append((y.T @ y).ravel(), y.sum(axis=0))
 
-    total = _sum_pass(blocks, d, k * k + k, add) / model.n
+    total = _sum_pass(blocks, k * k + k, add) / model.n
     mean = total[k * k :]
     return float(np.abs(total[: k * k].reshape(k, k) - np.outer(mean, mean) - np.eye(k)).max())
 
@@ -209,7 +205,7 @@ def identity_error(blocks: DataFrame, d: int, model: Whitening) -> float:
 def _deviations(model: Whitening, rows: np.ndarray) -> list[int | None]:
     """Sums of (n * x - S)² by row, exact; null where they don't fit into a long."""
     rough = np.square((rows - model.mean()) * float(model.n)).sum(axis=1)
-    if rough.max(initial=0) < float(1 << 61) and max(map(abs, model.sums)) < 1 << 61 and float(np.abs(rows).max(initial=0)) * model.n < float(1 << 61):
+    if rough.max(initial=0) < float(1 << 61) and max(map(abs, model.sums), default=0) < 1 << 61 and float(np.abs(rows).max(initial=0)) * model.n < float(1 << 61):
         return np.square(rows.astype(np.int64) * model.n - np.array(model.sums, np.int64)).sum(axis=1).tolist()
     exact = [sum((model.n * x - s) ** 2 for x, s in zip(row, model.sums)) for row in rows.tolist()]
     return [e if e <= LARGEST else None for e in exact]
@@ -228,9 +224,9 @@ def _project_task(model: Whitening, d: int):
     return project
 
 
-def transform(blocks: DataFrame, d: int, model: Whitening) -> DataFrame:
+def transform(blocks: Blocks, model: Whitening) -> DataFrame:
     """(id, deviation, whitened) for every row in ``blocks``."""
-    return blocks.select("ids", "n", "block").mapInArrow(_project_task(model, d), "id bigint, deviation bigint, whitened array<double>")
+    return blocks.table.select("ids", "n", "block").mapInArrow(_project_task(model, blocks.d), "id bigint, deviation bigint, whitened array<double>")
 
 
 def whitened_rows(table: DataFrame, id_column: str, vector: str, scale: int = 64, offset: int = 0, components: int = 32) -> DataFrame:
@@ -246,10 +242,10 @@ def whitened_rows(table: DataFrame, id_column: str, vector: str, scale: int = 64
     # The offset cancels wherever rows are centred, so it is left out of the numbers that are worked with.
     vectors = table.select(F.col(id_column).cast("bigint").alias("id"), fixed_point(F.col(vector), scale).alias("x")).where("x is not null")
     work = Workspace(table.sparkSession, "whitening")
-    blocks, d = pack(vectors, work)
-    model = fit(blocks, d, components)
-    error = identity_error(blocks, d, model)
-    each = transform(blocks, d, model).select("id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    blocks = pack(vectors, work)
+    model = fit(blocks, components)
+    error = identity_error(blocks, model)
+    each = transform(blocks, model).select("id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
     shares = [float(e / model.total) for e in model.variances]
     explained = F.get(F.array(*[F.lit(s) for s in shares]), F.col("at")) if shares else F.lit(None).cast("double")
     return each.select(

@@ -11,11 +11,18 @@ def sets(text):
     return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)} - {""}
 
 
+def words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
 def brute(docs, items):
     out = []
     for d, t in docs:
+        w = words(t)
         for i, q in items:
             a, b = sets(t), sets(q)
+            if (m := len(words(q))) < 5:  # a short item is looked for as a run of its own length
+                a = {" ".join(w[k : k + m]) for k in range(len(w) - m + 1)}
             if b and 100 * len(a & b) >= 75 * len(b):
                 out.append((d, i, len(a & b), len(b)))
     return sorted(out, key=str)
@@ -65,3 +72,16 @@ def test_clean_documents_stay(spark, make):
     docs = make([(1, item), (2, "clean"), (3, None)], extra=True)
     out = decontaminate.clean_documents(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string"))
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [2, 3]
+
+
+def test_short_items_are_found_inside_long_documents(spark, make):
+    items = [(1, "Capital of France"), (2, "word77 word78"), (3, "word9999"), (4, "a b c d"), (5, "of France Paris is the")]
+    docs = [(1, "What is the capital of France? Paris is the capital."), (2, LONG), (3, "capital of"), (4, "capital of, france"), (5, "b a b c d")]
+    want = [(1, 1, 1, 1), (1, 5, 1, 1), (2, 2, 1, 1), (2, 3, 1, 1), (4, 1, 1, 1), (5, 4, 1, 1)]
+    assert brute(docs, items) == want and result(spark, make, docs, items) == want
+
+
+def test_an_item_of_several_rows_may_be_short_and_long(spark, make):
+    items = [(1, "one two"), (1, "a b c d e"), (1, "three")]
+    docs = [(1, "x one two x three"), (2, "x one two three a b c d e"), (3, "one two")]
+    assert result(spark, make, docs, items) == [(2, 1, 3, 3)]

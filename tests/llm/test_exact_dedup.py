@@ -1,6 +1,8 @@
+import random
 from collections import defaultdict
-from hashlib import sha256
+from hashlib import md5, sha256
 
+import pytest
 from pyspark.sql import functions as F
 from tests.llm.conftest import LONG
 
@@ -33,22 +35,60 @@ def test_empty_table(make):
     assert result(make([])) == []
 
 
-def test_chunks_make_up_the_text(spark):
-    texts = ["", "x", "no end " * 2000, "One. Two!\nThree? " * 900, "é" * 5000, LONG]
+def cut(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    for text, parts in df.select("text", exact_dedup.chunks(F.col("text"))).collect():
-        assert "".join(parts) == text
-        assert all(len(p) <= 4096 for p in parts) and all(len(p) >= 1024 for p in parts[:-1])
+    return [r[0] for r in df.select(exact_dedup.chunks(F.col("text"))).collect()]
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9))) + rng.choice(["", "", ",", "."]) for _ in range(n))
+
+
+def test_chunks_make_up_the_text(spark):
+    rng = random.Random(1)
+    texts = ["", "x", " ", "no end " * 2000, "One. Two!\nThree? " * 900, "é" * 5000, LONG, "".join(rng.choice("acgt") for _ in range(20_000)), "中文字。" * 500]
+    texts += [prose(2, 3000), "\U0001f600" * 300 + "\n" * 300]
+    for text, parts in zip(texts, cut(spark, texts)):
+        assert "".join(parts) == text and "" not in parts
+
+
+@pytest.mark.parametrize("kind", ["prose", "without blanks", "one line"])
+def test_texts_that_differ_in_one_place_share_the_other_chunks(spark, kind):
+    text = prose(3, 24_000)
+    text = {"prose": text, "without blanks": "".join(c for c in text if c.isalpha()), "one line": text.replace(".", "").replace(",", "")}[kind]
+    half = len(text) // 2
+    a, b, c = cut(spark, [text, "inserted at the start " + text, text[:half] + "X" + text[half:]])
+    assert len(a) > 20
+    assert len(set(a) - set(b)) <= 3 and len(set(a) - set(c)) <= 3
+    assert max(map(len, a)) < 40 * len(text) / len(a)
+
+
+def test_recipes_decide_not_checksums(make, monkeypatch):
+    text = prose(4, 3000)
+    rows = [(1, text), (2, text), (3, text[:-1] + "!"), (4, "other"), (5, "x" + text), (6, text[:9000] + "y" + text[9001:]), (7, None), (8, "other"), (9, "single")]
+    monkeypatch.setattr(exact_dedup, "checksum", lambda text: F.lit(7).cast("bigint"))  # now every row may have a copy
+    assert result(make(rows)) == brute(rows)
+    monkeypatch.setattr(exact_dedup, "identifier", lambda chunk: F.hex(F.length(chunk) % 3))  # and identifiers stand for many chunks
+    assert result(make(rows)) == brute(rows)
+
+
+def test_ambiguous_identifiers_are_found(spark, monkeypatch):
+    df = spark.createDataFrame([("ab",), ("cd",), ("ab",), ("e",)], "chunk string")
+    assert exact_dedup.ambiguous_identifiers(df) == []
+    monkeypatch.setattr(exact_dedup, "identifier", lambda chunk: F.length(chunk).cast("string"))
+    assert exact_dedup.ambiguous_identifiers(df) == ["2"]
+
 
+def test_ambiguous_identifiers_hold_the_chunk(spark):
+    df = spark.createDataFrame([(1, ["a", "b"])], "doc_id bigint, chunks array<string>")
+    (row,) = exact_dedup.recipes(df, [md5(b"a").hexdigest()]).collect()
+    assert row.recipe == [md5(b"a").hexdigest() + "a", md5(b"b").hexdigest()]
 
-def test_cut_returns_to_step_after_an_insertion(spark):
-    text = "".join(f"Sentence {i * i} of the text. " for i in range(2000))
-    df = spark.createDataFrame([(text,), ("Inserted here. " + text,)], "text string")
-    a, b = (r[0] for r in df.select(exact_dedup.chunks(F.col("text"))).collect())
-    assert len(set(a) & set(b)) > len(a) / 2
 
+def test_without_broadcast(make, monkeypatch):
+    from gleaner.llm import common
 
-def test_ambiguous_identifiers_hold_the_chunk(make):
-    df = make([(1, "a")]).select("doc_id", "text")
-    (row,) = exact_dedup.recipes(df, [sha256(b"a").hexdigest()]).collect()
-    assert row.recipe == [sha256(b"a").hexdigest() + "a"]
+    monkeypatch.setattr(common, "LIGHT_ROWS", 0)
+    rows = [(i % 7, f"text {i % 5}") for i in range(60)] + [(None, "text 1")]
+    assert result(make(rows)) == brute(rows)

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import pytest
@@ -59,6 +60,36 @@ def test_inclusion_follows_the_weights(make):
     assert short / long == pytest.approx(2, rel=0.15)  # weights fall with the square root of the length
 
 
+def test_expected_words_are_the_rest(spark):
+    rng = random.Random(3)
+    words = [(no, w, rng.randrange(1, 5000)) for no in range(1, 9) for w in rng.sample(range(1, 3000), 40)] + [(9, 7, 10), (10, 0, 0), (11, 3, 5), (11, 2, 1)]
+    total = {no: sum(n for o, _, n in words if o == no) for no in range(1, 12)}
+    rests = [(no, total[no] * share) for no, share in zip(range(1, 12), (0.0, 0.01, 0.2, 0.5, 0.7, 0.9, 0.99, 0.9999, 0.5, 0.5, 0.97))]
+    frame = spark.createDataFrame(words, "source_no int, weight bigint, words bigint")
+    found = {r.source_no: r for r in mixing.sampling_scales(frame, spark.createDataFrame(rests, "source_no int, rest double")).collect()}
+    for no, rest in rests:
+        if total[no]:
+            p = [(1.0 if w > found[no].certain else found[no].scale * w, n) for o, w, n in words if o == no]
+            assert all(0 <= x <= 1 for x, _ in p)
+            assert sum(x * n for x, n in p) == pytest.approx(rest)
+    assert 10 not in found
+
+
+def test_certain_documents_come_first(make):
+    # Weights differ forty times over, and nine tenths of the words are wanted: the short ones are certain.
+    rows = [(i, "w " * (1 if i % 2 else 1500), "a") for i in range(400)]
+    got = mixing.mix(make(rows), share=0.9).collect()
+    assert {r.copies for r in got if r.size == 1} == {1}
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 750
+
+
+def test_the_cut_is_narrowed_twice(make, monkeypatch):
+    df = make(rows_of(3))
+    want = {r.doc_id: r.copies for r in mixing.mix(df).collect()}
+    monkeypatch.setattr(mixing, "RANGES", 3)  # nearly all of the order is then left to the last step
+    assert {r.doc_id: r.copies for r in mixing.mix(df).collect()} == want
+
+
 def test_edges(make):
     rows = [(1, None, "a"), (2, "", "a"), (None, "x y", "a"), (3, "x", None), (4, "x", None), (4, "x", None), (5, LONG, "b"), (6, " \t\n", "c")]
     got = mixing.mix(make(rows)).collect()

@@ -148,3 +148,42 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u bigint, v bigint"), Workspace(spark, "t")).collect()}
     assert got == {i: find(i) for i in {x for a, b in links if a != b for x in (a, b)}}
     assert components(spark.createDataFrame([], "u bigint, v bigint"), Workspace(spark, "t")).collect() == []
+
+
+def thue_morse(n, swap=False):
+    """Words whose hashes agree under any polynomial modulo a power of two."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 256, 1024, 4096])
+def test_patterned_words_are_told_apart(make, n):
+    x, y = thue_morse(n), thue_morse(n, True)
+    rows = [(1, x), (2, y), (3, "other words"), (4, f"{x} {y} " * 4), (5, f"{y} {x} " * 4), (6, " ".join([x] * 7)), (7, " ".join([y] * 7)), (8, x.upper())]
+    assert result(make(rows)) == brute(rows)
+
+
+def test_hashes_of_structured_words():
+    import pyarrow as pa
+
+    from gleaner.llm.textbytes import slices, words
+
+    pool = {c * k for c in "ab\0é" for k in (1, 7, 8, 9, 16, 17, 255, 256, 257, 600)} | {format(i, "013b") for i in range(8192)}
+    pool |= {thue_morse(n, s) for n in (8, 128, 512, 2048) for s in (False, True)} | {("a" * i + "b" + "a" * (300 - i)) for i in range(301)}
+    every = sorted(pool)
+    (texts,) = slices(pa.array([" ".join(every)]))
+    first, second, owner = words(texts)
+    assert len(owner) == len(every) == len(np.unique(first)) == len(np.unique(second))
+    (again,) = slices(pa.array(["x " + " ".join(reversed(every))]))
+    assert words(again)[0][1:][::-1].tolist() == first.tolist()  # the place of a word doesn't matter
+
+
+def test_hot_shingles_change_nothing(make, monkeypatch):
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(80)]
+    rows = corpus(5, 25)
+    rows += [(10_000 + i, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([1, 9, 12, 20, 24]))])) for i in range(120)]
+    for name, value in (("HOT_LEAST", 5), ("BATCH_ROWS", 40)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert result(make(rows)) == brute(rows)
+    monkeypatch.setattr(ngram_join, "_block_links", lambda sets, total: sets.sparkSession.createDataFrame([], "u bigint, v bigint"))
+    assert result(make(rows)) == brute(rows)

@@ -2,11 +2,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.conftest import LONG
 
-from gleaner.llm import quality, toxicity
+from gleaner.llm import quality, sums, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -43,7 +44,8 @@ def test_held_out_accuracy(spark, name):
     got = scores.where("held_out").join(marks, "doc_id").select(F.col(name).alias("y"), "score", "predicted").toPandas()
     assert got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
     ones, zeros = got[got.y == 1], got[got.y == 0]
-    assert (ones.predicted == 1).mean() > 0.8 and (zeros.predicted == 0).mean() > 0.95
+    # Some 4 % of the rows that are labelled toxic hold nothing that tells them from junk.
+    assert (ones.predicted == 1).mean() > 0.9 and (zeros.predicted == 0).mean() > 0.98
 
 
 @pytest.mark.parametrize("which", ["quality", "toxicity"])
@@ -81,13 +83,70 @@ def test_discriminant_equals_the_formula():
     assert np.allclose(model.scores(at), density[1] / (density[0] + density[1]))
 
 
+def dense(rows):
+    """Dense 0/1 rows as the inputs that a task reads."""
+    lists = [np.flatnonzero(r).tolist() for r in rows]
+    columns = [pa.array([0] * len(rows), pa.int64()), pa.array(lists, pa.list_(pa.int32())), pa.array([[1] * len(x) for x in lists], pa.list_(pa.int32()))]
+    return toxicity.read_inputs(pa.RecordBatch.from_arrays(columns, ["words", "x", "times"]), rows.shape[1])
+
+
 def test_risk_correction_finds_the_positives_in_unlabelled_text():
     rng = np.random.default_rng(4)
-    sample = lambda n, p: np.column_stack((rng.random((n, 5)) < p, rng.random((n, 40)) < 0.3, np.ones(n))).astype(np.float32)
+    sample = lambda n, p: np.column_stack((rng.random((n, 5)) < p, rng.random((n, 40)) < 0.3))
     positive, hidden, clean = sample(200, 0.5), sample(200, 0.5), sample(1800, 0.001)
-    w = toxicity.train(positive, np.concatenate((hidden, clean)), 0.1, 0)
+    x = dense(np.concatenate((positive, hidden, clean)))
+    is_positive = (np.arange(2200) < 200)[:, None].astype(float)
+    every = np.concatenate((positive, hidden, clean))
+    start = toxicity.start_weights(np.array([every.sum(axis=0), positive.sum(axis=0)]), np.arange(45), len(every), len(positive))
+    w = toxicity.train(lambda w: toxicity.risk_sums(x, w, 1 - is_positive, is_positive), start[:, None], 0.1)
     some = hidden[:, :5].any(axis=1)
-    assert ((hidden[some] @ w) > 0).mean() > 0.85 and ((clean[~clean[:, :5].any(axis=1)] @ w) > 0).mean() < 0.02
+    assert (dense(hidden[some]).times(w) > 0).mean() > 0.85 and (dense(clean[~clean[:, :5].any(axis=1)]).times(w) > 0).mean() < 0.02
+
+
+def test_sums_equal_the_dense_formula():
+    rng = np.random.default_rng(6)
+    rows = rng.random((50, 7)) < 0.3
+    x, w = dense(rows), rng.normal(size=(9, 2))
+    full = np.column_stack((rows * np.log(11), np.zeros(50), np.ones(50)))
+    u, p = (rng.random((50, 2)) < 0.5).astype(float), (rng.random((50, 2)) < 0.2).astype(float)
+    got = toxicity.risk_sums(x, w, u, p).reshape(2, 2, -1)
+    s = 1 / (1 + np.exp(-full @ w))
+    assert np.allclose(x.times(w), full @ w)
+    for k in range(2):
+        for part, rows_in in ((got[k, 0], u[:, k]), (got[k, 1], p[:, k])):
+            assert np.allclose(part, np.concatenate(([rows_in.sum(), rows_in @ s[:, k]], (rows_in * s[:, k] * (1 - s[:, k])) @ full)))
+
+
+@pytest.mark.parametrize("positives", [1, 2, 3])
+def test_few_positives_are_enough(spark, make, positives):
+    docs, _ = made(300)
+    docs = [(i, t if i % 100 else t + " quarrelsome insult nobody else writes") for i, t in docs]
+    marked = [i for i in range(0, 300, 100) if not held(i, 5, 0)][:positives]
+    docs += [(1000 + k, f"{docs[50 + k][1]} quarrelsome insult nobody else writes") for k in range(20)]
+    marks = [(i, None, 1) for i in marked] + [(i, None, 0) for i, _ in docs if i % 10 == 3]
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(make(docs), labels(spark, marks)).collect()}
+    assert np.mean([got[1000 + k] for k in range(20)]) > 0.9
+    assert np.mean([got[i] for i, _ in docs[:300] if i % 5]) < 0.05
+
+
+def test_a_prior_above_a_half(spark, make):
+    rng = random.Random(2)
+    clean = [f"{rng.choice('bdfg')}o{rng.choice('klmn')}{rng.choice('aeiou')}" for _ in range(60)]
+    docs = [(i, " ".join(rng.choices(clean, k=40) + (["vileword", "badword"] if i % 10 < 7 else []))) for i in range(500)]
+    marks = [(i, None, int(i % 10 < 7)) for i in range(0, 500, 2)]
+    for prior in (None, 0.7):
+        got = toxicity.toxicity_scores(make(docs), labels(spark, marks), prior=prior).collect()
+        assert np.mean([r.predicted == int(r.doc_id % 10 < 7) for r in got]) > 0.97
+    only = [(i, None, 1) for i, _, t in marks if t]  # nothing says how common the others are
+    got = toxicity.toxicity_scores(make(docs), labels(spark, only), prior=0.7).collect()
+    assert np.mean([r.predicted == int(r.doc_id % 10 < 7) for r in got]) > 0.97
+
+
+def test_counts_and_sums_by_lanes_give_the_same(spark, make, monkeypatch):
+    docs, marks = made(200)
+    want = {r.doc_id: round(r.score, 9) for r in toxicity.toxicity_scores(make(docs), labels(spark, marks)).collect()}
+    monkeypatch.setattr(sums, "DIRECT_TASKS", 0)
+    assert {r.doc_id: round(r.score, 9) for r in toxicity.toxicity_scores(make(docs), labels(spark, marks)).collect()} == want
 
 
 def test_without_toxic(spark, make):
