@@ -31,7 +31,7 @@ BEGINNINGS = (4, 5, 6)
 #: Hash values of pieces, and how many of them are added up in one place.
 BUCKETS, RANGE = 1 << 20, 1 << 14
 #: Twice the log-likelihood ratio from which on positives have a piece significantly more often than all text.
-SIGNIFICANT = 15.0
+SIGNIFICANT = 6.0
 #: Classifiers, each of which leaves another share of the documents out, and the steps of their fit.
 CLASSIFIERS, STEPS, RATE, DECAY = 3, 50, 0.3, 1e-4
 #: The class prior where labels don't tell it, as no label says that a document isn't toxic.

@@ -94,10 +94,14 @@ def test_risk_correction_finds_the_positives_in_unlabelled_text():
     rng = np.random.default_rng(4)
     sample = lambda n, p: np.column_stack((rng.random((n, 5)) < p, rng.random((n, 40)) < 0.3))
     positive, hidden, clean = sample(200, 0.5), sample(200, 0.5), sample(1800, 0.001)
-    x = dense(np.concatenate((positive, hidden, clean)))
-    is_positive = (np.arange(2200) < 200)[:, None].astype(float)
     every = np.concatenate((positive, hidden, clean))
-    start = toxicity.start_weights(np.array([every.sum(axis=0), positive.sum(axis=0)]), np.arange(45), len(every), len(positive))
+    counts = np.array([every.sum(axis=0), positive.sum(axis=0)])
+    chosen = toxicity.chosen_inputs(counts, len(every), len(positive))
+    assert set(range(5)) <= set(chosen)
+    positive, hidden, clean, every = (rows[:, chosen] for rows in (positive, hidden, clean, every))
+    x = dense(every)
+    is_positive = (np.arange(2200) < 200)[:, None].astype(float)
+    start = toxicity.start_weights(counts, chosen, len(every), len(positive))
     w = toxicity.train(lambda w: toxicity.risk_sums(x, w, 1 - is_positive, is_positive), start[:, None], 0.1)
     some = hidden[:, :5].any(axis=1)
     assert (dense(hidden[some]).times(w) > 0).mean() > 0.85 and (dense(clean[~clean[:, :5].any(axis=1)]).times(w) > 0).mean() < 0.02
@@ -119,14 +123,15 @@ def test_sums_equal_the_dense_formula():
 
 @pytest.mark.parametrize("positives", [1, 2, 3])
 def test_few_positives_are_enough(spark, make, positives):
-    docs, _ = made(300)
-    docs = [(i, t if i % 100 else t + " quarrelsome insult nobody else writes") for i, t in docs]
-    marked = [i for i in range(0, 300, 100) if not held(i, 5, 0)][:positives]
-    docs += [(1000 + k, f"{docs[50 + k][1]} quarrelsome insult nobody else writes") for k in range(20)]
+    docs, _ = made(1500)
+    insult = " quarrelsome insult nobody else writes" * 2
+    marked = [i for i in range(0, 1500, 50) if not held(i, 5, 0)][:positives]
+    docs = [(i, t + insult if i in marked else t) for i, t in docs]
+    docs += [(10_000 + k, docs[51 + 5 * k][1] + insult) for k in range(10)]
     marks = [(i, None, 1) for i in marked] + [(i, None, 0) for i, _ in docs if i % 10 == 3]
     got = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(make(docs), labels(spark, marks)).collect()}
-    assert np.mean([got[1000 + k] for k in range(20)]) > 0.9
-    assert np.mean([got[i] for i, _ in docs[:300] if i % 5]) < 0.05
+    assert np.mean([got[10_000 + k] for k in range(10)]) > 0.8
+    assert np.mean([got[i] for i, _ in docs[:1500] if i % 5]) < 0.05
 
 
 def test_a_prior_above_a_half(spark, make):
