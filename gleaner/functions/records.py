@@ -139,6 +139,24 @@ def block_is_sound(atoms: Column, bonds: Column, n_atoms: Column, n_bonds: Colum
     )
 
 
+def lines_are_sound(ls: Column, n_atoms: Column, n_bonds: Column) -> Column:
+    """``block_is_sound`` from the lines themselves, for when the block isn't wanted."""
+    atoms = F.slice(ls, 5, F.coalesce(n_atoms, F.lit(0)))
+    bonds = F.slice(ls, F.coalesce(n_atoms, F.lit(0)) + 5, F.coalesce(n_bonds, F.lit(0)))
+    atom_ok = lambda line: (
+        _double(line, 1, 10).isNotNull() & _double(line, 11, 10).isNotNull() & _double(line, 21, 10).isNotNull() & (_field(line, 32, 3) != "")
+    )
+    bond_ok = lambda line: (
+        _int(line, 1, 3).between(1, n_atoms) & _int(line, 4, 3).between(1, n_atoms) & _int(line, 7, 3).isNotNull()
+    )
+    return (
+        (F.size(atoms) == n_atoms)
+        & (F.size(bonds) == n_bonds)
+        & F.forall(atoms, lambda line: F.coalesce(atom_ok(line), F.lit(False)))
+        & F.forall(bonds, lambda line: F.coalesce(bond_ok(line), F.lit(False)))
+    )
+
+
 def tag_map(raw: Column) -> Column:
     """Data items by name. Of a repeated name the last item counts."""
     tail = F.substring_index(raw, END_OF_MOLECULE, -1)

@@ -12,8 +12,8 @@ _TEXT = r"^\s*\((\d+),\s*\[([^\]]*)\],\s*\[([^\]]*)\]\)\s*$"
 
 def sparse(size: Column, ids: Column, vals: Column) -> Column:
     return F.struct(
-        size.cast("int").alias("size"),
-        ids.cast("array<int>").alias("ids"),
+        size.cast("bigint").alias("size"),
+        ids.cast("array<bigint>").alias("ids"),
         vals.cast("array<double>").alias("vals"),
     )
 
@@ -46,7 +46,7 @@ def parse_vector(text: Column) -> Column:
 
     return F.when(
         text.rlike(_TEXT),
-        sparse(F.regexp_extract(text, _TEXT, 1).try_cast("int"), numbers(2, "int"), numbers(3, "double")),
+        sparse(F.regexp_extract(text, _TEXT, 1).try_cast("bigint"), numbers(2, "bigint"), numbers(3, "double")),
     )
 
 
@@ -55,7 +55,7 @@ def dot(features: Column, weights: Column) -> Column:
     products = F.zip_with(
         features["ids"],
         features["vals"],
-        lambda i, v: v * F.coalesce(F.get(weights, i), F.lit(0.0)),
+        lambda i, v: v * F.coalesce(F.get(weights, i.cast("int")), F.lit(0.0)),
     )
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
@@ -70,11 +70,11 @@ def append_constant(features: Column) -> Column:
 
 
 def to_ml_vector(features: Column) -> Column:
-    """ML vector column. Built through JSON, which keeps the work in the JVM; meant for training rows."""
+    """ML vector column, of at most 2**31 places. Built through JSON, which keeps the work in the JVM; meant for training rows."""
     body = F.struct(
         F.lit(0).alias("type"),
-        features["size"].alias("size"),
-        features["ids"].alias("indices"),
+        features["size"].cast("int").alias("size"),
+        features["ids"].cast("array<int>").alias("indices"),
         features["vals"].alias("values"),
     )
     schema = T.StructType([T.StructField("v", VectorUDT())])

@@ -7,6 +7,7 @@ How strange a row is for a class is its negated margin (class 1) or its margin (
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,13 +31,30 @@ def calibration_table(labelled: DataFrame, margin: Column) -> DataFrame:
     )
 
 
-def _by_search(test: DataFrame, margin: str, alphas: dict[int, np.ndarray]) -> DataFrame:
+@dataclass(frozen=True)
+class Calibration:
+    """A calibration table that was counted, and read if it is small; for use with more than one table of rows."""
+
+    table: DataFrame
+    sizes: dict[int, int]
+    arrays: dict[int, np.ndarray] | None  # sorted, by class
+
+    @classmethod
+    def of(cls, calibration: DataFrame, max_rows: int = MAX_CALIBRATION_ROWS) -> Calibration:
+        """Reads ``calibration`` once, under a limit; a larger one is only counted then."""
+        alphas = calibration.select(F.col("label").cast("int").alias("label"), F.col("alpha").cast("double").alias("alpha"))
+        read = alphas.limit(max_rows + 1).toPandas()
+        if len(read) > max_rows:
+            return cls(alphas, {row["label"]: row["count"] for row in alphas.groupBy("label").count().collect()}, None)
+        arrays = {c: np.sort(read.loc[read["label"] == c, "alpha"].to_numpy(dtype=float)) for c in CLASSES}
+        return cls(alphas, {c: len(a) for c, a in arrays.items()}, arrays)
+
+
+def _by_search(test: DataFrame, margin: str, sorted_alphas: dict[int, np.ndarray]) -> DataFrame:
     """Both p-values by binary search in the sorted calibration arrays, per Arrow batch; no shuffle."""
-    shared = test.sparkSession.sparkContext.broadcast(alphas)
 
     @F.pandas_udf("p0 double, p1 double")
     def p_values(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        sorted_alphas = shared.value
         for m in batches:
             out = {}
             for c in CLASSES:
@@ -72,21 +90,18 @@ def _by_sort(test: DataFrame, margin: str, calibration: DataFrame, sizes: dict[i
 
 def with_p_values(
     test: DataFrame,
-    calibration: DataFrame,
+    calibration: DataFrame | Calibration,
     margin: str = "margin",
     max_calibration_rows: int = MAX_CALIBRATION_ROWS,
 ) -> DataFrame:
     """Adds p0 and p1 to rows with a margin; a null or NaN margin has none. Every row comes back once, whatever its key.
 
-    ``calibration`` is read once here; store it before if it is costly.
+    A ``calibration`` table is read here; one that is used again should be a ``Calibration``.
     """
-    alphas = calibration.select(F.col("label").cast("int").alias("label"), F.col("alpha").cast("double").alias("alpha"))
-    sizes = {row["label"]: row["count"] for row in alphas.groupBy("label").count().collect()}
-    if sum(sizes.values()) > max_calibration_rows:
-        return _by_sort(test, margin, alphas, sizes)
-    table = alphas.toPandas()
-    arrays = {c: np.sort(table.loc[table["label"] == c, "alpha"].to_numpy(dtype=float)) for c in CLASSES}
-    return _by_search(test, margin, arrays)
+    known = calibration if isinstance(calibration, Calibration) else Calibration.of(calibration, max_calibration_rows)
+    if known.arrays is None:
+        return _by_sort(test, margin, known.table, known.sizes)
+    return _by_search(test, margin, known.arrays)
 
 
 def prediction_set(significance: float) -> Column:

@@ -1,28 +1,132 @@
-"""Linear learners over labelled rows, and the margin they give every candidate."""
+"""Linear learners over labelled rows, and the margin they give every candidate.
+
+A model is a table of weights by feature id. Ids that no training row holds have weight 0 under an L2 penalty and a start at 0,
+so they are neither fitted nor stored: training re-indexes its rows to the ids that they hold, and the width of the dictionary
+plays no part in it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.vectors import append_constant, dot, to_ml_vector
-from gleaner.session import one_value
+from gleaner.functions.vectors import append_constant, sparse, to_ml_vector, vector_text
+from gleaner.session import Workspace
+
+WEIGHTS = "sig_id bigint, weight double"
+MAX_LIGHT_WEIGHTS = 4_000_000  # weights up to this number, 16 bytes each, are sent to the tasks
+_HOT_IDS = 1000
+_HOT_SAMPLE = 0.02
+_FILLER_KEYS = 4096
 
 
 @dataclass(frozen=True)
 class LinearModel:
-    weights: list[float]
+    """``weights``: sig_id, weight; ids that it lacks have weight 0, and ids are unique."""
+
+    weights: DataFrame
     intercept: float
 
-    def with_margin(self, df: DataFrame, features: str = "features", out: str = "margin") -> DataFrame:
-        """Adds w.x + b, evaluated in the JVM. The weights enter the plan once, as a scalar subquery."""
-        table = df.sparkSession.createDataFrame([(self.weights,)], "w array<double>")
-        weighted = df.withColumn("_w", one_value(table, F.col("w")))
-        return weighted.withColumn(out, dot(F.col(features), F.col("_w")) + F.lit(self.intercept)).drop("_w")
+    @classmethod
+    def dense(cls, spark: SparkSession, weights: list[float], intercept: float) -> LinearModel:
+        """The model whose feature i has the i-th weight."""
+        return cls.of_arrays(spark, np.arange(len(weights)), np.array(weights, float), intercept)
+
+    @classmethod
+    def of_arrays(cls, spark: SparkSession, ids: np.ndarray, weights: np.ndarray, intercept: float) -> LinearModel:
+        """Weights of 0 are left out; a model without any other keeps one for an id that no row has, so its table isn't empty."""
+        used = weights != 0
+        if not used.any():
+            ids, weights, used = np.array([-1]), np.zeros(1), np.array([True])
+        table = pd.DataFrame({"sig_id": np.asarray(ids)[used], "weight": weights[used]})
+        return cls(spark.createDataFrame(table, WEIGHTS), float(intercept))
+
+    @cached_property
+    def _light(self) -> pa.Table:
+        """The weights in order of their ids, or one more than can be sent to the tasks."""
+        return self.weights.limit(MAX_LIGHT_WEIGHTS + 1).toArrow().sort_by("sig_id")
+
+    def with_margin(self, df: DataFrame, features: str = "features", out: str = "margin", max_weights: int = MAX_LIGHT_WEIGHTS) -> DataFrame:
+        """Adds w.x + b; null for a null vector.
+
+        Up to ``max_weights`` weights go to the tasks and are looked up by binary search, a batch of rows at once. More
+        are joined with the vectors' entries by shuffle.
+        """
+        if self._light.num_rows > min(max_weights, MAX_LIGHT_WEIGHTS):
+            return _shuffled_margin(df, features, out, self.weights, self.intercept)
+        ids, weights = (self._light.column(c).to_numpy() for c in ("sig_id", "weight"))
+        return df.withColumn(out, _looked_up_margin(ids, weights, self.intercept)(F.col(features)))
+
+
+def _looked_up_margin(ids: np.ndarray, weights: np.ndarray, intercept: float):
+    @F.arrow_udf("double")
+    def margin(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for features in batches:
+            yield _margins(features, ids, weights, intercept)
+
+    return margin
+
+
+def _margins(features: pa.StructArray, ids: np.ndarray, weights: np.ndarray, intercept: float) -> pa.Array:
+    wanted, vals = features.field("ids"), features.field("vals")
+    empty = pa.scalar([], wanted.type), pa.scalar([], vals.type)
+    null = np.asarray(features.is_null()) | np.asarray(wanted.is_null()) | np.asarray(vals.is_null())
+    wanted, vals = wanted.fill_null(empty[0]), vals.fill_null(empty[1])
+    lengths = np.diff(wanted.offsets.to_numpy())
+    found = np.zeros(int(lengths.sum()))
+    if len(ids) and len(found):
+        keys = wanted.flatten().to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(ids, keys), len(ids) - 1)
+        found = np.where(ids[at] == keys, weights[at], 0.0) * vals.flatten().to_numpy(zero_copy_only=False)
+    sums = np.zeros(len(lengths))
+    # Sums in order of the ids, each row by itself, so that equal vectors have equal margins.
+    held = np.flatnonzero(lengths)
+    if len(held):
+        sums[held] = np.add.reduceat(found, (np.cumsum(lengths) - lengths)[held])
+    return pa.array(sums + intercept, pa.float64(), mask=null)
+
+
+def _hot_weights(entries: DataFrame, weights: DataFrame) -> DataFrame:
+    """The ids that occur most often in ``entries``, at most ``_HOT_IDS``, with their weights."""
+    counts = entries.groupBy("sig_id").count()
+    hot = counts.orderBy(F.desc("count"), "sig_id").limit(_HOT_IDS).select("sig_id")
+    known = weights.join(F.broadcast(hot), "sig_id", "left_semi").select(F.col("sig_id").alias("_known"), "weight")
+    found = hot.join(F.broadcast(known), F.col("sig_id") == F.col("_known"), "left")
+    return found.select("sig_id", F.coalesce("weight", F.lit(0.0)).alias("_hot"))
+
+
+def _shuffled_margin(df: DataFrame, features: str, out: str, weights: DataFrame, intercept: float) -> DataFrame:
+    """The margin as a join of entries and weights, for models of any size.
+
+    A margin belongs to a vector, so entries are summed by a digest of the vector and the sum is divided by the number of its
+    copies: rows need no key. Frequent ids get their weight by broadcast and travel under filler keys, so that no id,
+    however frequent, ends up in one task; products are added up before they are shuffled.
+    """
+    # Equal vectors are met in every task, and their rows carry nothing but the digest to the sums.
+    digest = F.md5(F.concat_ws("\n", F.lit("v"), vector_text(F.col(features))))
+    rows = df.withColumn("_vector", F.when(F.col(features).isNotNull(), digest))
+    each = F.explode(F.arrays_zip(F.col(f"{features}.ids").alias("sig_id"), F.col(f"{features}.vals").alias("v")))
+    # Only the vector's digest and entries go on; which ids count as frequent changes the way, not the result.
+    some = df.sample(_HOT_SAMPLE, seed=1).select(each.alias("e")).select("e.sig_id")
+    hot = F.broadcast(_hot_weights(some, weights))
+    entries = rows.select("_vector", each.alias("e")).select("_vector", F.col("e.sig_id").cast("bigint").alias("sig_id"), "e.v")
+    filler = -1 - F.pmod(F.xxhash64("_vector", "sig_id"), F.lit(_FILLER_KEYS))
+    marked = entries.join(hot, "sig_id", "left").withColumn("_join", F.when(F.col("_hot").isNull(), F.col("sig_id")).otherwise(filler))
+    cold = weights.select(F.col("sig_id").alias("_join"), F.col("weight").alias("_cold"))
+    products = marked.join(cold, "_join", "left").select("_vector", (F.col("v") * F.coalesce("_hot", "_cold", F.lit(0.0))).alias("p"))
+    sums = products.groupBy("_vector").agg(F.sum("p").alias("_sum"))
+    copies = rows.groupBy("_vector").agg(F.count(F.lit(1)).alias("_copies"))
+    margins = copies.join(sums, "_vector", "left").select("_vector", (F.coalesce("_sum", F.lit(0.0)) / F.col("_copies") + intercept).alias(out))
+    return rows.join(margins, "_vector", "left").select(*df.columns, out)
 
 
 class Learner(Protocol):
@@ -33,15 +137,46 @@ class Learner(Protocol):
 _ROWS_PER_PARTITION = 50_000
 
 
-def _training_table(labelled: DataFrame, constant: bool) -> DataFrame:
-    """ML input, kept in memory or on disk and in partitions of a size that makes an optimiser step one short job."""
-    features = append_constant(F.col("features")) if constant else F.col("features")
-    counts = {row["label"]: row["count"] for row in labelled.groupBy("label").count().collect()}
+def _held_ids(labelled: DataFrame) -> np.ndarray:
+    """The feature ids of the training rows, ascending. As many as the model will have weights."""
+    found = labelled.select(F.explode("features.ids").alias("sig_id")).distinct()
+    return np.sort(found.toArrow().column("sig_id").to_numpy())
+
+
+def _renumbered(ids: np.ndarray):
+    @F.arrow_udf("array<int>")
+    def places(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            offsets = np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy())))).astype(np.int32)
+            at = np.searchsorted(ids, lists.flatten().to_numpy(zero_copy_only=False)).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(at))
+
+    return places
+
+
+def _training_table(labelled: DataFrame, ids: np.ndarray, constant: bool) -> DataFrame:
+    """ML input over the given ids alone, stored, and in partitions of a size that makes an optimiser step one short job."""
+    rows = labelled.filter(F.col("features").isNotNull())
+    small = sparse(F.lit(len(ids)), _renumbered(ids)(F.col("features.ids")), F.col("features.vals"))
+    rows = Workspace(labelled.sparkSession, "training").write(rows.select(F.col("label").cast("double").alias("label"), small.alias("f")), "rows")
+    counts = {row["label"]: row["count"] for row in rows.groupBy("label").count().collect()}
     if not {0.0, 1.0} <= set(counts):
         raise ValueError(f"training needs both classes, got {sorted(counts)}")
     parts = max(1, sum(counts.values()) // _ROWS_PER_PARTITION)
-    table = labelled.select(F.col("label").cast("double").alias("label"), to_ml_vector(features).alias("x"))
-    return table.repartition(parts).persist()
+    vector = to_ml_vector(append_constant(F.col("f")) if constant else F.col("f"))
+    return rows.select("label", vector.alias("x")).repartition(parts).persist()
+
+
+def _fitted(estimator, labelled: DataFrame, constant: bool) -> LinearModel:
+    ids = _held_ids(labelled)
+    table = _training_table(labelled, ids, constant or not len(ids))
+    try:
+        model = estimator.fit(table)
+    finally:
+        table.unpersist()
+    weights = model.coefficients.toArray()
+    intercept = float(weights[-1]) if constant else float(model.intercept)
+    return LinearModel.of_arrays(labelled.sparkSession, ids, weights[: len(ids)], intercept)
 
 
 @dataclass(frozen=True)
@@ -57,23 +192,10 @@ class LinearSVM:
         if self.bias not in ("penalised", "free"):
             raise ValueError("bias is 'penalised' or 'free'")
         penalised = self.bias == "penalised"
-        table = _training_table(labelled, constant=penalised)
-        try:
-            model = LinearSVC(
-                featuresCol="x",
-                labelCol="label",
-                maxIter=self.max_iter,
-                regParam=self.reg,
-                tol=self.tol,
-                standardization=False,
-                fitIntercept=not penalised,
-            ).fit(table)
-        finally:
-            table.unpersist()
-        weights = [float(w) for w in model.coefficients.toArray()]
-        if penalised:
-            return LinearModel(weights[:-1], weights[-1])
-        return LinearModel(weights, float(model.intercept))
+        svc = LinearSVC(
+            featuresCol="x", labelCol="label", maxIter=self.max_iter, regParam=self.reg, tol=self.tol, standardization=False, fitIntercept=not penalised
+        )
+        return _fitted(svc, labelled, constant=penalised)
 
 
 @dataclass(frozen=True)
@@ -84,11 +206,15 @@ class Logistic:
     reg: float = 0.1
 
     def fit(self, labelled: DataFrame) -> LinearModel:
-        table = _training_table(labelled, constant=False)
-        try:
-            model = LogisticRegression(
-                featuresCol="x", labelCol="label", maxIter=self.max_iter, regParam=self.reg, standardization=False
-            ).fit(table)
-        finally:
-            table.unpersist()
-        return LinearModel([float(w) for w in model.coefficients.toArray()], float(model.intercept))
+        regression = LogisticRegression(featuresCol="x", labelCol="label", maxIter=self.max_iter, regParam=self.reg, standardization=False)
+        return _fitted(regression, labelled, constant=False)
+
+
+@dataclass(frozen=True)
+class Known:
+    """Learns nothing: a model that is there already, for checks and for screens with an older model."""
+
+    model: LinearModel
+
+    def fit(self, labelled: DataFrame) -> LinearModel:
+        return self.model

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 
 FEW = 32
@@ -14,10 +12,6 @@ def minus(pool: DataFrame, gone: DataFrame, key: str = "row_key") -> DataFrame:
     return pool.join(gone.select(key).distinct(), key, "left_anti")
 
 
-def union_all(*dfs: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, dfs)
-
-
 def fill_cores(df: DataFrame) -> DataFrame:
     """For use before heavy work per row: spreads a table of a few partitions over the cores.
 

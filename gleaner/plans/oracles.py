@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from gleaner.functions.chem import ATOMIC_WEIGHTS
-from gleaner.functions.signatures import LENGTH_CAP
 from gleaner.plans import stand_in as S
 
 _FAILED = "-1.7976931348623157e308::DOUBLE"
@@ -61,7 +60,7 @@ _MOLECULE = (_DIGITS, _ATOMS, _BONDS)
 
 
 def _height(h: int) -> str:
-    return f"""h{h} AS (SELECT k, i, CASE WHEN length(t) > {LENGTH_CAP} THEN md5(t) ELSE t END AS s FROM (
+    return f"""h{h} AS (SELECT k, i, t AS s FROM (
     SELECT a.k, a.i, a.e || '(' || coalesce(string_agg(CAST(s.ord AS VARCHAR) || p.s, ','
       ORDER BY CAST(s.ord AS VARCHAR) || p.s), '') || ')' AS t
     FROM atoms a LEFT JOIN steps s ON s.k = a.k AND s.u = a.i LEFT JOIN h{h - 1} p ON p.k = s.k AND p.i = s.v
@@ -208,7 +207,7 @@ cal AS (SELECT label, CASE WHEN label = 1 THEN -margin ELSE margin END AS alpha
 test AS (SELECT row_key, margin,
   ((SELECT count(*) FROM cal WHERE label = 0 AND alpha >= m.margin) + 1.0) / ((SELECT count(*) FROM cal WHERE label = 0) + 1.0) AS p0,
   ((SELECT count(*) FROM cal WHERE label = 1 AND alpha >= -m.margin) + 1.0) / ((SELECT count(*) FROM cal WHERE label = 1) + 1.0) AS p1
-  FROM margins m WHERE NOT held)"""
+  FROM margins m)"""
 
 
 def _sets(significance: float) -> str:
@@ -222,6 +221,48 @@ _P_VALUES = f"WITH {_CONFORMAL} SELECT row_key, round(margin, 6) AS margin, roun
 _P_VALUES_NULLS = f"""WITH {_CONFORMAL} SELECT row_key, CASE WHEN CAST(row_key AS BIGINT) % 7 <> 0 THEN round(p0, 6) END AS p0,
   CASE WHEN CAST(row_key AS BIGINT) % 7 <> 0 THEN round(p1, 6) END AS p1 FROM test, (VALUES (1), (2)) twice(i)"""
 
+_GRAM_UNIVERSE = "universe AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS sig_id FROM (SELECT DISTINCT s FROM grams WHERE lang = 'en'))"
+
+# --- the loop with a known model, unrolled ---
+
+
+def _linear(weights: list[float], scale: str = "1.0") -> str:
+    return f"""list_reduce(list_concat([0.0::DOUBLE], list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * {scale}::DOUBLE
+    * {_numbers(weights)}[i])), lambda t, x: t + x)"""
+
+
+_CANDIDATES = f"""cand AS (SELECT CAST(vec_id AS VARCHAR) AS row_key, 'vec ' || CAST(vec_id AS VARCHAR) AS mol_id, {_hex('vec_id', 11)}[:15] AS u,
+  substr({_hex('vec_id', 12)}, 1, 8) {_BELOW_30} AS held, {_linear(S.SCORE_WEIGHTS)} AS score,
+  {_linear(S.MODEL_WEIGHTS, str(S.FEATURE_SCALE))} AS margin FROM embeddings)"""
+
+
+def _cycle(i: int, size: int) -> str:
+    """Sample, labels, calibration and verdicts of cycle ``i``, after those of the cycles before."""
+    pool = "" if i == 1 else f"WHERE u > (SELECT max(u) FROM s{i - 1}) " + "".join(
+        f"AND row_key NOT IN (SELECT row_key FROM v{j} WHERE verdict = 'BAD') " for j in range(1, i)
+    )
+    known = " UNION ALL ".join(f"SELECT label, margin FROM t{j} WHERE held" for j in range(1, i + 1))
+    p = lambda c, sign: f"""((SELECT count(*) FROM c{i} WHERE label = {c} AND alpha >= {sign}m.margin) + 1.0)
+    / ((SELECT count(*) FROM c{i} WHERE label = {c}) + 1.0)"""
+    return f"""s{i} AS MATERIALIZED (SELECT * FROM cand {pool}ORDER BY u LIMIT {size}),
+e{i} AS (SELECT min(score) AS lo, max(score) AS hi FROM s{i}),
+t{i} AS MATERIALIZED (SELECT *, CASE WHEN score <= lo + (hi - lo) * 4 / 10 THEN 0 ELSE 1 END AS label FROM s{i}, e{i}
+  WHERE score <= lo + (hi - lo) * 4 / 10 OR score >= lo + (hi - lo) * 6 / 10),
+c{i} AS MATERIALIZED (SELECT label, CASE WHEN label = 1 THEN -margin ELSE margin END AS alpha FROM ({known})),
+v{i} AS MATERIALIZED (SELECT *, CASE WHEN p0 > 0.2 AND NOT p1 > 0.2 THEN 'BAD' WHEN p1 > 0.2 AND NOT p0 > 0.2 THEN 'GOOD' ELSE 'UNKNOWN' END AS verdict,
+  (p0 > 0.2) <> (p1 > 0.2) AS one FROM (SELECT *, {p(0, '')} AS p0, {p(1, '-')} AS p1 FROM cand m))"""
+
+
+def _screened(cycles: int) -> tuple[str, ...]:
+    sizes = [100] + [50] * (cycles - 1)
+    samples = " UNION ALL ".join(f"SELECT row_key, mol_id, score, {i} AS cycle FROM s{i}" for i in range(1, cycles + 1))
+    last = f"""scored AS (SELECT * FROM sampled UNION ALL SELECT row_key, mol_id, score, {cycles + 1} FROM v{cycles}
+  WHERE verdict = 'GOOD' AND row_key NOT IN (SELECT row_key FROM sampled))"""
+    return (_CANDIDATES, *[_cycle(i, n) for i, n in enumerate(sizes, 1)], f"sampled AS ({samples})", last)
+
+
+_SCORED_ROWS = "SELECT row_key, mol_id, round(score, 6) AS score, CAST(cycle AS BIGINT) AS cycle FROM scored"
+
 _SPAN = "span AS (SELECT min(score) AS lo, max(score) AS hi FROM poses)"
 
 _TOP_PARTS = """sums AS (SELECT l_partkey, sum(l_quantity) AS q, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS r FROM lineitem GROUP BY 1),
@@ -247,10 +288,15 @@ ORACLES: dict[str, str] = {
     + """SELECT row_key, mol_id, score FROM poses p WHERE EXISTS (SELECT 1 FROM top t
   WHERE t.mol_id = p.mol_id AND t.score IS NOT DISTINCT FROM p.score)""",
     "pool_minus_scored": """SELECT user_id AS row_key, event_id, event_type, value FROM events e
-  WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error')""",
-    "union_sources": """SELECT l_orderkey AS row_key, l_partkey AS mol_id, l_extendedprice AS score, l_returnflag FROM lineitem WHERE l_returnflag = 'A'
-  UNION ALL SELECT l_orderkey, l_partkey, l_extendedprice, l_returnflag FROM lineitem WHERE l_returnflag = 'N'
-  UNION ALL SELECT l_orderkey, l_partkey, l_extendedprice, l_returnflag FROM lineitem WHERE l_returnflag = 'R'""",
+  WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.value >= 250)""",
+    "top_n_long": "SELECT o_orderkey AS mol_id, o_totalprice AS score FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20000",
+    "select_best_third": _with(_POSES)
+    + """SELECT row_key, mol_id, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, row_key) AS rn, count(*) OVER () AS n
+  FROM poses) WHERE rn <= n // 3""",
+    "collapse_best_50": _with(_POSES)
+    + """SELECT row_key, mol_id, score, rank FROM (SELECT *, row_number() OVER
+  (PARTITION BY mol_id ORDER BY score DESC NULLS LAST, row_key) AS rank FROM poses) WHERE rank <= 50""",
+    "union_sources": "SELECT l_orderkey AS row_key, l_partkey AS mol_id, l_extendedprice AS score, l_returnflag FROM lineitem",
     "hit_overlap": _with(_TOP_PARTS)
     + """SELECT CAST(coalesce(sum(a.n * b.n), 0) AS BIGINT) AS pair_matches, count(*) AS distinct_matches,
   round(coalesce(sum(a.n * b.n), 0) / 1000.0 * 100.0, 6) AS percent FROM a JOIN b USING (id)""",
@@ -298,7 +344,23 @@ ORACLES: dict[str, str] = {
     "top_of_file": _with(_DIGITS, _CONFORMERS, _SCORED_CONF)
     + """SELECT score, count(*) AS hits, count(*) AS ids, count(*) AS texts FROM (
   SELECT max(score) AS score FROM scored GROUP BY mol_id ORDER BY score DESC NULLS LAST LIMIT 100) GROUP BY score""",
-    "compare_files": "SELECT 4 * count(*) AS pair_matches, count(*) AS distinct_matches, round(4 * count(*) / 1000.0 * 100.0, 6) AS percent FROM orders",
+    "compare_files": """SELECT 4 * count(*) AS pair_matches, count(*) AS distinct_matches, round(4 * count(*) / 1000.0 * 100.0, 6) AS percent
+  FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')""",
+    "signed_records": _with(
+        *_SIGNATURES,
+        "named AS (SELECT 'order ' || CAST(k AS VARCHAR) AS k, s FROM sigs)",
+        "universe AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS sig_id FROM (SELECT DISTINCT s FROM named))",
+    ).rstrip()
+    + ",\n"
+    + _vectors("SELECT 'order ' || CAST(o_orderkey AS VARCHAR) AS row_key FROM orders", "k", "named").replace(
+        "SELECT r.row_key", "SELECT 2::BIGINT AS records, r.row_key"
+    ),
+    "sample_of_file": """SELECT what, least(2 * count(*), 100) AS records, least(2 * count(*), 100) AS texts
+  FROM orders, (VALUES ('sample'), ('first')) w(what) GROUP BY what""",
+    "report_in_one_file": _with(_POSES, _BEST, _TOP)
+    + """SELECT CAST(mol_id AS VARCHAR) || ' ' || CAST(row_key AS VARCHAR) AS value,
+  row_number() OVER (ORDER BY score DESC NULLS LAST, row_key) - 1 AS place, 1::BIGINT AS files FROM top""",
+    "fewer_files": "SELECT 3::BIGINT AS files, count(*) AS n FROM events",
     "external_records": _with(_DIGITS, _CONFORMERS, _SCORED_CONF)
     + """SELECT mol_id, 2.0::DOUBLE * any_value(len(d)) AS score, count(*) AS records, CAST(any_value(len(d)) AS BIGINT) AS n
   FROM scored WHERE len(d) % 3 <> 0 GROUP BY mol_id""",
@@ -323,20 +385,20 @@ ORACLES: dict[str, str] = {
     "universe_roundtrip": _with(_GRAMS, "u AS (SELECT DISTINCT s FROM grams)")
     + "SELECT s AS signature, row_number() OVER (ORDER BY s) - 1 AS sig_id FROM u",
     "graph_universe": _with(*_SIGNATURES) + "SELECT count(DISTINCT s) AS size FROM sigs",
-    "frozen_vectors": _with(
-        _GRAMS,
-        "universe AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS sig_id FROM (SELECT DISTINCT s FROM grams WHERE lang = 'en'))",
-        _vectors("SELECT doc_id AS row_key FROM documents", "doc_id", "grams"),
-    ),
+    "frozen_vectors": _with(_GRAMS, _GRAM_UNIVERSE, _vectors("SELECT doc_id AS row_key FROM documents", "doc_id", "grams")),
+    "frozen_vectors_shuffled": _with(_GRAMS, _GRAM_UNIVERSE, _vectors("SELECT doc_id AS row_key FROM documents", "doc_id", "grams")),
+    "universe_extended": _with(_GRAMS, _GRAM_UNIVERSE, "more AS (SELECT DISTINCT s FROM grams WHERE s NOT IN (SELECT s FROM universe))")
+    + """SELECT s AS signature, sig_id FROM universe
+  UNION ALL SELECT s, (SELECT count(*) FROM universe) + row_number() OVER (ORDER BY s) - 1 FROM more""",
     "graph_vectors": _with(
         *_SIGNATURES,
         "named AS (SELECT CAST(k AS VARCHAR) AS k, s FROM sigs)",
         "universe AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS sig_id FROM (SELECT DISTINCT s FROM named))",
         _vectors("SELECT CAST(o_orderkey AS VARCHAR) AS row_key FROM orders", "k", "named"),
     ),
-    "vector_text_roundtrip": """WITH f AS (SELECT vec_id, len(embedding) AS size, list_filter(range(0, len(embedding)), lambda i: embedding[i + 1] > 0.1::DOUBLE) AS ids,
-  embedding FROM embeddings),
-g AS (SELECT vec_id, size, ids, list_transform(ids, lambda i: round(CAST(embedding[i + 1] AS DOUBLE) * 1000)) AS vals FROM f)
+    "vector_text_roundtrip": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) * 1000) + 0.0::DOUBLE) AS e FROM embeddings),
+f AS (SELECT vec_id, len(e) AS size, list_filter(range(0, len(e)), lambda i: e[i + 1] <> 0) AS ids, e FROM e),
+g AS (SELECT vec_id, size, ids, list_transform(ids, lambda i: e[i + 1]) AS vals FROM f)
 SELECT vec_id, '(' || CAST(size AS VARCHAR) || ',[' || array_to_string(ids, ',') || '],[' || array_to_string(vals, ',') || '])' AS text,
   size, len(ids) AS n_ids, array_to_string(ids, ' ') AS ids, coalesce(list_sum(vals), 0.0) AS sum_vals FROM g""",
     "descriptors": _with(*_DESC)
@@ -372,6 +434,40 @@ SELECT vec_id, '(' || CAST(size AS VARCHAR) || ',[' || array_to_string(ids, ',')
     "conformal_p_values_sorted": _P_VALUES,
     "conformal_p_values_nulls": _P_VALUES_NULLS,
     "conformal_p_values_nulls_sorted": _P_VALUES_NULLS,
+    "margins_shuffled": f"WITH {_MARGINS} SELECT row_key, round(margin, 6) AS margin FROM margins",
+    "predict_new_molecules": _with(
+        *_SIGNATURES,
+        "universe AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS sig_id FROM (SELECT DISTINCT s FROM sigs WHERE height < 3))",
+        """found AS (SELECT k, sum((sig_id * 29) % 13 - 6) AS total FROM sigs JOIN universe USING (s) GROUP BY k)""",
+        """m AS (SELECT CAST(o_orderkey AS VARCHAR) AS row_key, CAST(coalesce(total, 0) AS DOUBLE) + 0.25 AS margin
+  FROM orders LEFT JOIN found ON k = o_orderkey)""",
+        "cal AS (SELECT id % 2 AS label, CAST((id * 7) % 41 - 20 AS DOUBLE) AS alpha FROM range(40) r(id))",
+        """test AS (SELECT row_key, margin, ((SELECT count(*) FROM cal WHERE label = 0 AND alpha >= m.margin) + 1.0) / 21.0 AS p0,
+  ((SELECT count(*) FROM cal WHERE label = 1 AND alpha >= -m.margin) + 1.0) / 21.0 AS p1 FROM m)""",
+        _sets(0.5),
+    )
+    + "SELECT row_key, round(margin, 6) AS margin, round(p0, 6) AS p0, round(p1, 6) AS p1, verdict FROM sets",
+    "appended_scores": _with(_POSES)
+    + f"""SELECT 'protein_a' AS r_name, '1abc' AS "r_pdbCode", CAST(mol_id AS VARCHAR) AS l_id, coalesce(score, {_FAILED}) AS l_score, run
+  FROM poses, (VALUES ('first'), ('second')) r(run)""",
+    "svm_sparse": "SELECT vec_id AS row_key, CAST(label >= 5 AS DOUBLE) AS label, label >= 5 AS above FROM embeddings",
+    "logistic_sparse": "SELECT vec_id AS row_key, CAST(label >= 5 AS DOUBLE) AS label, label >= 5 AS above FROM embeddings",
+    "screen_single_cycle_fixed": _with(*_screened(1)) + _SCORED_ROWS,
+    "screen_two_cycles_fixed": _with(*_screened(2)) + _SCORED_ROWS,
+    "screen_cycles_fixed": _with(*_screened(2))
+    + " UNION ALL ".join(
+        f"""SELECT {i}::BIGINT AS cycle, (SELECT count(*) FROM s{i}) AS sampled, (SELECT count(*) FROM t{i}) AS labelled, true AS trained,
+  round((SELECT count(*) FILTER (one) / count(*)::DOUBLE FROM v{i}), 6) AS efficiency"""
+        for i in (1, 2)
+    ),
+    "learned_screening_tables": _with(
+        *_screened(2), "top AS (SELECT mol_id, score FROM scored ORDER BY score DESC, row_key LIMIT 30)"
+    )
+    + f"""SELECT 'prediction' AS what, mol_id AS name, verdict AS text, NULL::DOUBLE AS value FROM v2
+  UNION ALL SELECT 'score', mol_id, 'protein_a', round(score, 6) FROM scored
+  UNION ALL SELECT 'hit', mol_id, NULL, round(score, 6) FROM top
+  UNION ALL SELECT 'weight', CAST(i - 1 AS VARCHAR), 'protein_a', {_numbers(S.MODEL_WEIGHTS)}[i] FROM range(1, 65) r(i) WHERE {_numbers(S.MODEL_WEIGHTS)}[i] <> 0
+  UNION ALL SELECT 'overlap', 'percent', NULL, round(count(*) / 30.0 * 100.0, 6)::DOUBLE FROM top""",
     "nonconformity": f"""WITH {_MARGINS} SELECT CAST(label AS BIGINT) AS label, round(CASE WHEN label = 1 THEN -margin ELSE margin END, 6) AS alpha
   FROM margins""",
     "prediction_sets": f"""WITH {_CONFORMAL}, {_sets(0.2)} SELECT row_key,

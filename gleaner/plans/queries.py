@@ -106,6 +106,24 @@ def sort_by_score(spark, d):
     return topn.sort_by_score(_poses(spark, d)).withColumn("score", score_or_sentinel(F.col("score")))
 
 
+def top_n_long(spark, d):
+    """The 20,000 best orders by price: a list too long for one task."""
+    orders = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("row_key"), F.col("o_custkey").alias("cust"), F.col("o_totalprice").alias("score"))
+    return topn.top_n(orders.withColumn("mol_id", F.col("row_key")), 20_000).select("mol_id", "score")
+
+
+def select_best_third(spark, d):
+    """The best third of all events by value, which often repeats; narrowed further than its size asks for."""
+    poses = _poses(spark, d)
+    return topn.select_best(poses, poses.count() // 3, bucket_rows=20)
+
+
+def collapse_best_50(spark, d):
+    """The best 50 events of every user, through salted users."""
+    out = topn.collapse(_poses(spark, d), 50)
+    return out.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 def score_parse(spark, d):
     """Scores written as data items, failed ones in every way they can be, and read back."""
     text = (
@@ -129,9 +147,9 @@ def top_semi_join(spark, d):
 
 
 def pool_minus_scored(spark, d):
-    """Events of users without an error event; a user's events all stay."""
+    """Events of users without an event of a value of 250 or more, of which a user may have several; a user's events all stay."""
     pool = S.table(spark, d, "events").withColumnRenamed("user_id", "row_key")
-    scored = pool.filter(F.col("event_type") == "error").select("row_key")
+    scored = pool.filter(F.col("value") >= 250).select("row_key")
     return sets.minus(pool, scored).select("row_key", "event_id", "event_type", "value")
 
 
@@ -139,7 +157,9 @@ def union_sources(spark, d):
     lines = S.table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("row_key"), F.col("l_partkey").alias("mol_id"), F.col("l_extendedprice").alias("score"), "l_returnflag"
     )
-    parts = [lines.filter(F.col("l_returnflag") == flag) for flag in ("A", "N", "R")]
+    flag = F.col("l_returnflag")
+    known = ("A", "N", "R")
+    parts = [lines.filter(flag == f) for f in known] + [lines.filter(~flag.isin(*known)), lines.filter(flag.isNull())]
     return schemas.union_stage(parts, "pose")
 
 
@@ -277,7 +297,7 @@ def _sdf_file(spark: SparkSession, d: str) -> str:
 
 def sdf_file_poses(spark, d):
     """The best pose of every molecule of a scored file."""
-    poses = sdf.read_poses(spark, _sdf_file(spark, d), "Chemgauss4")
+    poses = sdf.read_poses(spark, _sdf_file(spark, d), "Chemgauss4", ("row_key", "mol_id"))
     best = topn.best_per_id(poses.select("mol_id", "row_key", "score"))
     return best.select("mol_id", "score")
 
@@ -293,9 +313,11 @@ def top_of_file(spark, d):
 
 
 def compare_files(spark, d):
-    """A scored file against itself; every molecule has two records in it."""
-    path = _sdf_file(spark, d)
-    return recipes.compare_files(spark, path, path, 1000).withColumn("percent", F.round("percent", 6))
+    """A scored file against one of urgent and low orders; every molecule has two records in either."""
+    path = Workspace(spark, "sdf").table_path("some")
+    priority = S.table(spark, d, "orders").select("o_orderkey", "o_orderpriority").filter(F.col("o_orderpriority").isin("1-URGENT", "5-LOW"))
+    S.sdf_chunks(spark, d).join(priority, "o_orderkey", "left_semi").select("chunk").write.text(path)
+    return recipes.compare_files(spark, _sdf_file(spark, d), path, 1000).withColumn("percent", F.round("percent", 6))
 
 
 def saved_records(spark, d):
@@ -307,6 +329,44 @@ def saved_records(spark, d):
     return again.groupBy("mol_id").agg(F.max("score").alias("score"), F.sum("label").alias("labels"))
 
 
+def signed_records(spark, d):
+    """Records written with their count vectors, and read from the files again with the vectors as features."""
+    path = Workspace(spark, "signed").table_path("sdf")
+    recipes.signed_records(_molecules_from_text(spark, d).drop("o_orderkey"), path)
+    again = _vector_summary(sdf.read_featured(spark, path).withColumnRenamed("mol_id", "id").withColumn("row_key", F.col("id")))
+    return again.groupBy("row_key", "size", "n_ids", "vector_md5").agg(F.count(F.lit(1)).alias("records"))
+
+
+def sample_of_file(spark, d):
+    """100 records of a file by hash and 100 of its first ones: how many there are, and how many of them the file has."""
+    path = _sdf_file(spark, d)
+    every = sdf.scan_records(spark, path).select(F.md5("raw").alias("row_key"))
+    out = None
+    for name, rows in (("sample", recipes.sample_records(spark, path, 100)), ("first", recipes.first_records(spark, path, 100))):
+        found = rows.select(F.md5("raw").alias("row_key")).join(every, "row_key", "left_semi")
+        one = found.agg(F.lit(name).alias("what"), F.count(F.lit(1)).alias("records"), F.countDistinct("row_key").alias("texts"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def report_in_one_file(spark, d):
+    """The best 30 users written as lines of one file: each line with its place, and the number of files."""
+    path = Workspace(spark, "report").table_path("text")
+    hits = topn.top_n(_poses(spark, d), 30)
+    sinks.write_single(hits, path, F.concat_ws(" ", F.col("mol_id").cast("string"), F.col("row_key").cast("string")))
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("place"), F.input_file_name().alias("file"))
+    files = lines.agg(F.countDistinct("file").alias("files"))
+    return lines.select("value", "place").crossJoin(F.broadcast(files))  # one row
+
+
+def fewer_files(spark, d):
+    """All events in three files."""
+    path = Workspace(spark, "fewer").table_path("events")
+    sinks.write_fewer(S.table(spark, d, "events").repartition(8), 3, path)
+    rows = spark.read.parquet(path).select(F.input_file_name().alias("file"))
+    return rows.agg(F.countDistinct("file").alias("files"), F.count(F.lit(1)).alias("n"))
+
+
 def record_count(spark, d):
     return sdf.count_records(spark, _sdf_file(spark, d))
 
@@ -380,12 +440,29 @@ def _vector_summary(vectors: DataFrame) -> DataFrame:
     )
 
 
-def frozen_vectors(spark, d):
-    """All documents counted over the n-grams of the English ones; unknown n-grams are skipped."""
+def _frozen(spark: SparkSession, d: str, **bounds) -> DataFrame:
     ws = Workspace(spark, "vectors")
-    rows = _ngrams(spark, d)
+    rows = ws.write(_ngrams(spark, d), "ngrams")
     known = universe.build_universe(explode_signatures(rows.filter(F.col("lang") == "en")))
-    return _vector_summary(universe.count_vectors(rows.select("row_key", "signatures"), ws.write(known, "universe")))
+    return _vector_summary(universe.count_vectors(rows.select("row_key", "signatures"), ws.write(known, "universe"), **bounds))
+
+
+def frozen_vectors(spark, d):
+    """All documents counted over the n-grams of the English ones; unknown n-grams are skipped."""
+    return _frozen(spark, d)
+
+
+def frozen_vectors_shuffled(spark, d):
+    """The same by the path for dictionaries of any size."""
+    return _frozen(spark, d, max_rows=0)
+
+
+def universe_extended(spark, d):
+    """The dictionary of the English n-grams, extended with those of all documents; old ids stay."""
+    ws = Workspace(spark, "universe")
+    rows = ws.write(_ngrams(spark, d), "ngrams")
+    known = ws.write(universe.build_universe(explode_signatures(rows.filter(F.col("lang") == "en"))), "known")
+    return universe.extend_universe(known, explode_signatures(rows))
 
 
 def graph_vectors(spark, d):
@@ -396,10 +473,10 @@ def graph_vectors(spark, d):
 
 
 def vector_text_roundtrip(spark, d):
-    """Sparse vectors made from the positive places of the embeddings, to text and back."""
-    e = F.col("embedding")
-    at = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: F.get(e, i) > 0.1)
-    vals = F.transform(at, lambda i: F.round(F.get(e, i).cast("double") * 1000))
+    """Sparse vectors of whole thousandths made from all places of the embeddings that aren't 0, to text and back."""
+    e = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000) + 0.0)
+    at = F.filter(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: F.get(e, i) != 0)
+    vals = F.transform(at, lambda i: F.get(e, i))
     rows = S.table(spark, d, "embeddings").select("vec_id", sparse(F.size(e), at, vals).alias("f"))
     back = staged(rows, {"text": vector_text(F.col("f"))}).select("vec_id", "text", parse_vector(F.col("text")).alias("g"))
     total = F.aggregate(F.col("g.vals"), F.lit(0.0), lambda t, v: t + v)
@@ -485,22 +562,23 @@ def target_name(spark, d):
 # --- conformal prediction with fixed weights ----------------------------------------------------------------------
 
 
-def _fixed_model() -> learner.LinearModel:
-    return learner.LinearModel(S.MODEL_WEIGHTS, 0.25)
+def _fixed_model(spark: SparkSession) -> learner.LinearModel:
+    return learner.LinearModel.dense(spark, S.MODEL_WEIGHTS, 0.25)
 
 
-def _with_margin(spark: SparkSession, d: str) -> DataFrame:
+def _with_margin(spark: SparkSession, d: str, **bounds) -> DataFrame:
+    """Margins of all rows; those of the side ``calibration`` are known, and all are predicted."""
     rows = S.table(spark, d, "embeddings").select(
         F.col("vec_id").alias("row_key"), from_dense(F.col("embedding")).alias("features"), (F.col("label") >= 5).cast("int").alias("label")
     )
-    scored = _fixed_model().with_margin(rows).select("row_key", "label", "margin")
+    scored = _fixed_model(spark).with_margin(rows, **bounds).select("row_key", "label", "margin")
     return sampling.with_split(scored, "row_key", 0.3, SEED)
 
 
 def _p_values(spark: SparkSession, d: str, **options) -> DataFrame:
     rows = _with_margin(spark, d)
     calibration = conformal.calibration_table(rows.filter(F.col("side") == "calibration"), F.col("margin"))
-    return conformal.with_p_values(rows.filter(F.col("side") == "proper"), calibration, **options)
+    return conformal.with_p_values(rows, calibration, **options)
 
 
 def conformal_p_values(spark, d):
@@ -518,7 +596,7 @@ def _p_values_nulls(spark: SparkSession, d: str, **options) -> DataFrame:
     """Every test row twice, and no margin for a seventh of the keys."""
     rows = _with_margin(spark, d)
     calibration = conformal.calibration_table(rows.filter(F.col("side") == "calibration"), F.col("margin"))
-    test = rows.filter(F.col("side") == "proper").withColumn("margin", F.when(F.col("row_key") % 7 != 0, F.col("margin")))
+    test = rows.withColumn("margin", F.when(F.col("row_key") % 7 != 0, F.col("margin")))
     out = conformal.with_p_values(test.unionAll(test), calibration, **options)
     return out.select("row_key", F.round("p0", 6).alias("p0"), F.round("p1", 6).alias("p1"))
 
@@ -531,6 +609,11 @@ def conformal_p_values_nulls_sorted(spark, d):
     return _p_values_nulls(spark, d, max_calibration_rows=0)
 
 
+def margins_shuffled(spark, d):
+    """Margins by the path for models of any size."""
+    return _with_margin(spark, d, max_weights=0).select("row_key", F.round("margin", 6).alias("margin"))
+
+
 def nonconformity(spark, d):
     rows = _with_margin(spark, d)
     return conformal.calibration_table(rows, F.col("margin")).select(F.col("label").cast("bigint").alias("label"), F.round("alpha", 6).alias("alpha"))
@@ -555,14 +638,13 @@ def efficiency(spark, d):
 
 
 def score_with_stored_model(spark, d):
-    """Model and calibration rows stored as tables, loaded by name, and applied to the other rows."""
+    """Model and calibration rows stored as tables, loaded by name, and applied to all rows."""
     path = Workspace(spark, "models").path
     rows = _with_margin(spark, d)
     calibration = conformal.calibration_table(rows.filter(F.col("side") == "calibration"), F.col("margin"))
-    models.save_model(path, models.StoredModel("protein_a", CODE, 1, _fixed_model(), 0.2, 64, calibration))
+    models.save_model(path, models.StoredModel("protein_a", CODE, 1, _fixed_model(spark), 0.2, 64, calibration))
     stored = models.load_model(spark, path, "protein_a", CODE)
     fresh = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("row_key"), from_dense(F.col("embedding")).alias("features"))
-    fresh = sampling.with_split(fresh, "row_key", 0.3, SEED).filter(F.col("side") == "proper")
     out = models.predict_with(stored, fresh, significance=0.5)
     return out.select("row_key", F.round("p0", 6).alias("p0"), F.round("p1", 6).alias("p1"), "verdict")
 
@@ -576,6 +658,30 @@ def score_rows(spark, d):
     return sinks.score_rows(_poses(spark, d), TARGET, CODE)
 
 
+def predict_new_molecules(spark, d):
+    """Vectors of all molecules over a stored dictionary of their smaller signatures, and what a stored model makes of them."""
+    ws = Workspace(spark, "new")
+    mols = S.molecules(spark, d)
+    signed = explode_signatures(ws.write(_signed(spark, d), "signatures"))
+    known = ws.write(universe.build_universe(signed.filter(F.col("height") < 3)), "universe")
+    weights = known.select("sig_id", ((F.col("sig_id") * 29) % 13 - 6).cast("double").alias("weight"))
+    alphas = spark.range(40).select((F.col("id") % 2).cast("int").alias("label"), ((F.col("id") * 7) % 41 - 20).cast("double").alias("alpha"))
+    models.save_model(ws.path, models.StoredModel("protein_a", CODE, 3, learner.LinearModel(weights, 0.25), 0.2, 0, alphas))
+    stored = models.load_model(spark, ws.path, "protein_a", CODE)
+    out = recipes.predict_new(mols.withColumn("raw", F.lit("")), known, stored)
+    return out.select("row_key", F.round("margin", 6).alias("margin"), F.round("p0", 6).alias("p0"), F.round("p1", 6).alias("p1"), "verdict")
+
+
+def appended_scores(spark, d):
+    """Scores of two runs appended once each, although the first is repeated and the second was killed before its end."""
+    path = Workspace(spark, "appended").path
+    rows = score_rows(spark, d)
+    rows.limit(10).write.partitionBy("r_name").parquet(f"{path}/rows/run=second")  # what the killed one left
+    for run in ("first", "first", "second", "first"):
+        sinks.append_once(rows, path, run)
+    return sinks.read_appended(spark, path, schemas.DB_SCORES)
+
+
 def external_scorer(spark, d):
     """Twice the value plus one, worked out by a child process per batch; it gives no answer for values below 1."""
     code = (
@@ -594,11 +700,15 @@ def external_records(spark, d):
     """Records through a program that adds twice the number of atoms as a score and leaves out every third size."""
     code = (
         "import sys\n"
-        "for record in sys.stdin.read().split('$$$$\\n'):\n"
-        "    if record.strip():\n"
-        "        atoms = int(record.split('\\n')[3][:3])\n"
-        "        if atoms % 3:\n"
-        "            print(record + f'> <Hybrid2>\\n{2.0 * atoms}\\n\\n$$$$')\n"
+        "record = []\n"
+        "for line in sys.stdin:\n"
+        "    if line.rstrip() != '$$$$':\n"
+        "        record.append(line)\n"
+        "        continue\n"
+        "    atoms = int(record[3][:3])\n"
+        "    if atoms % 3:\n"
+        "        print(''.join(record) + f'> <Hybrid2>\\n{2.0 * atoms}\\n\\n$$$$')\n"
+        "    record = []\n"
     )
     poses = scorers.external_records(_molecules_from_text(spark, d), [sys.executable, "-c", code], "Hybrid2", timeout=600.0)
     found = poses.groupBy("mol_id").agg(F.max("score").alias("score"), F.countDistinct("row_key").alias("records"), F.max(F.size("atoms")).alias("n"))
@@ -634,6 +744,81 @@ def svm_margins(spark, d):
     return model.with_margin(rows).select("row_key", "label", F.round("margin", 4).alias("margin"))
 
 
+def _telling(spark: SparkSession, d: str) -> DataFrame:
+    """Wide sparse rows: a feature that hardly another row has among ten million, and one that tells the label by a wide gap."""
+    label = (F.col("label") >= 5).cast("double")
+    ids = F.array((F.col("vec_id") * 997) % 10_000_000, F.lit(12_345_678).cast("bigint"))
+    vals = F.array(F.lit(1.0), F.when(label == 1, 10.0).otherwise(-10.0))
+    rows = S.table(spark, d, "embeddings")
+    return rows.select(F.col("vec_id").alias("row_key"), label.alias("label"), sparse(F.lit(20_000_000), ids, vals).alias("features"))
+
+
+def _sides(spark: SparkSession, d: str, chosen: learner.Learner) -> DataFrame:
+    rows = _telling(spark, d)
+    out = chosen.fit(rows).with_margin(rows)
+    return out.select("row_key", "label", (F.col("margin") > 0).alias("above"))
+
+
+def svm_sparse(spark, d):
+    """On which side of a fitted plane each row of a very wide table lies."""
+    return _sides(spark, d, learner.LinearSVM())
+
+
+def logistic_sparse(spark, d):
+    return _sides(spark, d, learner.Logistic())
+
+
+def _screened_known(spark: SparkSession, d: str, **params) -> ScreenResult:
+    """The loop with a model that is there already, so that all of it but the fit can be followed."""
+    candidates, scores = _candidates(spark, d)
+    known = learner.Known(learner.LinearModel.dense(spark, S.MODEL_WEIGHTS, 0.0))
+    return screen(candidates, scorers.table_scorer(scores), ScreenParams(bad_bin=4, good_bin=6, **params), known)
+
+
+def _scored_rows(result: ScreenResult) -> DataFrame:
+    return result.scored.select("row_key", "mol_id", F.round("score", 6).alias("score"), F.col("cycle").cast("bigint").alias("cycle"))
+
+
+def screen_single_cycle_fixed(spark, d):
+    return _scored_rows(_screened_known(spark, d, single_cycle=True))
+
+
+def screen_two_cycles_fixed(spark, d):
+    return _scored_rows(_screened_known(spark, d, max_cycles=2))
+
+
+def screen_cycles_fixed(spark, d):
+    """What each of two cycles sampled and labelled, and how decisive it was."""
+    out = _screened_known(spark, d, max_cycles=2).cycles_table(spark)
+    return out.withColumns({"cycle": F.col("cycle").cast("bigint"), "efficiency": F.round("efficiency", 6)})
+
+
+def learned_screening_tables(spark, d):
+    """All tables that two cycles leave behind, stored twice under one name and read again."""
+    path = Workspace(spark, "stored").path
+    result = _screened_known(spark, d, max_cycles=2)
+    reference = S.table(spark, d, "embeddings").select(F.concat(F.lit("vec "), F.col("vec_id").cast("string")).alias("mol_id"))
+    for _ in range(2):
+        recipes.store_screening(result, 30, path, TARGET, CODE, "run-1", universe_size=64, reference=reference)
+    none = F.lit(None).cast("double")
+    row = lambda df, what, name, text, value: df.select(F.lit(what).alias("what"), name.alias("name"), text.alias("text"), F.round(value, 6).alias("value"))
+    predictions = sinks.read_appended(spark, f"{path}/predictions", schemas.DB_PREDICTIONS)
+    scores = sinks.read_appended(spark, f"{path}/scores", schemas.DB_SCORES)
+    stored = models.load_model(spark, path, "protein_a", CODE)
+    hits = spark.read.text(f"{path}/hits").select(F.split("value", "\t").alias("v"))
+    tables = [
+        row(predictions, "prediction", F.col("l_id"), F.col("l_prediction"), none),
+        row(scores, "score", F.col("l_id"), F.col("r_name"), F.col("l_score")),
+        row(stored.model.weights, "weight", F.col("sig_id").cast("string"), F.lit(stored.target), F.col("weight")),
+        row(hits, "hit", F.col("v")[0], F.lit(None).cast("string"), F.col("v")[1].cast("double")),
+        row(spark.read.parquet(f"{path}/overlap"), "overlap", F.lit("percent"), F.lit(None).cast("string"), F.col("percent")),
+    ]
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def screen_top_n(spark, d):
     return topn.top_n(_screened(spark, d).scored, 30)
 
@@ -662,6 +847,9 @@ def plain_screening(spark, d):
 
 QUERIES = [
     top_n_poses, top_n_lowest, top_n_payload, best_pose_per_id, collapse_best_2, sorted_first_100, sort_by_score,
+    top_n_long, select_best_third, collapse_best_50, signed_records, sample_of_file, report_in_one_file, fewer_files,
+    frozen_vectors_shuffled, universe_extended, margins_shuffled, predict_new_molecules, appended_scores, svm_sparse, logistic_sparse,
+    screen_single_cycle_fixed, screen_two_cycles_fixed, screen_cycles_fixed, learned_screening_tables,
     score_parse, top_semi_join, pool_minus_scored, union_sources, hit_overlap, exact_sample, exact_sample_large, exact_sample_copies,
     fraction_sample, split_proper_calibration, split_stratified, score_histogram, label_extremes, sdf_split, sdf_tags,
     sdf_atoms, sdf_bonds, sdf_write_tag, sdf_file_poses, top_of_file, compare_files, saved_records, record_count, smiles_split, smiles_descriptors, standardise,

@@ -5,12 +5,14 @@ confidently poor, and stop when the predictions have become decisive. At the end
 
 How it stays cheap on a very large table:
 
-* Candidates are stored once with a hash of their key, sorted by it inside each file. Samples are taken in hash order,
-  so a cycle reads only the row groups between the last sample and the next, and everything already scored lies behind.
-* Nothing is subtracted from the stored table. A candidate is out of the pool if an earlier cycle predicted it poor; this
-  is looked up for the few rows that come up for sampling.
-* A cycle makes one pass over the features, without a shuffle, and writes keys and p-values only.
-* Every step ends in a table in the shared folder, so lost executors cost a task, and plans do not grow with the cycles.
+* Candidates are stored once, in folders by range of a hash of their key and sorted by it. Samples are taken in hash order,
+  so a cycle reads the files of the ranges between the last sample and the next, and everything already scored lies behind.
+* Nothing is subtracted from the stored table, and no predictions are kept of a cycle that goes on. A candidate is out of the
+  pool if an earlier cycle predicted it poor; the earlier models are asked again, for the few rows that come up for sampling.
+* A cycle makes one pass over the features, without a shuffle, and returns one row of counts. Only the last one's predictions are
+  written.
+* Every step ends in a table in the shared folder, so lost executors cost a task, and plans do not grow with the cycles. Tables
+  that only served the loop are deleted at its end.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner import schemas
-from gleaner.functions.hashing import HASH_SPAN, hash_rank
+from gleaner.functions.hashing import HASH_BITS, HASH_SPAN, hash_rank
 from gleaner.operators import conformal
 from gleaner.operators.labels import check_bins, label_extremes
 from gleaner.operators.learner import LinearModel, LinearSVM, Learner
@@ -31,6 +33,7 @@ from gleaner.operators.scorers import Scorer, score_rows_with
 from gleaner.session import Workspace
 
 _SLACK = 1.5  # how far beyond the expected place the first look for a sample goes
+_RANGE_BITS = 8  # candidates are stored in 2 ** 8 ranges of hashes; a sample lies in one of them or a few
 
 
 @dataclass(frozen=True)
@@ -70,7 +73,10 @@ class Cycle:
 
 @dataclass
 class ScreenResult:
-    """``scored``: row_key, mol_id, score, cycle. ``predictions``: of the last trained cycle, for all candidates."""
+    """``scored``: row_key, mol_id, score, cycle. ``predictions``: of the last trained cycle, for all candidates.
+
+    ``history``: of every trained cycle, its number, model and calibration.
+    """
 
     scored: DataFrame
     predictions: DataFrame | None
@@ -79,6 +85,7 @@ class ScreenResult:
     cycles: list[Cycle]
     stop_reason: str
     workspace: Workspace
+    history: list[tuple[int, LinearModel, conformal.Calibration]] = field(default_factory=list)
 
     def cycles_table(self, spark: SparkSession) -> DataFrame:
         rows = [(c.cycle, c.sampled, c.labelled, c.trained, c.efficiency) for c in self.cycles]
@@ -93,6 +100,7 @@ class _Loop:
         self.payload = [c for c in scorer_columns if c not in ("row_key", "mol_id", "features")]
         self.pool = self._store_candidates(candidates)
         self.total = self.pool.count()
+        self.history: list[tuple[int, LinearModel, conformal.Calibration]] = []
         self.frontier = -1  # hash rank of the last row sampled; everything up to it has been dealt with
 
     def _store_candidates(self, candidates: DataFrame) -> DataFrame:
@@ -104,24 +112,24 @@ class _Loop:
             rest = [c for c in table.columns if c != "row_key"]
             firsts = [F.first(c).alias(c) for c in rest]
             table = table.groupBy("row_key").agg(*firsts, F.count(F.lit(1)).alias("copies"))
-        ranked = table.withColumn("u", hash_rank("row_key", self.params.seed)).sortWithinPartitions("u")
-        return self.ws.write(ranked, "candidates")
-
-    def _dropped(self, cycle: int, low: int, high: int) -> DataFrame | None:
-        """Keys in the hash range that a cycle before ``cycle`` predicted poor."""
-        tables = [
-            self.ws.read(f"predictions/cycle={c.cycle}")
-            .filter((F.col("u") > low) & (F.col("u") <= high) & (F.col("verdict") == "BAD"))
-            .select("row_key")
-            for c in self.cycles
-            if c.trained and c.cycle < cycle
-        ]
-        if not tables:
-            return None
-        out = tables[0]
-        for t in tables[1:]:
-            out = out.unionByName(t)
-        return out.distinct()
+        ranked = table.withColumn("u", hash_rank("row_key", self.params.seed)).withColumn("part", F.shiftright("u", HASH_BITS - _RANGE_BITS).cast("int"))
+        placed = ranked.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "u").sortWithinPartitions("part", "u")
+        path = self.ws.table_path("candidates")
+        placed.write.partitionBy("part").parquet(path)
+        return self.spark.read.schema(placed.schema).parquet(path)
+
+    def _window(self, low: int, high: int) -> DataFrame:
+        """Stored candidates with ``low`` < u <= ``high``; other ranges' files aren't opened."""
+        shift = HASH_BITS - _RANGE_BITS
+        parts = F.col("part").between(max(low + 1, 0) >> shift, high >> shift)
+        return self.pool.filter(parts & (F.col("u") > low) & (F.col("u") <= high))
+
+    def _not_dropped(self, rows: DataFrame) -> DataFrame:
+        """``rows`` without those that an earlier cycle predicted poor: its model judges them once more."""
+        for _, model, calibration in self.history:
+            judged = conformal.with_predictions(conformal.with_p_values(model.with_margin(rows), calibration), self.params.significance)
+            rows = judged.filter(F.col("verdict") != "BAD").select(*rows.columns)
+        return rows
 
     def _sample(self, cycle: int, size: int) -> DataFrame:
         """The next ``size`` pool rows in hash order, stored with features and payload."""
@@ -129,20 +137,17 @@ class _Loop:
         attempt = 0
         while True:
             attempt += 1
-            high = min(HASH_SPAN, self.frontier + reach)
-            window = self.pool.filter((F.col("u") > self.frontier) & (F.col("u") <= high))
-            keys = window.select("row_key", "u")
-            dropped = self._dropped(cycle, self.frontier, high)
-            if dropped is not None:
-                keys = keys.join(dropped, "row_key", "left_anti")
+            high = min(HASH_SPAN - 1, self.frontier + reach)
+            window = self._window(self.frontier, high)
+            keys = self._not_dropped(window.select("row_key", "u", "features")).select("row_key", "u")
             keys = self.ws.write(keys, f"window/cycle={cycle}-{attempt}")
-            if high >= HASH_SPAN or keys.count() >= size:
+            if high >= HASH_SPAN - 1 or keys.count() >= size:
                 break
             reach *= 4
         last = cut_at(keys.select(F.col("u").alias("_rank")), size)
         self.frontier = HASH_SPAN if last is None else last[0]  # keys are unique: all rows up to it are taken
         chosen = keys.filter(F.col("u") <= self.frontier)
-        rows = window.filter(F.col("u") <= self.frontier).join(chosen.select("row_key"), "row_key")
+        rows = window.filter(F.col("u") <= self.frontier).drop("part").join(chosen.select("row_key"), "row_key")
         return self.ws.write(rows, f"sample/cycle={cycle}")
 
     def _score(self, rows: DataFrame, cycle: int) -> DataFrame:
@@ -189,17 +194,15 @@ class _Loop:
         sizes = {int(r["label"]): r["count"] for r in counts if r["side"] == "calibration"}
         return model, calibration, sizes
 
-    def _predict(self, model: LinearModel, calibration: DataFrame, cycle: int) -> DataFrame:
-        """One pass over all candidates; only narrow columns are written, in the order of the stored table."""
+    def _predicted(self, model: LinearModel, calibration: conformal.Calibration, cycle: int) -> DataFrame:
+        """Predictions of all candidates, one pass without a shuffle."""
         rows = model.with_margin(self.pool).select("row_key", "mol_id", "u", "copies", "margin")
         with_p = conformal.with_p_values(rows, calibration)
-        predicted = conformal.with_predictions(with_p, self.params.significance).drop("margin")
-        return self.ws.write(predicted.withColumn("cycle", F.lit(cycle)), f"predictions/cycle={cycle}")
+        return conformal.with_predictions(with_p, self.params.significance).drop("margin").withColumn("cycle", F.lit(cycle))
 
     def run(self) -> ScreenResult:
         p = self.params
         self.cycles: list[Cycle] = []
-        predictions = calibration = model = None
         decisive, reason = 0, "max_cycles"
         for cycle in itertools.count(1) if p.max_cycles is None else range(1, p.max_cycles + 1):
             sample = self._sample(cycle, p.initial_size if cycle == 1 else p.increment_size)
@@ -213,11 +216,12 @@ class _Loop:
             self.cycles.append(entry)
             trained = self._train(cycle)
             if trained is not None:
-                model, calibration, sizes = trained
+                model, table, sizes = trained
+                calibration = conformal.Calibration.of(table)
                 entry.trained = True
                 entry.blocked = [c for c in conformal.CLASSES if 1.0 / (sizes.get(c, 0) + 1) > p.significance]
-                predictions = self._predict(model, calibration, cycle)
-                entry.efficiency = conformal.efficiency(predictions, F.col("copies")).first()["efficiency"]
+                entry.efficiency = conformal.efficiency(self._predicted(model, calibration, cycle), F.col("copies")).first()["efficiency"]
+                self.history.append((cycle, model, calibration))
                 decisive = decisive + 1 if (entry.efficiency or 0.0) >= p.efficiency_target else 0
             if decisive >= p.decisive_cycles:
                 reason = "converged"
@@ -225,17 +229,21 @@ class _Loop:
             if p.single_cycle:
                 reason = "single cycle"
                 break
+        predictions = calibration = model = None
+        if self.history:
+            cycle, model, known = self.history[-1]
+            predictions = self.ws.write(self._predicted(model, known, cycle), "predictions")
+            calibration = known.table
         scored = self._finish(predictions)
-        return ScreenResult(scored, predictions, calibration, model, self.cycles, reason, self.ws)
+        self.ws.remove("candidates", "window", "sample", "labelled", "final_good")
+        return ScreenResult(scored, predictions, calibration, model, self.cycles, reason, self.ws, self.history)
 
     def _finish(self, predictions: DataFrame | None) -> DataFrame:
         """Scores what the last predictions call good and is not scored yet; returns all scores."""
         last = len(self.cycles)
         if last == 0:
-            return self.ws.write(
-                self.pool.select("row_key", "mol_id", F.lit(None).cast("double").alias("score"), F.lit(0).alias("cycle")).limit(0),
-                "scored/none",
-            )
+            none = self.pool.select("row_key", "mol_id", F.lit(None).cast("double").alias("score"), F.lit(0).alias("cycle"))
+            return self.ws.write(none.limit(0), "scored/none")
         scored = self._scored(last)
         if predictions is None:
             return scored

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_INT, _TEXT, _NUMBER = T.IntegerType(), T.StringType(), T.DoubleType()
+_INT, _LONG, _TEXT, _NUMBER = T.IntegerType(), T.LongType(), T.StringType(), T.DoubleType()
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -16,7 +16,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 ATOM = _struct(idx=_INT, x=_NUMBER, y=_NUMBER, z=_NUMBER, element=_TEXT, charge=_INT, parity=_INT)
 BOND = _struct(a=_INT, b=_INT, ord=_INT, stereo=_INT)
-FEATURES = _struct(size=_INT, ids=T.ArrayType(_INT), vals=T.ArrayType(_NUMBER))
+FEATURES = _struct(size=_LONG, ids=T.ArrayType(_LONG), vals=T.ArrayType(_NUMBER))
 
 STAGES = {
     "smiles": _struct(smiles=_TEXT, title=_TEXT),
@@ -30,7 +30,7 @@ STAGES = {
     ),
     "pose": _struct(row_key=_TEXT, mol_id=_TEXT, score=_NUMBER),
     "candidate": _struct(row_key=_TEXT, mol_id=_TEXT, features=FEATURES),
-    "universe": _struct(signature=_TEXT, sig_id=_INT),
+    "universe": _struct(signature=_TEXT, sig_id=_LONG),
     "labelled": _struct(row_key=_TEXT, label=_NUMBER, features=FEATURES),
 }
 

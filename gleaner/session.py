@@ -59,6 +59,12 @@ class Workspace:
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(self.table_path(table))
 
+    def remove(self, *tables: str) -> None:
+        """Deletes tables that nothing reads any more; those that were never written are passed over."""
+        for table in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.table_path(table))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def local_rows(df: DataFrame, max_rows: int) -> list | None:
     """The rows of ``df`` if there are at most ``max_rows`` of them, else None. Never fetches more than that."""

@@ -1,4 +1,4 @@
-"""Trained models as plain tables: one row of weights per model, its calibration rows beside it."""
+"""Trained models as plain tables: a row per model, its weights by feature id and its calibration rows beside it."""
 
 from __future__ import annotations
 
@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 from gleaner.operators.conformal import with_p_values, with_predictions
 from gleaner.operators.learner import LinearModel
 
-MODEL = (
-    "target string, code string, version int, weights array<double>, intercept double, significance double, "
-    "universe_size int"
-)
+MODEL = "target string, code string, version int, intercept double, significance double, universe_size bigint"
+WEIGHTS = "target string, code string, version int, sig_id bigint, weight double"
 CALIBRATION = "target string, code string, version int, label int, alpha double"
 
 
@@ -34,33 +32,25 @@ def _replace(rows: DataFrame, path: str) -> None:
 
 
 def save_model(path: str, stored: StoredModel) -> None:
-    """Adds to the tables ``models`` and ``calibration`` below ``path``; the same version again replaces itself.
+    """Adds to the tables ``models``, ``weights`` and ``calibration`` below ``path``; the same version again replaces itself.
 
-    The calibration rows go first, so a model that can be found is complete.
+    The model's row goes last, so a model that can be found is complete. No table has a row that grows with the dictionary.
     """
-    calibration = stored.calibration
-    spark = calibration.sparkSession
     ident = [
         F.lit(stored.target).alias("target"),
         F.lit(stored.code).alias("code"),
         F.lit(stored.version).cast("int").alias("version"),
     ]
-    rows = calibration.select(*ident, F.col("label").cast("int").alias("label"), F.col("alpha").cast("double").alias("alpha"))
+    rows = stored.calibration.select(*ident, F.col("label").cast("int").alias("label"), F.col("alpha").cast("double").alias("alpha"))
     _replace(rows, f"{path}/calibration")
-    model = (
-        stored.target,
-        stored.code,
-        stored.version,
-        stored.model.weights,
-        stored.model.intercept,
-        stored.significance,
-        stored.universe_size,
-    )
-    _replace(spark.createDataFrame([model], MODEL).coalesce(1), f"{path}/models")
+    weights = stored.model.weights
+    _replace(weights.select(*ident, F.col("sig_id").cast("bigint").alias("sig_id"), "weight"), f"{path}/weights")
+    model = (stored.target, stored.code, stored.version, stored.model.intercept, stored.significance, stored.universe_size)
+    _replace(weights.sparkSession.createDataFrame([model], MODEL).coalesce(1), f"{path}/models")
 
 
 def load_model(spark: SparkSession, path: str, target: str, code: str, version: int | None = None) -> StoredModel:
-    """The given version, by default the highest."""
+    """The given version, by default the highest. Weights and calibration rows stay tables."""
     models = spark.read.schema(MODEL).parquet(f"{path}/models")
     wanted = models.filter((F.col("target") == target) & (F.col("code") == code))
     if version is not None:
@@ -68,18 +58,14 @@ def load_model(spark: SparkSession, path: str, target: str, code: str, version:
     row = wanted.orderBy(F.desc("version")).first()
     if row is None:
         raise LookupError(f"no model for target '{target}', code '{code}', version {version or 'any'}")
-    calibration = spark.read.schema(CALIBRATION).parquet(f"{path}/calibration").filter(
-        (F.col("target") == target) & (F.col("code") == code) & (F.col("version") == row["version"])
-    )
-    return StoredModel(
-        target,
-        code,
-        row["version"],
-        LinearModel(list(row["weights"]), row["intercept"]),
-        row["significance"],
-        row["universe_size"],
-        calibration.select("label", "alpha"),
-    )
+
+    def own(table: str, schema: str) -> DataFrame:
+        rows = spark.read.schema(schema).parquet(f"{path}/{table}")
+        return rows.filter((F.col("target") == target) & (F.col("code") == code) & (F.col("version") == row["version"]))
+
+    model = LinearModel(own("weights", WEIGHTS).select("sig_id", "weight"), row["intercept"])
+    calibration = own("calibration", CALIBRATION).select("label", "alpha")
+    return StoredModel(target, code, row["version"], model, row["significance"], row["universe_size"], calibration)
 
 
 def predict_with(

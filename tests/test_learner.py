@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.functions.vectors import dot, from_dense, parse_vector, to_ml_vector, vector_text
-from gleaner.operators.learner import LinearModel, LinearSVM, Logistic
+from gleaner.functions.vectors import append_constant, dot, from_dense, parse_vector, sparse, to_ml_vector, vector_text
+from gleaner.operators import learner
+from gleaner.operators.learner import Known, LinearModel, LinearSVM, Logistic
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +24,7 @@ def test_separable_rows(labelled, learner):
     model = learner.fit(labelled)
     out = model.with_margin(labelled)
     right = out.filter((F.col("margin") > 0) == (F.col("label") == 1.0)).count()
-    assert right >= 170 and len(model.weights) == 5 and "_w" not in out.columns
+    assert right >= 170 and model.weights.count() == 5 and out.columns == [*labelled.columns, "margin"]
 
 
 def test_one_class_is_refused(labelled):
@@ -33,8 +34,69 @@ def test_one_class_is_refused(labelled):
 
 def test_margin_of_sparse_rows(spark):
     df = spark.createDataFrame([("(4,[1,3],[2.0,0.5])",), ("(4,[],[])",), ("bad",)], "t string").select(parse_vector(F.col("t")).alias("features"))
-    out = LinearModel([1.0, 10.0, 100.0, 1000.0], 0.5).with_margin(df).collect()
-    assert [r.margin for r in out] == [520.5, 0.5, None]
+    model = LinearModel.dense(spark, [1.0, 10.0, 100.0, 1000.0], 0.5)
+    for bound in (10, 0):
+        out = model.with_margin(df.withColumn("place", F.monotonically_increasing_id()), max_weights=bound).collect()
+        assert {r.place: r.margin for r in out}.values() and sorted((r.place, r.margin) for r in out)[0][1] == 520.5
+        assert [r.margin for r in sorted(out, key=lambda r: r.place)] == [520.5, 0.5, None]
+
+
+def wide(features, factor):
+    """The same rows with their ids spread over a space ``factor`` times as wide."""
+    return sparse(features["size"] * factor, F.transform(features["ids"], lambda i: i * factor + 7), features["vals"])
+
+
+@pytest.mark.parametrize("learner", [LinearSVM(), LinearSVM(bias="free"), Logistic()])
+def test_the_width_of_the_space_changes_nothing(labelled, learner):
+    """Ten million times as wide; a dense fit would hold fifty million weights."""
+    narrow = learner.fit(labelled)
+    there = labelled.withColumn("features", wide(F.col("features"), 10_000_000))
+    model = learner.fit(there)
+    assert sorted(r.sig_id for r in model.weights.collect()) == [i * 10_000_000 + 7 for i in range(5)]
+    a = {r.row_key: r.margin for r in narrow.with_margin(labelled).collect()}
+    b = {r.row_key: r.margin for r in model.with_margin(there).collect()}
+    assert max(abs(a[k] - b[k]) for k in a) < 1e-9
+
+
+def test_fit_equals_the_dense_fit(labelled):
+    """The weights of a fit over the whole space, which has places that no row holds."""
+    from pyspark.ml.classification import LinearSVC
+
+    padded = labelled.withColumn("features", sparse(F.lit(40), F.transform("features.ids", lambda i: i * 7), F.col("features.vals")))
+    table = padded.select("label", to_ml_vector(append_constant(F.col("features"))).alias("x")).coalesce(1)
+    dense = LinearSVC(featuresCol="x", labelCol="label", maxIter=50, regParam=0.1, tol=1e-4, standardization=False, fitIntercept=False).fit(table)
+    weights = dense.coefficients.toArray()
+    model = LinearSVM().fit(padded)
+    found = {r.sig_id: r.weight for r in model.weights.collect()}
+    assert {i for i, w in enumerate(weights[:-1]) if w != 0} == set(found)
+    assert max(abs(weights[i] - w) for i, w in found.items()) < 1e-6 and abs(weights[-1] - model.intercept) < 1e-6
+
+
+def test_margins_by_shuffle_equal_those_by_look_up(spark, monkeypatch):
+    monkeypatch.setattr(learner, "_HOT_SAMPLE", 0.5)
+    monkeypatch.setattr(learner, "_HOT_IDS", 3)
+    r = random.Random(2)
+    rows = [(i, sorted(r.sample(range(60), r.randrange(12)) + [100]), "x") for i in range(300)]
+    rows += [(i, rows[3][1], "copy") for i in range(1000, 1200)] + [(i, [], "empty") for i in range(2000, 2200)] + [(3000, None, "null"), (3, [5], "same key")]
+    df = spark.createDataFrame(rows, "row_key long, ids array<long>, margin_of string")
+    vals = F.transform("ids", lambda i: (i % 7 + 1).cast("double"))
+    df = df.withColumn("features", F.when(F.col("ids").isNotNull(), sparse(F.lit(200), F.col("ids"), vals)))
+    weights = [r.uniform(-1, 1) if i % 3 else 0.0 for i in range(90)]
+    model = LinearModel.dense(spark, weights, 0.25)
+    a, b = (model.with_margin(df, max_weights=bound) for bound in (1000, 0))
+    assert a.columns == b.columns
+    key = lambda x: (x.row_key, x.margin_of)
+    a, b = ({key(x): x.margin for x in out.collect()} for out in (a, b))
+    assert len(a) == len(rows) and a.keys() == b.keys() and a[3000, "null"] is None and b[3000, "null"] is None
+    assert max(abs(a[k] - b[k]) for k in a if a[k] is not None) < 1e-9
+    assert a[2000, "empty"] == b[2000, "empty"] == 0.25
+
+
+def test_a_model_without_weights(spark, labelled):
+    model = LinearModel.dense(spark, [0.0, 0.0], 1.5)
+    assert model.weights.count() == 1
+    assert {r.margin for r in model.with_margin(labelled).collect()} == {1.5}
+    assert Known(model).fit(labelled) is model
 
 
 def test_vector_forms(spark):

@@ -45,11 +45,6 @@ def test_signatures(mols):
     assert out["parts"].signatures[0].signature == "N(1H)"
 
 
-def test_long_signatures_are_hashed(mols):
-    out = by_key(with_atom_signatures(mols, cap=10))
-    assert {len(s.signature) for s in out["ring"].signatures if s.height == 2} == {32}
-
-
 def test_ngrams(spark):
     df = spark.createDataFrame([("d", "a b\n\ta  b "), ("e", "")], "row_key string, text string")
     out = by_key(with_ngrams(df, "text"))

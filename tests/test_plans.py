@@ -9,6 +9,7 @@ from gleaner.operators import labels, rules, sampling, topn
 from gleaner.operators.learner import LinearModel
 from gleaner.plans import queries as q
 from gleaner.plans import stand_in as S
+from gleaner.sources import sdf
 from gleaner.sources.rules import parse_rules
 
 SF = "/root/testdata/sf0.001"
@@ -53,11 +54,27 @@ def test_samples_are_filters(spark):
     assert "Exchange" not in plan(sampling.exact_sample(df, "o_orderkey", 500, 1, bucket_rows=20))
 
 
-def test_edges_and_weights_are_subqueries(spark):
+def test_edges_are_subqueries_and_weights_are_looked_up(spark):
     assert "Join" not in plan(labels.label_extremes(q._poses(spark, SF), 1, 4))
     rows = spark.range(3).select(F.struct(F.lit(2).alias("size"), F.array(F.lit(0)).alias("ids"), F.array(F.lit(1.0)).alias("vals")).alias("features"))
-    text = plan(LinearModel([1.0, 2.0], 0.0).with_margin(rows))
-    assert "Join" not in text and "Python" not in text
+    text = plan(LinearModel.dense(spark, [1.0, 2.0], 0.0).with_margin(rows))
+    assert "Join" not in text and text.count("ArrowEvalPython") == 1
+
+
+def test_long_lists_are_not_gathered_in_one_task(spark):
+    poses = q._poses(spark, SF)
+    text = plan(topn.select_best(poses, 500, bucket_rows=5))
+    assert "TakeOrdered" in text  # of the few rows that are left
+    text = plan(topn.select_best(poses.withColumn("score", F.lit(1.0)), 500, bucket_rows=5))
+    assert "SinglePartition" not in text and "TakeOrdered" not in text and "GlobalLimit" not in text
+
+
+def test_scores_of_a_file_build_no_blocks(spark, tmp_path):
+    poses = sdf.read_poses(spark, SF, "x", ("row_key", "mol_id"))
+    assert poses.columns == ["row_key", "mol_id", "raw", "score"]
+    text = plan(poses.select("mol_id", "score", "row_key"))
+    assert "named_struct(idx" not in text and "parity" not in text and "stereo" not in text and "M  CHG" not in text
+    assert "parity" in plan(sdf.read_poses(spark, SF, "x"))
 
 
 @pytest.mark.parametrize("name", ["top_semi_join", "top_n_payload", "pool_minus_scored", "hit_overlap", "conformal_p_values", "graph_vectors"])

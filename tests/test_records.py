@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import records as R
@@ -109,3 +110,18 @@ def test_write_and_read_again(spark, tmp_path):
 def test_a_value_line_may_begin_with_the_header_sign(spark):
     (row,) = parsed(spark, record("t", [atom(0, "C")], [], [("A", "first\n> quoted\nlast"), ("B", "x")]))
     assert row.tags == {"A": "first\n> quoted\nlast", "B": "x"}
+
+
+def test_layers_agree_with_the_whole_record(spark, tmp_path):
+    broken = WATER.replace("V2000", "V3000"), WATER.replace("M  END", "M  ENT"), WATER.replace("0.0000", "0.0x00", 1), "x\n\n\nno counts", WATER[:40]
+    path = tmp_path / "some.sdf"
+    path.write_text("".join(f"{r}$$$$\n" for r in (WATER, IONS, LISTED, *broken)))
+    whole = sdf.read_poses(spark, str(path), "Chemgauss4")
+    for wanted in (("row_key", "mol_id"), ("mol_id",), ("header", "parse_ok"), ("tags",), ("parse_ok", "mol_id", "tags", "row_key")):
+        some = sdf.read_poses(spark, str(path), "Chemgauss4", wanted)
+        assert set(some.columns) == {*wanted, "raw", "score"}
+        pick = lambda df: sorted((str(r.asDict()) for r in df.select("raw", "score", *wanted).collect()))  # noqa: E731, B023
+        assert pick(some) == pick(whole)
+    assert whole.filter("parse_ok").count() == 3
+    with pytest.raises(ValueError):
+        sdf.parse_molecules(whole.select("raw"), ("nothing",))

@@ -1,11 +1,16 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions.hashing import HASH_SPAN
 from gleaner.functions.vectors import from_dense
+from gleaner.operators import conformal
 from gleaner.operators.learner import LinearSVM
 from gleaner.operators.scorers import table_scorer
 from gleaner.operators.topn import top_n
-from gleaner.plans.screen import ScreenParams, screen
+from gleaner.plans.screen import ScreenParams, _Loop, screen
+from gleaner.session import Workspace
 
 N = 600
 LEARNER = LinearSVM(max_iter=10)
@@ -41,12 +46,34 @@ def test_no_row_is_scored_twice_and_all_are_predicted(result):
     assert all(c.efficiency >= 0.8 for c in result.cycles[-2:])
 
 
-def test_dropped_rows_are_not_sampled_later(spark, result):
-    last = len(result.cycles)
-    for k in range(1, last):
-        dropped = result.workspace.read(f"predictions/cycle={k}").filter("verdict = 'BAD'").select("row_key")
+def test_dropped_rows_are_not_sampled_later(data, result):
+    last, (candidates, _), dropped_ever = len(result.cycles), data, 0
+    assert [cycle for cycle, _, _ in result.history] == [c.cycle for c in result.cycles if c.trained]
+    for k, model, calibration in result.history:
+        predicted = conformal.with_predictions(conformal.with_p_values(model.with_margin(candidates), calibration), 0.2)
+        dropped = predicted.filter("verdict = 'BAD'").select("row_key").cache()
+        dropped_ever += dropped.count()
         for later in range(k + 1, last + 1):
             assert result.workspace.read(f"scored/cycle={later}").join(dropped, "row_key").count() == 0
+    assert dropped_ever > 0
+
+
+def test_only_the_last_predictions_are_kept(result):
+    kept = sorted(os.listdir(result.workspace.path))
+    assert kept == ["calibration", "predictions", "scored"]
+    assert {r.cycle for r in result.predictions.select("cycle").distinct().collect()} == {result.history[-1][0]}
+
+
+def test_a_window_opens_the_files_of_its_range_only(spark, data):
+    candidates, scores = data
+    loop = _Loop(candidates, table_scorer(scores), ScreenParams(), LEARNER, Workspace(spark, "files"), [])
+    files = lambda df: {r.f for r in df.select(F.input_file_name().alias("f")).distinct().collect()}
+    every = files(loop.pool)
+    window = loop._window(HASH_SPAN // 4, HASH_SPAN // 4 + HASH_SPAN // 128)
+    assert 0 < len(files(window)) <= 4 < len(every) // 20
+    assert "PartitionFilters: [isnotnull(part" in window._jdf.queryExecution().executedPlan().toString()
+    assert window.count() == loop.pool.filter((F.col("u") > HASH_SPAN // 4) & (F.col("u") <= HASH_SPAN // 4 + HASH_SPAN // 128)).count()
+    assert loop._window(-1, HASH_SPAN - 1).count() == N
 
 
 def test_same_input_gives_the_same_result(data, result):

@@ -41,15 +41,15 @@ def test_semi_join_keeps_ties_and_failed(poses):
     ]
 
 
-@pytest.mark.parametrize("group_limit", [1000, 1])
-def test_collapse(poses, monkeypatch, group_limit):
-    monkeypatch.setattr(topn, "GROUP_LIMIT", group_limit)
+@pytest.mark.parametrize("salted_above", [1000, 1])
+def test_collapse(poses, monkeypatch, salted_above):
+    monkeypatch.setattr(topn, "SALTED_ABOVE", salted_above)
     out = topn.collapse(poses, 2)
     assert sorted((r.row_key, r["rank"]) for r in out.collect()) == [(2, 1), (3, 2), (4, 1), (5, 2), (6, 1), (7, 2), (8, 1)]
 
 
 def test_collapse_of_a_hot_id_by_salt(spark, monkeypatch):
-    monkeypatch.setattr(topn, "GROUP_LIMIT", 5)
+    monkeypatch.setattr(topn, "SALTED_ABOVE", 5)
     df = spark.range(3000).selectExpr("id AS row_key", "IF(id % 3 = 0, 'hot', concat('m', id % 50)) AS mol_id", "CAST(id % 977 AS double) AS score")
     out = topn.collapse(df, 40)
     pdf = df.toPandas().sort_values(["score", "row_key"], ascending=[False, True])
@@ -57,6 +57,25 @@ def test_collapse_of_a_hot_id_by_salt(spark, monkeypatch):
     assert sorted(r.row_key for r in out.collect()) == sorted(expected.row_key)
 
 
+@pytest.mark.parametrize("kind, ascending", [("spread", False), ("ties", True), ("equal", False), ("huge", True)])
+def test_selection_of_long_lists(spark, ascending, kind, monkeypatch):
+    monkeypatch.setattr(topn, "_ACCURACY", 50)  # so that the sketch is coarse
+    score = {"spread": "sin(id) * 1e6", "ties": "CAST(id * id % 7 AS double) - 3", "equal": "1.5D", "huge": "IF(id % 2 = 0, 1, -1) * pow(10.0D, id % 300)"}[kind]
+    df = spark.range(0, 2000, 1, 4).selectExpr("(id * 7919) % 2000 AS row_key", f"IF(id % 9 = 0, NULL, {score}) AS score", "id % 5 AS other")
+    rows = sorted(df.collect(), key=lambda r: (r.score is None, 0 if r.score is None else (r.score if ascending else -r.score), r.row_key))
+    for n in (0, 17, 700, 1777, 1900, 2000):
+        got = topn.select_best(df, n, ascending=ascending, bucket_rows=10)
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, rows[:n]), key=str)
+
+
+def test_a_long_list_is_best_first(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id AS row_key", "id % 150 AS mol_id", "CAST(id % 40 AS double) AS score")
+    short = [tuple(r) for r in topn.top_n(df, 100).collect()]
+    monkeypatch.setattr(topn, "MAX_LISTED", 10)
+    assert [tuple(r) for r in topn.top_n(df, 100).collect()] == short
+
+
 def test_sort(poses):
     assert [r[0] for r in rows(topn.sort_by_score(poses))] == [2, 3, 8, 4, 1, 5, 6, 7]
 
