@@ -49,7 +49,7 @@ NEED, FULL = 3, 4
 #: of the former is at most a third larger. The others are judged by, and send, the hashes below LOOKED_AT.
 COUNT_ALL, SHIP_ALL, LOOKED_AT = 96, 128, np.uint64(int(0.4 * 2**64))
 #: Shingles that a part of steps 2 and 3 should hold.
-PART = 4_000_000
+PART = 2_000_000
 #: Counts, one for each set of a part at most, that are added up in one place.
 BUCKET = 1_000_000
 #: A shingle is hot when more than this share of the sets in step 3 hold it, and more than so many.
