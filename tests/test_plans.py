@@ -70,11 +70,11 @@ def test_long_lists_are_not_gathered_in_one_task(spark):
 
 
 def test_scores_of_a_file_build_no_blocks(spark, tmp_path):
-    poses = sdf.read_poses(spark, SF, "x", ("row_key", "mol_id"))
+    poses = sdf.read_poses(spark, SF, "Chemgauss4", ("row_key", "mol_id"))
     assert poses.columns == ["row_key", "mol_id", "raw", "score"]
     text = plan(poses.select("mol_id", "score", "row_key"))
     assert "named_struct(idx" not in text and "parity" not in text and "stereo" not in text and "M  CHG" not in text
-    assert "parity" in plan(sdf.read_poses(spark, SF, "x"))
+    assert "parity" in plan(sdf.read_poses(spark, SF, "Chemgauss4"))
 
 
 @pytest.mark.parametrize("name", ["top_semi_join", "top_n_payload", "pool_minus_scored", "hit_overlap", "conformal_p_values", "graph_vectors"])
