@@ -15,6 +15,8 @@ from gleaner.llm.common import arrow_batches
 LANES = 8
 #: Up to so many tasks send their arrays to the driver themselves.
 DIRECT_TASKS = 64
+#: Bytes of a stored table that a task of a pass should read at least, unless cores would be idle.
+TASK_BYTES = 32 << 20
 SCHEMA = "at bigint, v array<double>"
 
 
@@ -53,6 +55,12 @@ def summed(rows: DataFrame, width: int, add: Callable[[pa.RecordBatch], np.ndarr
     return np.sum(arrays, axis=0) if arrays else np.zeros(width)
 
 
+def for_passes(stored: DataFrame) -> DataFrame:
+    """A stored table for many short passes: small files are read together, without a shuffle, so a pass has as many tasks as cores or as its size asks for."""
+    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return stored.coalesce(max(stored.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+
+
 def few_tasks(stored: DataFrame) -> bool:
     """Whether a pass over a stored table has at most ``DIRECT_TASKS`` tasks."""
     return stored.rdd.getNumPartitions() <= DIRECT_TASKS

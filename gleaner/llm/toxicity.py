@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import maybe_broadcast
 from gleaner.llm.quality import fold
-from gleaner.llm.sums import few_tasks, summed
+from gleaner.llm.sums import few_tasks, for_passes, summed
 from gleaner.llm.textbytes import Texts, slices, span_hashes
 from gleaner.session import Workspace
 
@@ -203,7 +203,8 @@ def start_weights(counts: np.ndarray, chosen: np.ndarray, documents: int, positi
 def _total(inputs: DataFrame, width: int, held: int, folds: int):
     """The sum of ``risk_sums`` over all stored rows outside the fold ``held``, as a function of the weights."""
     learn = inputs.withColumn("bag", F.pmod(F.xxhash64("doc_id"), F.lit(CLASSIFIERS))).where(fold(F.col("doc_id"), folds) != held)
-    direct = few_tasks(inputs)
+    learn = for_passes(learn)
+    direct = few_tasks(learn)
 
     def total(w: np.ndarray) -> np.ndarray:
         def add(batch: pa.RecordBatch) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import arrow_batches
-from gleaner.llm.sums import few_tasks, summed
+from gleaner.llm.sums import few_tasks, for_passes, summed
 from gleaner.session import Workspace
 
 #: Entries that a block holds, about.
@@ -90,7 +90,7 @@ def pack(vectors: DataFrame, work: Workspace) -> Blocks:
     d = int(vectors.agg(F.max(F.size("x"))).first()[0] or 0)
     with arrow_batches(vectors.sparkSession, max(1, 16 * BLOCK // max(d, 1))):
         blocks = vectors.mapInArrow(_pack_task(d), "ids array<bigint>, n bigint, block binary, sums array<string>")
-        table = work.write(blocks, "blocks")
+        table = for_passes(work.write(blocks, "blocks"))
     return Blocks(table, d, few_tasks(table))
 
 
