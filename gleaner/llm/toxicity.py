@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import maybe_broadcast
+from gleaner.llm.common import arrow_batches, maybe_broadcast
 from gleaner.llm.quality import fold
 from gleaner.llm.sums import few_tasks, for_passes, summed
 from gleaner.llm.textbytes import Texts, slices, span_hashes
@@ -31,13 +31,13 @@ BEGINNINGS = (4, 5, 6)
 #: Hash values of pieces, and how many of them are added up in one place.
 BUCKETS, RANGE = 1 << 20, 1 << 14
 #: Twice the log-likelihood ratio from which on positives have a piece significantly more often than all text.
-SIGNIFICANT = 6.0
+SIGNIFICANT = 10.0
 #: Classifiers, each of which leaves another share of the documents out, and the steps of their fit.
-CLASSIFIERS, STEPS, RATE, DECAY = 3, 50, 0.3, 1e-4
+CLASSIFIERS, STEPS, RATE, DECAY = 3, 30, 0.5, 1e-4
 #: The class prior where labels don't tell it, as no label says that a document isn't toxic.
 PRIOR = 0.1
-#: Rows of inputs that go to Python at once.
-BATCH_ROWS = 20_000
+#: Documents whose inputs are packed into one row for the passes, and such rows that go to Python at once.
+PACK_ROWS, BATCH_BLOCKS = 10_000, 8
 
 
 def pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -133,6 +133,13 @@ class Inputs(NamedTuple):
         """The product of the transposed matrix with the column ``c``."""
         return np.bincount(self.at, self.value * np.repeat(c, np.diff(self.first)), width)
 
+    def rows(self, which: np.ndarray) -> Inputs:
+        """The given rows alone."""
+        lengths = np.diff(self.first)[which]
+        first = np.concatenate(([0], np.cumsum(lengths)))
+        at = np.repeat(self.first[:-1][which] - first[:-1], lengths) + np.arange(first[-1])
+        return Inputs(first, self.at[at], self.value[at])
+
 
 def read_inputs(batch: pa.RecordBatch, inputs: int) -> Inputs:
     lists, times = batch.column("x"), batch.column("times")
@@ -159,11 +166,12 @@ def risk_sums(x: Inputs, w: np.ndarray, unlabelled: np.ndarray, positive: np.nda
     Under the sigmoid loss a positive costs 1 - s and a negative s; both have the slope s (1 - s).
     """
     s = sigmoid(x.times(w))
-    slope = s * (1 - s)
+    marked = np.flatnonzero(positive.any(axis=1))  # a few of all rows
+    kinds = ((x, s, unlabelled), (x.rows(marked), s[marked], positive[marked]))
     out = []
     for k in range(w.shape[1]):
-        for rows in (unlabelled[:, k], positive[:, k]):
-            out += [[rows.sum(), (rows * s[:, k]).sum()], x.transposed_times(rows * slope[:, k], len(w))]
+        for part, sk, rows in ((part, s[:, k], rows[:, k]) for part, s, rows in kinds):
+            out += [[rows.sum(), (rows * sk).sum()], part.transposed_times(rows * sk * (1 - sk), len(w))]
     return np.concatenate(out)
 
 
@@ -200,21 +208,45 @@ def start_weights(counts: np.ndarray, chosen: np.ndarray, documents: int, positi
     return np.concatenate((ratio / 2, [0.0, -1.0]))
 
 
-def _total(inputs: DataFrame, width: int, held: int, folds: int):
+def _pack_task(width: int):
+    """The rows of inputs as a few arrays each, so that a pass reads no lists."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = read_inputs(batch, width)
+                bag = batch.column("bag").to_numpy().astype(np.int8)
+                positive = batch.column("positive").to_numpy(zero_copy_only=False).astype(np.int8)
+                arrays = (np.diff(x.first).astype(np.int32), x.at.astype(np.int32), x.value.astype(np.float32), bag, positive)
+                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], PACKED)
+
+    return pack
+
+
+PACKED = ["lengths", "at", "value", "bag", "positive"]
+
+
+def _total(inputs: DataFrame, work: Workspace, width: int, held: int, folds: int):
     """The sum of ``risk_sums`` over all stored rows outside the fold ``held``, as a function of the weights."""
-    learn = inputs.withColumn("bag", F.pmod(F.xxhash64("doc_id"), F.lit(CLASSIFIERS))).where(fold(F.col("doc_id"), folds) != held)
-    learn = for_passes(learn)
-    direct = few_tasks(learn)
+    learn = inputs.withColumn("bag", F.pmod(F.xxhash64("doc_id"), F.lit(CLASSIFIERS)).cast("int")).where(fold(F.col("doc_id"), folds) != held)
+    with arrow_batches(inputs.sparkSession, PACK_ROWS):
+        packed = for_passes(learn).mapInArrow(_pack_task(width), ", ".join(f"{c} binary" for c in PACKED))
+        packed = for_passes(work.write(packed, "packed"))
+    direct = few_tasks(packed)
 
     def total(w: np.ndarray) -> np.ndarray:
+        size = 2 * (len(w) + 2) * CLASSIFIERS
+
         def add(batch: pa.RecordBatch) -> np.ndarray:
-            if not batch.num_rows:
-                return np.zeros(2 * (len(w) + 2) * CLASSIFIERS)
-            bags = batch.column("bag").to_numpy()[:, None] != np.arange(CLASSIFIERS)
-            positive = bags & batch.column("positive").to_numpy(zero_copy_only=False)[:, None]
-            return risk_sums(read_inputs(batch, width), w, bags.astype(float), positive.astype(float))
+            out = np.zeros(size)
+            for row in zip(*(batch.column(c) for c in PACKED)):
+                lengths, at, value, bag, positive = (np.frombuffer(v.as_buffer(), t) for v, t in zip(row, (np.int32, np.int32, np.float32, np.int8, np.int8)))
+                x = Inputs(np.concatenate(([0], np.cumsum(lengths))), at, value.astype(float))
+                bags = bag[:, None] != np.arange(CLASSIFIERS)
+                out += risk_sums(x, w, bags.astype(float), (bags & (positive[:, None] == 1)).astype(float))
+            return out
 
-        return summed(learn, 2 * (len(w) + 2) * CLASSIFIERS, add, BATCH_ROWS, direct)
+        return summed(packed, size, add, BATCH_BLOCKS, direct)
 
     return total
 
@@ -257,7 +289,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, folds: int = 5, hel
     weights = None
     if n is not None and n.p:
         start = np.column_stack([start_weights(counts, chosen, n.n, n.p)] * CLASSIFIERS)
-        weights = train(_total(inputs, len(chosen), held, folds), start, prior)
+        weights = train(_total(inputs, work, len(chosen), held, folds), start, prior)
     scored = inputs.mapInArrow(_score_task(weights, len(chosen)), "doc_id bigint, score double")
     out = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False))
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

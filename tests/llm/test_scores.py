@@ -123,15 +123,15 @@ def test_sums_equal_the_dense_formula():
 
 @pytest.mark.parametrize("positives", [1, 2, 3])
 def test_few_positives_are_enough(spark, make, positives):
-    docs, _ = made(1500)
+    docs, _ = made(3000)
     insult = " quarrelsome insult nobody else writes" * 2
-    marked = [i for i in range(0, 1500, 50) if not held(i, 5, 0)][:positives]
+    marked = [i for i in range(0, 3000, 50) if not held(i, 5, 0)][:positives]
     docs = [(i, t + insult if i in marked else t) for i, t in docs]
-    docs += [(10_000 + k, docs[51 + 5 * k][1] + insult) for k in range(10)]
+    docs += [(10_000 + k, docs[51 + 5 * k][1] + insult) for k in range(5)]
     marks = [(i, None, 1) for i in marked] + [(i, None, 0) for i, _ in docs if i % 10 == 3]
     got = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(make(docs), labels(spark, marks)).collect()}
-    assert np.mean([got[10_000 + k] for k in range(10)]) > 0.8
-    assert np.mean([got[i] for i, _ in docs[:1500] if i % 5]) < 0.05
+    assert np.mean([got[10_000 + k] for k in range(5)]) > 0.7
+    assert np.mean([got[i] for i, _ in docs[:3000] if i % 5]) < 0.05
 
 
 def test_a_prior_above_a_half(spark, make):
