@@ -36,8 +36,10 @@ SIGNIFICANT = 10.0
 CLASSIFIERS, STEPS, RATE, DECAY = 3, 30, 0.5, 1e-4
 #: The class prior where labels don't tell it, as no label says that a document isn't toxic.
 PRIOR = 0.1
+#: Rows with whole texts that go to Python at once.
+TEXT_ROWS = 1000
 #: Documents whose inputs are packed into one row for the passes, and such rows that go to Python at once.
-PACK_ROWS, BATCH_BLOCKS = 10_000, 8
+PACK_ROWS, BATCH_BLOCKS = 5_000, 4
 
 
 def pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -269,6 +271,11 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, folds: int = 5, hel
     every score is 0; a single one is enough to learn from. A null id is not held out and never learnt from. An empty table
     gives an empty result; other columns are not read.
     """
+    with arrow_batches(documents.sparkSession, TEXT_ROWS):
+        return _toxicity_scores(documents, labels, folds, held, prior)
+
+
+def _toxicity_scores(documents: DataFrame, labels: DataFrame, folds: int, held: int, prior: float | None) -> DataFrame:
     work = Workspace(documents.sparkSession, "toxicity")
     rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text"))
     usable = labels.where(fold(F.col("doc_id"), folds) != held).select(F.col("doc_id").cast("bigint"), F.col("toxic").alias("label"))
