@@ -39,7 +39,7 @@ PRIOR = 0.1
 #: Rows with whole texts that go to Python at once.
 TEXT_ROWS = 1000
 #: Documents whose inputs are packed into one row for the passes, and such rows that go to Python at once.
-PACK_ROWS, BATCH_BLOCKS = 5_000, 4
+PACK_ROWS, BATCH_BLOCKS = 1_000, 4
 
 
 def pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
