@@ -105,9 +105,17 @@ def select_best(
         elif above + inside - under < n:
             above, high, inside = above + inside - under, a, under
             within = within.filter(g < a)
-        else:
+        elif over or under:
             above, low, high, inside = above + over, a, b, inside - over - under
             within = within.filter((g >= a) & (g <= b))
+        else:  # a few frequent scores, which no sketch tells apart: the n-th either is the lowest of them or above it
+            over = within.agg(F.count_if(g > a).alias("over")).first()["over"]
+            if above + over >= n:
+                low, inside = a, over
+                within = within.filter(g > a)
+            else:
+                above, low, high, inside = above + over, a, a, inside - over
+                within = within.filter(g == a)
     near = work.write(within, "near")
     top = near.agg(F.max("_g")).first()[0]
     clear = rows.filter(g.isNotNull() & (g > F.lit(top)))

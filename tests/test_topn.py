@@ -69,6 +69,15 @@ def test_selection_of_long_lists(spark, ascending, kind, monkeypatch):
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, rows[:n]), key=str)
 
 
+@pytest.mark.parametrize("kinds, n", [(2, 1500), (2, 1501), (3, 1000), (3, 2001)])
+def test_selection_at_the_border_of_frequent_scores(spark, monkeypatch, kinds, n):
+    df = spark.range(3000).selectExpr("id AS row_key", f"CAST(id % {kinds} AS double) AS score")
+    rounds, look = [], topn._bracket
+    monkeypatch.setattr(topn, "_bracket", lambda *given: rounds.append(1) or (look(*given) if len(rounds) < 20 else pytest.fail("it never ends")))
+    expected = sorted((-(i % kinds), i) for i in range(3000))[:n]
+    assert sorted(r.row_key for r in topn.select_best(df, n, bucket_rows=20).collect()) == sorted(i for _, i in expected)
+
+
 def test_a_long_list_is_best_first(spark, monkeypatch):
     df = spark.range(300).selectExpr("id AS row_key", "id % 150 AS mol_id", "CAST(id % 40 AS double) AS score")
     short = [tuple(r) for r in topn.top_n(df, 100).collect()]
