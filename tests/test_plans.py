@@ -81,3 +81,13 @@ def test_scores_of_a_file_build_no_blocks(spark, tmp_path):
 def test_joins_are_hash_or_merge_joins(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_tasks_become_more_and_not_longer(spark, tmp_path):
+    from gleaner.operators.sets import fill_cores
+
+    spark.range(0, 5000, 1, 16).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    assert fill_cores(rows, 200).rdd.getNumPartitions() == 25
+    assert fill_cores(rows, 100_000).rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    assert fill_cores(rows, 200).distinct().count() == 5000
