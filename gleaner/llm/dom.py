@@ -54,9 +54,6 @@ _STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _UNQUOTED_END = re.compile(r"=\s*[^\s\"'=]+\Z")
 _WORD = re.compile(r"[a-zA-Z][a-z0-9]*|[A-Z0-9]+")
-#: Steps that comparing the unlike parts of two pages may take, some seconds; far beyond what pages need that weren't made to
-#: stall a reader. After that, unlike parts count as one node each.
-WORK = 10_000_000
 
 
 NONE, FORM = frozenset(), frozenset({"form"})
@@ -451,7 +448,6 @@ class _Matching:
     def __init__(self):
         self.sizes: dict[tuple[int, int], int] = {}
         self.open: set[tuple[int, int]] = set()
-        self.work = 0
 
     def _known(self, a: Part, b: Part) -> int | None:
         if a.label != b.label:
@@ -476,14 +472,9 @@ class _Matching:
                 middle = int(self.last_row(*self.weights(xs, ys))[-1]) if xs and ys else 0
                 self.sizes[x.shape, y.shape] = 1 + like + middle
                 continue
-            self.work += 64 + 32 * (len(x.children) + len(y.children))
-            if self.work > WORK:
-                self.sizes[x.shape, y.shape] = 1
-                continue
             self.open.add((x.shape, y.shape))
             start, end = _like_ends(x.children, y.children)
             xs, ys = ({c.shape: c for c in p.children[start : len(p.children) - end]}.values() for p in (x, y))
-            self.work += len(xs) * len(ys)
             todo.extend((p, q) for p in xs for q in ys if self._known(p, q) is None)
         return self._known(a, b)
 

@@ -175,6 +175,17 @@ def test_deep_and_wide_pages_are_matched():
     assert time.process_time() - began < 60  # beyond WORK, unlike parts count as one
 
 
+def test_the_match_of_large_pages_is_the_best_one():
+    m, n = 120, 100
+    a = tree("".join(f"<div><h2>x</h2>{'<ul></ul>' * i}<hr></div>" for i in range(m)))
+    b = tree("".join(f"<div>{'<ul></ul>' * (j * 37 % n)}<h3>x</h3><hr></div>" for j in range(n)))
+    best = [[0] * (n + 1) for _ in range(m + 1)]  # a div, its hr and the lists that both have
+    for i in range(m):
+        for j in range(n):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + 2 + min(i, j * 37 % n))
+    assert match(a, b)[0] == 1 + best[m][n]
+
+
 def test_tags_as_a_simple_reader_sees_them():
     from gleaner.llm.dom import _Tags
 
