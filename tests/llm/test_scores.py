@@ -107,6 +107,23 @@ def test_risk_correction_finds_the_positives_in_unlabelled_text():
     assert (dense(hidden[some]).times(w) > 0).mean() > 0.85 and (dense(clean[~clean[:, :5].any(axis=1)]).times(w) > 0).mean() < 0.02
 
 
+def test_many_weak_inputs_that_go_together_do_not_hide_the_strong():
+    rng = np.random.default_rng(5)
+    n, weak = 3000, 1500
+
+    def sample(n, strong, share):
+        long = rng.random((n, 1)) < share  # the weak inputs are those of long texts, of which positives are a few more
+        return np.column_stack((rng.random((n, 5)) < strong, (rng.random((n, weak)) < np.where(long, 0.4, 0.05))))
+
+    positive, hidden, clean = sample(150, 0.7, 0.7), sample(150, 0.7, 0.7), sample(n - 300, 0.001, 0.5)
+    every = np.concatenate((positive, hidden, clean))
+    counts = np.array([every.sum(axis=0), positive.sum(axis=0)])
+    x, is_positive = dense(every), (np.arange(n) < 150)[:, None].astype(float)
+    start = toxicity.start_weights(counts, np.arange(5 + weak), n, 150)
+    w = toxicity.train(lambda w: toxicity.risk_sums(x, w, 1 - is_positive, is_positive), start[:, None], 0.1)
+    assert (dense(hidden).times(w) > 0).mean() > 0.75 and (dense(clean).times(w) > 0).mean() < 0.02
+
+
 def test_sums_equal_the_dense_formula():
     rng = np.random.default_rng(6)
     rows = rng.random((50, 7)) < 0.3
