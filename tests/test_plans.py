@@ -8,8 +8,9 @@ from gleaner.functions.descriptors import with_descriptors
 from gleaner.operators import labels, rules, sampling, topn
 from gleaner.operators.learner import LinearModel
 from gleaner.plans import queries as q
+from gleaner.plans import recipes
 from gleaner.plans import stand_in as S
-from gleaner.sources import sdf
+from gleaner.sources import models, sdf
 from gleaner.sources.rules import parse_rules
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +92,16 @@ def test_tasks_become_more_and_not_longer(spark, tmp_path):
     assert fill_cores(rows, 200).rdd.getNumPartitions() == 25
     assert fill_cores(rows, 100_000).rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
     assert fill_cores(rows, 200).distinct().count() == 5000
+
+
+def test_new_molecules_with_signatures_keep_them(spark, monkeypatch):
+    monkeypatch.setattr(recipes, "with_atom_signatures", None)  # nothing is signed again
+    schema = "row_key string, signatures array<struct<height:int,signature:string>>"
+    rows = spark.createDataFrame([("a", [(1, "x"), (1, "x"), (2, "y")]), ("b", [(1, "z")]), ("a", [(1, "x"), (1, "x"), (2, "y")])], schema)
+    known = spark.createDataFrame([("x", 0), ("y", 1)], "signature string, sig_id bigint")
+    weights = spark.createDataFrame([(0, 2.0), (1, 0.5)], "sig_id bigint, weight double")
+    calibration = spark.createDataFrame([(0, 1.0), (1, 1.0)], "label int, alpha double")
+    stored = models.StoredModel("t", "c", 1, LinearModel(weights, 0.25), 0.2, 2, calibration)
+    for df in (rows, rows.dropDuplicates(["row_key"])):
+        assert {(r.row_key, r.margin) for r in recipes.predict_new(df, known, stored).collect()} == {("a", 4.75), ("b", 0.25)}
+        assert recipes.predict_new(df, known, stored).count() == 2
