@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions.descriptors import with_descriptors
-from gleaner.operators import labels, rules, sampling, topn
+from gleaner.operators import labels, rules, sampling, topn, universe
 from gleaner.operators.learner import LinearModel
 from gleaner.plans import queries as q
 from gleaner.plans import recipes
@@ -105,3 +105,13 @@ def test_new_molecules_with_signatures_keep_them(spark, monkeypatch):
     for df in (rows, rows.dropDuplicates(["row_key"])):
         assert {(r.row_key, r.margin) for r in recipes.predict_new(df, known, stored).collect()} == {("a", 4.75), ("b", 0.25)}
         assert recipes.predict_new(df, known, stored).count() == 2
+
+
+def test_signatures_are_counted_within_the_row_unless_keys_repeat(spark):
+    assert "hashpartitioning(row_key" not in plan(q.signature_counts(spark, SF))
+    schema = "row_key string, signatures array<struct<height:int,signature:string>>"
+    rows = spark.createDataFrame([("a", [(1, "C()"), (2, "C:(x)"), (1, "C()"), (2, "C()")]), ("b", [(1, "C()")]), ("c", [])], schema)
+    want = {("a", 1, "C()", 2), ("a", 2, "C:(x)", 1), ("a", 2, "C()", 1), ("b", 1, "C()", 1)}
+    assert {tuple(r) for r in universe.counts_by_row(rows, rows.select("row_key")).collect()} == want
+    twice = rows.unionByName(rows)
+    assert {tuple(r) for r in universe.counts_by_row(twice, twice.select("row_key")).collect()} == {(*r[:3], 2 * r[3]) for r in want}
