@@ -19,6 +19,7 @@ from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions.batches import margins
 from gleaner.functions.vectors import append_constant, sparse, to_ml_vector, vector_text
 from gleaner.session import Workspace
 
@@ -69,32 +70,12 @@ class LinearModel:
 
 def _looked_up_margin(ids: np.ndarray, weights: np.ndarray, intercept: float):
     @F.arrow_udf("double")
-    def margin(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for features in batches:
-            yield _margins(features, ids, weights, intercept)
+    def margin(features: pa.Array) -> pa.Array:
+        return margins(features, ids, weights, intercept)
 
     return margin
 
 
-def _margins(features: pa.StructArray, ids: np.ndarray, weights: np.ndarray, intercept: float) -> pa.Array:
-    wanted, vals = features.field("ids"), features.field("vals")
-    empty = pa.scalar([], wanted.type), pa.scalar([], vals.type)
-    null = np.asarray(features.is_null()) | np.asarray(wanted.is_null()) | np.asarray(vals.is_null())
-    wanted, vals = wanted.fill_null(empty[0]), vals.fill_null(empty[1])
-    lengths = np.diff(wanted.offsets.to_numpy())
-    found = np.zeros(int(lengths.sum()))
-    if len(ids) and len(found):
-        keys = wanted.flatten().to_numpy(zero_copy_only=False)
-        at = np.minimum(np.searchsorted(ids, keys), len(ids) - 1)
-        found = np.where(ids[at] == keys, weights[at], 0.0) * vals.flatten().to_numpy(zero_copy_only=False)
-    sums = np.zeros(len(lengths))
-    # Sums in order of the ids, each row by itself, so that equal vectors have equal margins.
-    held = np.flatnonzero(lengths)
-    if len(held):
-        sums[held] = np.add.reduceat(found, (np.cumsum(lengths) - lengths)[held])
-    return pa.array(sums + intercept, pa.float64(), mask=null)
-
-
 def _hot_weights(entries: DataFrame, weights: DataFrame) -> DataFrame:
     """The ids that occur most often in ``entries``, at most ``_HOT_IDS``, with their weights."""
     counts = entries.groupBy("sig_id").count()

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import conformal
+from gleaner.operators import conformal, learner
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +76,14 @@ def test_error_rate_on_exchangeable_rows(spark):
 def test_efficiency_of_nothing(spark):
     empty = spark.createDataFrame([], "pred_set array<int>")
     assert conformal.efficiency(empty).first().efficiency is None
+
+
+def test_margins_and_p_values_share_a_worker(spark):
+    """One evaluation in Python for both steps, so that a task has one worker and not two."""
+    rows = spark.createDataFrame([(1, (2, [0, 1], [1.0, 2.0])), (2, None)], "row_key long, features struct<size:bigint,ids:array<bigint>,vals:array<double>>")
+    model = learner.LinearModel.dense(spark, [1.0, -1.0], 0.5)
+    known = conformal.Calibration.of(spark.createDataFrame([(0, 0.0), (0, -2.0), (1, 0.5)], "label int, alpha double"))
+    out = conformal.with_p_values(model.with_margin(rows), known).select("row_key", "p0", "p1")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert {tuple(r) for r in out.collect()} == {(1, 2 / 3, 1.0), (2, None, None)}
