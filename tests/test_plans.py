@@ -115,3 +115,8 @@ def test_signatures_are_counted_within_the_row_unless_keys_repeat(spark):
     assert {tuple(r) for r in universe.counts_by_row(rows, rows.select("row_key")).collect()} == want
     twice = rows.unionByName(rows)
     assert {tuple(r) for r in universe.counts_by_row(twice, twice.select("row_key")).collect()} == {(*r[:3], 2 * r[3]) for r in want}
+
+
+def test_scores_of_a_table_build_no_molecules(spark):
+    """Molecules are built once, for the filter, whose rows are stored; what follows has no generator that builds them again."""
+    assert "Generate" not in plan(q.filter_score_sort(spark, SF))
