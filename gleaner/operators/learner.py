@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.batches import margins
 from gleaner.functions.vectors import append_constant, sparse, to_ml_vector, vector_text
+from gleaner.operators.spread_fit import SpreadFit
 from gleaner.session import Workspace
 
 WEIGHTS = "sig_id bigint, weight double"
@@ -116,12 +117,14 @@ class Learner(Protocol):
 
 
 _ROWS_PER_PARTITION = 50_000
+_MAX_DENSE_IDS = 4096  # Spark's learners send the driver several gradients for each evaluation of the loss, of a number for each id
 
 
-def _held_ids(labelled: DataFrame) -> np.ndarray:
-    """The feature ids of the training rows, ascending. As many as the model will have weights."""
-    found = labelled.select(F.explode("features.ids").alias("sig_id")).distinct()
-    return np.sort(found.toArrow().column("sig_id").to_numpy())
+def _held_ids(labelled: DataFrame) -> np.ndarray | None:
+    """The feature ids of the training rows, ascending; None if there are more than ``_MAX_DENSE_IDS``."""
+    found = labelled.select(F.explode("features.ids").alias("sig_id")).distinct().limit(_MAX_DENSE_IDS + 1)
+    ids = np.sort(found.toArrow().column("sig_id").to_numpy())
+    return ids if len(ids) <= _MAX_DENSE_IDS else None
 
 
 def _renumbered(ids: np.ndarray):
@@ -135,21 +138,29 @@ def _renumbered(ids: np.ndarray):
     return places
 
 
+def _counted(rows: DataFrame) -> int:
+    """How many training rows there are; raises ValueError when a class is absent."""
+    counts = {row["label"]: row["count"] for row in rows.groupBy("label").count().collect()}
+    if not {0.0, 1.0} <= set(counts):
+        raise ValueError(f"training needs both classes, got {sorted(counts)}")
+    return sum(counts.values())
+
+
 def _training_table(labelled: DataFrame, ids: np.ndarray, constant: bool) -> DataFrame:
     """ML input over the given ids alone, stored, and in partitions of a size that makes an optimiser step one short job."""
     rows = labelled.filter(F.col("features").isNotNull())
     small = sparse(F.lit(len(ids)), _renumbered(ids)(F.col("features.ids")), F.col("features.vals"))
     rows = Workspace(labelled.sparkSession, "training").write(rows.select(F.col("label").cast("double").alias("label"), small.alias("f")), "rows")
-    counts = {row["label"]: row["count"] for row in rows.groupBy("label").count().collect()}
-    if not {0.0, 1.0} <= set(counts):
-        raise ValueError(f"training needs both classes, got {sorted(counts)}")
-    parts = max(1, sum(counts.values()) // _ROWS_PER_PARTITION)
+    parts = max(1, _counted(rows) // _ROWS_PER_PARTITION)
     vector = to_ml_vector(append_constant(F.col("f")) if constant else F.col("f"))
     return rows.select("label", vector.alias("x")).repartition(parts).persist()
 
 
-def _fitted(estimator, labelled: DataFrame, constant: bool) -> LinearModel:
+def _fitted(estimator, labelled: DataFrame, constant: bool, loss: str) -> LinearModel:
+    """The estimator's fit; for more ids than ``_MAX_DENSE_IDS``, that of the same risk with weights that stay among the tasks."""
     ids = _held_ids(labelled)
+    if ids is None:
+        return _spread(SpreadFit(loss, estimator.getMaxIter(), estimator.getRegParam(), estimator.getTol(), estimator.getFitIntercept()), labelled)
     table = _training_table(labelled, ids, constant or not len(ids))
     try:
         model = estimator.fit(table)
@@ -160,6 +171,19 @@ def _fitted(estimator, labelled: DataFrame, constant: bool) -> LinearModel:
     return LinearModel.of_arrays(labelled.sparkSession, ids, weights[: len(ids)], intercept)
 
 
+def _spread(fit: SpreadFit, labelled: DataFrame) -> LinearModel:
+    """A penalised bias stays out, since Spark's learners leave the weight of a column with one value at 0."""
+    spark = labelled.sparkSession
+    rows = labelled.filter(F.col("features").isNotNull()).select(F.col("label").cast("double").alias("label"), "features.ids", "features.vals")
+    rows = Workspace(spark, "training").write(rows, "rows")
+    n_rows = _counted(rows)
+    if rows.filter(F.col("label").isNull() | ~F.col("label").isin(0.0, 1.0)).limit(1).count():
+        raise ValueError("labels are 0 or 1")
+    size = rows.select(F.explode("ids").alias("id")).agg(F.count(F.lit(1)).alias("entries"), F.approx_count_distinct("id").alias("ids")).first()
+    weights, bias = fit.fit(rows, n_rows, size["entries"], size["ids"])
+    return LinearModel(weights, bias) if weights.limit(1).count() else LinearModel.of_arrays(spark, np.array([]), np.array([]), bias)
+
+
 @dataclass(frozen=True)
 class LinearSVM:
     """Hinge loss with an L2 penalty. ``bias='penalised'`` learns the bias as the weight of a constant feature."""
@@ -176,7 +200,7 @@ class LinearSVM:
         svc = LinearSVC(
             featuresCol="x", labelCol="label", maxIter=self.max_iter, regParam=self.reg, tol=self.tol, standardization=False, fitIntercept=not penalised
         )
-        return _fitted(svc, labelled, constant=penalised)
+        return _fitted(svc, labelled, constant=penalised, loss="hinge")
 
 
 @dataclass(frozen=True)
@@ -188,7 +212,7 @@ class Logistic:
 
     def fit(self, labelled: DataFrame) -> LinearModel:
         regression = LogisticRegression(featuresCol="x", labelCol="label", maxIter=self.max_iter, regParam=self.reg, standardization=False)
-        return _fitted(regression, labelled, constant=False)
+        return _fitted(regression, labelled, constant=False, loss="logistic")
 
 
 @dataclass(frozen=True)

@@ -1,10 +1,12 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions.vectors import append_constant, dot, from_dense, parse_vector, sparse, to_ml_vector, vector_text
-from gleaner.operators import learner
+from gleaner.operators import learner, spread_fit
 from gleaner.operators.learner import Known, LinearModel, LinearSVM, Logistic
 
 
@@ -105,3 +107,84 @@ def test_vector_forms(spark):
     assert row.t == "(4,[1,3],[2.0,-0.5])" and row.v.toArray().tolist() == [0.0, 2.0, 0.0, -0.5]
     assert row.d == 6.0  # no weight for id 3
     assert missing.t is None and missing.v is None
+
+
+def _refused(self, dataset):
+    raise AssertionError("more ids than may reach the driver")
+
+
+@pytest.fixture(scope="module")
+def many_ids(spark):
+    """Each row has an id of its own among 10,000,000, one that tells the label and one with the same value everywhere; some rows hold none."""
+    label = (F.col("id") % 10 >= 5).cast("double")
+    ids = F.array((F.col("id") * 997) % 10_000_000, F.lit(12_345_678), F.lit(15_000_000))
+    vals = F.array(F.lit(1.0), F.when(label == 1, 10.0).otherwise(-10.0), F.lit(3.0))
+    rows = spark.range(5000).select(F.col("id").alias("row_key"), label.alias("label"), sparse(F.lit(20_000_000), ids, vals).alias("features"))
+    empty = sparse(F.lit(20_000_000), F.array().cast("array<bigint>"), F.array().cast("array<double>"))
+    return rows.unionByName(spark.range(5000, 5004).select(F.col("id").alias("row_key"), (F.col("id") % 2).cast("double").alias("label"), empty.alias("features")))
+
+
+@pytest.mark.parametrize("chosen", [LinearSVM(), Logistic()])
+def test_gradients_of_many_ids_stay_off_the_driver(many_ids, monkeypatch, chosen):
+    """Spark's learners bring a number for each id at each evaluation; 400 MB for 100,000 ids."""
+    for estimator in (learner.LinearSVC, learner.LogisticRegression):
+        monkeypatch.setattr(estimator, "_fit", _refused)
+    null = many_ids.limit(1).withColumn("features", F.when(F.col("row_key") < 0, F.col("features")))
+    model = chosen.fit(many_ids.unionByName(null))
+    out = model.with_margin(many_ids).filter("row_key < 5000")
+    assert out.filter((F.col("margin") > 0) != (F.col("label") == 1)).count() == 0
+    assert model.weights.filter("sig_id < 0 OR weight = 0").count() == 0
+
+
+def test_many_ids_need_both_classes(many_ids):
+    with pytest.raises(ValueError):
+        LinearSVM().fit(many_ids.filter("label = 1"))
+
+
+@pytest.mark.parametrize("chosen", [LinearSVM(), LinearSVM(bias="free"), Logistic()])
+def test_the_spread_fit_is_as_good_as_sparks(spark, monkeypatch, chosen):
+    """The same risk, in several blocks of rows and ids, up to what is left when both stop. A smooth loss has the same margins too."""
+    r = random.Random(5)
+    rows = []
+    for key in range(400):
+        ids = sorted(r.sample(range(200), r.randrange(1, 12))) + [1000]
+        side = sum(i % 5 - 1.7 for i in ids) + r.gauss(0, 3)
+        rows.append((key, ids, [1.0 + r.random() * (i % 3) for i in ids[:-1]] + [2.5], float(side > 0)))
+    df = spark.createDataFrame(rows, "row_key long, ids array<long>, vals array<double>, label double")
+    df = df.select("row_key", "label", sparse(F.lit(2000), F.col("ids"), F.col("vals")).alias("features")).cache()
+    dense = chosen.fit(df)
+    monkeypatch.setattr(learner, "_MAX_DENSE_IDS", 0)
+    monkeypatch.setattr(spread_fit, "_ENTRIES_PER_BLOCK", 1000)
+    monkeypatch.setattr(spread_fit, "_IDS_PER_BLOCK", 80)
+    spread = chosen.fit(df)
+
+    def risk(model):
+        margins = [((2 * x.label - 1) * x.margin) for x in model.with_margin(df).collect()]
+        each = [math.log1p(math.exp(-m)) if isinstance(chosen, Logistic) else max(0.0, 1 - m) for m in margins]
+        return sum(each) / len(each) + chosen.reg / 2 * sum(x.weight**2 for x in model.weights.collect())
+
+    assert risk(spread) <= risk(dense) * 1.001
+    # A column with one value in all rows has weight 0 in both; a penalised bias is one.
+    assert 1000 not in {x.sig_id for x in spread.weights.collect()} | {x.sig_id for x in dense.weights.collect()}
+    assert (spread.intercept == 0) == (dense.intercept == 0) == (chosen == LinearSVM())
+    if isinstance(chosen, Logistic):
+        a, b = ({x.row_key: x.margin for x in m.with_margin(df).collect()} for m in (dense, spread))
+        assert max(abs(a[k] - b[k]) for k in a) < 1e-4
+
+
+def test_a_block_without_rows():
+    block, ids = spread_fit._made_block([], 3, True)
+    sides, margins, along = spread_fit._margins(block, [])
+    assert len(ids) == len(sides) == 0 and not list(spread_fit._described(0, block, ids))
+    assert spread_fit._losses(sides, margins, along, np.array([0.0, 1.0]), "hinge").tolist() == [[0.0, 0.0], [0.0, 0.0]]
+    none = spread_fit._first_weights([], 5, 0.1)
+    assert spread_fit._stepped(none, [], np.zeros(1), 0.0, 5, True).products().tolist() == [[[0.0, 0.0], [0.0, 0.0]]] * 2
+
+
+def test_step_lengths_of_a_kinked_risk():
+    """The risk falls to a kink at 3e-8 or at 5e4, off the first lengths."""
+    for kink in (3e-8, 5e4):
+        risk = lambda t: (np.abs(t - kink), np.where(t < kink, -1.0, 1.0))
+        value, length = spread_fit._length(risk, kink, -1.0)
+        assert value < kink and 0 < length < 2 * kink
+    assert spread_fit._length(lambda t: (1 + t, np.ones_like(t)), 1.0, -1.0) == (1.0, 0.0)
