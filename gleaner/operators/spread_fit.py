@@ -265,8 +265,10 @@ class SpreadFit:
         spark = rows.sparkSession
         shared_dir(spark)
         self._work, self._n = Workspace(spark, "fit"), n_rows
-        self._parts, self._blocks = max(1, -(-n_entries // _ENTRIES_PER_BLOCK)), max(1, -(-n_ids // _IDS_PER_BLOCK))
-        self._rows, state = self._start(rows)
+        self._blocks = max(1, -(-n_ids // _IDS_PER_BLOCK))
+        self._rows, state = self._start(rows, max(1, -(-n_entries // _ENTRIES_PER_BLOCK)))
+        # As dealt: blocks are met by partition, whatever number was asked for.
+        self._parts, self._blocks = self._rows.getNumPartitions(), state.getNumPartitions()
         kept = [self._rows]
         try:
             state = self._minimised(state, kept)
@@ -284,9 +286,9 @@ class SpreadFit:
         if path:
             Workspace(self._work.spark, root=path.rsplit("/", 1)[0]).remove(path.rsplit("/", 1)[1])
 
-    def _start(self, rows: DataFrame) -> tuple[RDD, RDD]:
+    def _start(self, rows: DataFrame, parts: int) -> tuple[RDD, RDD]:
         n, reg, blocks, bias = self._n, self.reg, self._blocks, self.free_bias
-        packed = rows.select("label", "ids", "vals").repartition(self._parts).mapInArrow(_pack, _PACKED)
+        packed = rows.select("label", "ids", "vals").repartition(parts).mapInArrow(_pack, _PACKED)
         made = packed.rdd.mapPartitions(lambda found: [_made_block(found, blocks, bias)]).persist(StorageLevel.MEMORY_AND_DISK)
         made.checkpoint()
         made.count()

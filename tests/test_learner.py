@@ -181,6 +181,16 @@ def test_a_block_without_rows():
     assert spread_fit._stepped(none, [], np.zeros(1), 0.0, 5, True).products().tolist() == [[[0.0, 0.0], [0.0, 0.0]]] * 2
 
 
+def test_more_partitions_than_asked_for(many_ids, monkeypatch):
+    """Blocks without rows, and as many as there are partitions."""
+    plain = type(many_ids).repartition
+    monkeypatch.setattr(type(many_ids), "repartition", lambda self, n, *keys: plain(self, max(n, 9), *keys))
+    rows = many_ids.filter("row_key < 4 OR row_key >= 4997").withColumn("label", (F.col("row_key") % 2).cast("double"))
+    monkeypatch.setattr(learner, "_MAX_DENSE_IDS", 0)
+    model = Logistic(max_iter=3).fit(rows)
+    assert model.with_margin(rows).filter("margin IS NULL").count() == 0 and model.weights.count() > 1
+
+
 def test_step_lengths_of_a_kinked_risk():
     """The risk falls to a kink at 3e-8 or at 5e4, off the first lengths."""
     for kink in (3e-8, 5e4):
