@@ -289,7 +289,9 @@ class SpreadFit:
     def _start(self, rows: DataFrame, parts: int) -> tuple[RDD, RDD]:
         n, reg, blocks, bias = self._n, self.reg, self._blocks, self.free_bias
         packed = rows.select("label", "ids", "vals").repartition(parts).mapInArrow(_pack, _PACKED)
-        made = packed.rdd.mapPartitions(lambda found: [_made_block(found, blocks, bias)]).persist(StorageLevel.MEMORY_AND_DISK)
+        # Dealt in the way that what blocks of ids send is dealt, so that the two meet.
+        dealt = packed.rdd.mapPartitionsWithIndex(lambda part, found: ((part, r) for r in found)).partitionBy(parts, int)
+        made = dealt.mapPartitions(lambda found: [_made_block((r for _, r in found), blocks, bias)]).persist(StorageLevel.MEMORY_AND_DISK)
         made.checkpoint()
         made.count()
         facts = made.mapPartitionsWithIndex(lambda part, found: (m for x in found for m in _described(part, *x)))

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from gleaner.functions.vectors import append_constant, dot, from_dense, parse_vector, sparse, to_ml_vector, vector_text
@@ -183,8 +184,9 @@ def test_a_block_without_rows():
 
 def test_more_partitions_than_asked_for(many_ids, monkeypatch):
     """Blocks without rows, and as many as there are partitions."""
-    plain = type(many_ids).repartition
-    monkeypatch.setattr(type(many_ids), "repartition", lambda self, n, *keys: plain(self, max(n, 9), *keys))
+    plain, by_key = type(many_ids).repartition, RDD.partitionBy
+    monkeypatch.setattr(type(many_ids), "repartition", lambda self, n, *keys: plain(self, max(n, 5), *keys))
+    monkeypatch.setattr(RDD, "partitionBy", lambda self, n, *how: by_key(self, max(n, 9), *how))
     rows = many_ids.filter("row_key < 4 OR row_key >= 4997").withColumn("label", (F.col("row_key") % 2).cast("double"))
     monkeypatch.setattr(learner, "_MAX_DENSE_IDS", 0)
     model = Logistic(max_iter=3).fit(rows)
