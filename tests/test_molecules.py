@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from gleaner import schemas
 from gleaner.functions import descriptors as D
+from gleaner.functions import signatures
 from gleaner.functions.motifs import path_pattern
 from gleaner.functions.signatures import with_atom_signatures, with_ngrams
 from gleaner.functions.staging import staged
@@ -45,6 +46,29 @@ def test_signatures(mols):
     assert out["parts"].signatures[0].signature == "N(1H)"
 
 
+@pytest.mark.parametrize("most", [1, 1 << 18])
+def test_signatures_of_odd_molecules(spark, monkeypatch, most):
+    """Bonds to atoms that aren't there, without an order or to the atom itself, numbers that repeat or are missing, and no lists."""
+    monkeypatch.setattr(signatures, "_PIECE_ATOMS", most)
+    rows = [
+        ("gone", [(1, "C"), (2, "N")], [(1, 2, 11), (2, 9, 1), (0, 1, 1), (1, 2, None), (None, 2, 1)]),
+        ("self", [(1, "C"), (2, "N")], [(1, 1, 2)]),
+        ("twice", [(1, "C"), (1, "N"), (3, "O")], [(1, 3, 1)]),
+        ("unnumbered", [(None, "C"), (2, "Cl")], [(1, 2, 1)]),
+        ("no element", [(1, None), (2, "N")], [(1, 2, 1)]),
+        ("no atoms", None, [(1, 2, 1)]),
+        ("no bonds", [(1, "C"), (2, "N")], None),
+        ("empty", [], []),
+    ]
+    ddl = "row_key string, atoms array<struct<idx:int,element:string>>, bonds array<struct<a:int,b:int,ord:int>>"
+    out = by_key(with_atom_signatures(spark.createDataFrame(rows, ddl), stop=1))
+    got = {k: r.signatures and [s.signature for s in r.signatures] for k, r in out.items()}
+    assert got == {
+        "gone": ["C(11N)", "N(11C)"], "self": ["C(2C,2C)", "N()"], "twice": ["C(1O)", "N(1O)", "O(1C)"], "unnumbered": ["C()", "Cl(1C)"],
+        "no element": [None, "N()"], "no atoms": None, "no bonds": [None, None], "empty": [],
+    }
+
+
 def test_ngrams(spark):
     df = spark.createDataFrame([("d", "a b\n\ta  b "), ("e", "")], "row_key string, text string")
     out = by_key(with_ngrams(df, "text"))
