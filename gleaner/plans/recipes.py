@@ -130,7 +130,8 @@ def standardise(smiles: DataFrame, custom: list[Rule], preset: list[Rule], parti
 def top_of_file(spark: SparkSession, path: str, method: str, n: int) -> DataFrame:
     """Best ``n`` ids of a scored file with their record text, one row per id, best first."""
     poses = sdf.read_poses(spark, path, method, ("row_key", "mol_id"))
-    return attach_payload(top_n(poses.select("row_key", "mol_id", "score"), n), poses.select("row_key", "raw"))
+    texts = sdf.scan_records(spark, path).select(F.md5("raw").alias("row_key"), "raw")  # the key of a record; nothing is parsed again
+    return attach_payload(top_n(poses.select("row_key", "mol_id", "score"), n), texts)
 
 
 def compare_files(spark: SparkSession, first: str, second: str, n: int) -> DataFrame:
