@@ -120,3 +120,14 @@ def test_signatures_are_counted_within_the_row_unless_keys_repeat(spark):
 def test_scores_of_a_table_build_no_molecules(spark):
     """Molecules are built once, for the filter, whose rows are stored; what follows has no generator that builds them again."""
     assert "Generate" not in plan(q.filter_score_sort(spark, SF))
+
+
+def test_records_are_not_sent_through_the_driver(spark, tmp_path, monkeypatch):
+    """Records come from a table that is small on disk; the driver would have to hold all of them to broadcast them."""
+    plans = []
+    monkeypatch.setattr(recipes, "write_sdf", lambda signed, path: plans.append(plan(signed)))
+    recipes.signed_records(
+        q._molecules_from_text(spark, SF, "row_key", "mol_id", "atoms", "bonds", "tags").drop("o_orderkey"), str(tmp_path / "r")
+    )
+    (text,) = plans
+    assert "SortMergeJoin [row_key" in text and "BroadcastHashJoin" not in text
